@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skarn.llm import exact, packing, quality
+from skarn.llm import exact, neardup, packing, quality, substring
 from skarn.llm.scratch import Scratch
 
 
@@ -18,12 +18,22 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep(spark, docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 80 % or more of its five-word shingles."""
+    return neardup.keep(spark, docs, k=5, part=80, whole=100)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-word windows that a document with a smaller id has too."""
+    return substring.clean(spark, docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of training sequences."""
     return packing.pack(spark, docs, packing.default_tokenizer())
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("packing", pack)]
+STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("minhash near-dedup", near_dedup), ("substring dedup", substring_dedup), ("packing", pack)]
 ORACLE_SQL = None
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from skarn.llm import exact, packing, quality
+from skarn.llm import exact, neardup, packing, quality, substring
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
+    "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_packing": packing.op7_packing,
+    "op8_substring_dedup": substring.op8_substring_dedup,
 }
 ORACLE = {
     "op1_exact_dedup": exact.OP1_SQL,
     "op5_quality_rules": quality.OP5_SQL,
+    "op8_substring_dedup": substring.OP8_SQL,
 }

@@ -7,8 +7,10 @@ blocks, such a table is still there after an executor is lost.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,10 +41,27 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once a Spark context: they may have no copy on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_skarn_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="skarn-code-"), "skarn.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(top):
+            for x in names:
+                if x.endswith(".py"):
+                    out.write(os.path.join(folder, x), os.path.relpath(os.path.join(folder, x), os.path.dirname(top)))
+    context.addPyFile(path)
+    context._skarn_shipped = True
+
+
 class Scratch:
     """A folder of intermediate tables for one call of an operator. It is removed when Python exits."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/skarn/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(_remove_quietly, spark, self.root)
