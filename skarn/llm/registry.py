@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skarn.llm import chat, exact, neardup, packing, quality, substring, urlfilter, warc
+from skarn.llm import chat, exact, neardup, packing, pieces, quality, ranker, substring, urlfilter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
     "op4_warc": warc.op4_warc,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_packing": packing.op7_packing,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_url_filters": urlfilter.op9_url_filters,
+    "op10_quality_classifier": ranker.op10_quality_classifier,
 }
 ORACLE = {
     "op1_exact_dedup": exact.OP1_SQL,
