@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from skarn.plans import queries, templates
+from skarn.sources.tables import sql
+
 FLAGSHIP = "rrf_fused_topk"
-QUERIES: dict = {}
-ORACLE: dict = {}
+QUERIES: dict = {name: (lambda spark, sf_dir, text=text: sql(spark, sf_dir, text)) for name, text in templates.SHARED.items()} | queries.QUERIES
+ORACLE: dict = {name: templates.for_duckdb(text) for name, text in templates.SHARED.items()} | queries.ORACLE
