@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarn.functions import requirements as R
 from skarn.functions import text as X
-from skarn.operators import graph, joins, retrieval, validation, windows
-from skarn.sources import html
+from skarn.functions import vocabulary
+from skarn.operators import evidence, graph, joins, retrieval, validation, windows
+from skarn.sources import files, html
 from skarn.sources.tables import sql, table
+from skarn.streaming import events as stream
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -494,3 +498,80 @@ def line_classifier(spark, d):
 def table_grid_densify(spark, d):
     nation = table(spark, d, "nation")
     return html.dense_rows(nation.select(F.col("n_regionkey").alias("row"), F.col("n_nationkey").alias("col"), F.col("n_name").alias("cell")), nation.agg((F.max("n_nationkey") + 1).alias("n_cols"))).select(F.col("row").alias("r_regionkey"), F.array_join("cells", "|").alias("cells"))
+
+
+# --- event windows and streams --------------------------------------------------------------------------------------
+
+_S = "CAST(floor(epoch(ts)) AS BIGINT)"
+
+
+@query("SELECT event_type, CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS start_s, CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 + 86400 AS end_s, count(*) AS n FROM events GROUP BY 1, 2, 3")
+def event_windows_tumbling(spark, d):
+    return stream.tumbling(table(spark, d, "events"))
+
+
+_SLIDING = """WITH e AS (SELECT event_type, CAST(floor(epoch(ts) / 43200) AS BIGINT) * 43200 AS s FROM events), w AS (SELECT event_type, s AS start_s FROM e UNION ALL SELECT event_type, s - 43200 FROM e)
+SELECT event_type, start_s, start_s + 86400 AS end_s, count(*) AS n FROM w GROUP BY 1, 2"""
+
+
+@query(_SLIDING)
+def event_windows_sliding(spark, d):
+    return stream.sliding(table(spark, d, "events"))
+
+
+_SESSIONS = """WITH b AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 21600000000 THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts)) + 21600) AS BIGINT) AS end_s, count(*) AS n FROM s GROUP BY user_id, k"""
+
+
+@query(_SESSIONS)
+def event_windows_session(spark, d):
+    return stream.sessions(table(spark, d, "events"))
+
+
+@query(ORACLE["event_windows_tumbling"])
+def stream_tumbling(spark, d):
+    return stream.drain(stream.tumbling(stream.read(spark, d), late="1 day"), f"tumbling_{uuid.uuid4().hex}")
+
+
+@query("SELECT user_id, CASE least(count(*), 4) WHEN 1 THEN 'response_received' WHEN 2 THEN 'ready_for_next_request' WHEN 3 THEN 'answer_ready' ELSE 'answer_validated' END AS phase FROM events GROUP BY user_id")
+def stream_session_phases(spark, d):
+    return stream.drain(stream.session_phases(stream.read(spark, d)), f"phases_{uuid.uuid4().hex}", "update")
+
+
+_SYNONYMS = "SELECT * FROM VALUES ('exhaust fan', 'fan', 1), ('ventilator', 'fan', 2), ('outdoor', 'outside', 3), ('outdoor', 'exterior', 4), ('gas furnace', 'furnace', 5) AS t(synonym, canonical, place)"
+
+
+@query("SELECT * FROM (VALUES ('Outdoor', 'exterior'), ('ventilator', 'fan'), ('chimney', NULL)) AS t(term, canonical)")
+def synonym_exact(spark, d):
+    return vocabulary.exact(spark.sql("SELECT * FROM VALUES ('Outdoor'), ('ventilator'), ('chimney') AS t(term)"), spark.sql(_SYNONYMS))
+
+
+@query("SELECT * FROM (VALUES ('exhaust fans', 'fan', 0.956522), ('gas furnaces', 'furnace', 0.956522)) AS t(term, canonical, score)")
+def synonym_fuzzy(spark, d):
+    return vocabulary.fuzzy(spark.sql("SELECT * FROM VALUES ('exhaust fans'), ('gas furnaces'), ('xyzzy') AS t(term)"), spark.sql(_SYNONYMS))
+
+
+@query("""SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN n_chars >= 100 THEN NULL ELSE 'long_enough' END, CASE WHEN lang IN ('en', 'fr') THEN NULL ELSE 'known_language' END], lambda x: x IS NOT NULL)), ',') AS broken FROM documents WHERE n_chars < 100 OR lang NOT IN ('en', 'fr')""")
+def contract_violations(spark, d):
+    bad = files.violations(table(spark, d, "documents"), {"long_enough": "n_chars >= 100", "known_language": "lang in ('en', 'fr')"})
+    return bad.select("doc_id", F.array_join(F.array_sort("broken"), ",").alias("broken"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def last_wins(spark, d):
+    return files.last_wins(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation), hits AS (SELECT 'n' || n_nationkey AS node, row_number() OVER (ORDER BY n_nationkey) AS pos FROM nation WHERE n_nationkey % 6 = 0),
+u AS (SELECT node, pos, 0 AS ord FROM hits UNION ALL SELECT parent, pos, 1 FROM hits JOIN e ON child = node)
+SELECT node, 'E' || row_number() OVER (ORDER BY min(pos * 10 + ord)) AS evidence_id FROM u GROUP BY node""")
+def evidence_assembly(spark, d):
+    edges = sql(spark, d, "SELECT concat('r', n_regionkey) AS parent, concat('n', n_nationkey) AS child FROM {nation}")
+    hits = table(spark, d, "nation").where("n_nationkey % 6 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), (F.col("n_nationkey") / 6 + 1).cast("int").alias("pos"))
+    return evidence.assemble(hits, edges).select("node", "evidence_id")
+
+
+@query("""WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS q FROM benchmark), t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents)
+SELECT doc_id, w1 || ' ' || w2 AS phrase, count(*) AS n FROM (SELECT doc_id, ws[i] AS w1, ws[i + 1] AS w2 FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM t)) WHERE w1 = 'the' AND w2 IN ('and', 'of', 'in') GROUP BY 1, 2""")
+def phrase_lookup(spark, d):
+    return retrieval.phrase_table(table(spark, d, "documents")).where(F.col("phrase").isin("the and", "the of", "the in")).groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
