@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skarn.functions import requirements as R
 from skarn.functions import text as X
 from skarn.functions import vocabulary
-from skarn.operators import evidence, graph, joins, retrieval, validation, windows
+from skarn.operators import audit, evidence, graph, joins, retrieval, validation, windows
 from skarn.sources import files, html
 from skarn.sources.tables import sql, table
 from skarn.streaming import events as stream
@@ -575,3 +575,70 @@ def evidence_assembly(spark, d):
 SELECT doc_id, w1 || ' ' || w2 AS phrase, count(*) AS n FROM (SELECT doc_id, ws[i] AS w1, ws[i + 1] AS w2 FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM t)) WHERE w1 = 'the' AND w2 IN ('and', 'of', 'in') GROUP BY 1, 2""")
 def phrase_lookup(spark, d):
     return retrieval.phrase_table(table(spark, d, "documents")).where(F.col("phrase").isin("the and", "the of", "the in")).groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- reconciliation and audit ---------------------------------------------------------------------------------------
+
+_LINES = """SELECT * FROM VALUES (1, '305.4 Supports'), (2, 'Table 403.3 Rates'), (3, 'Q = A x V'), (4, 'Exception: none'), (5, 'a. footnote'), (6, 'See Section 305'), (7, '***'), (8, 'Ducts shall be sealed'), (9, 'User Note: x') AS t(id, text)"""
+
+
+@query("""SELECT * FROM (VALUES (1, 'section_heading'), (2, 'table_caption'), (3, 'equation'), (4, 'exception'), (5, 'table_footnote_candidate'), (6, 'cross_reference'), (7, 'source_artifact'), (8, 'normative_or_commentary_text'), (9, 'user_note')) AS t(id, category)""")
+def source_line_category(spark, d):
+    return spark.sql(_LINES).select("id", audit.line_category(F.col("text")).alias("category"))
+
+
+@query("""SELECT doc_id, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < 0.12 * length(text) AND length(text) >= 10 OR regexp_matches(text, '[\\x00-\\x08\\x0E-\\x1F\\x{FFFD}]') AS noise FROM documents""")
+def noise_detector(spark, d):
+    return table(spark, d, "documents").select("doc_id", audit.unparseable(F.col("text")).alias("noise"))
+
+
+@query("""WITH l AS (SELECT doc_id, i, trim(regexp_replace(ls[i], '[\\s\\x0B\\x{00A0}]+', ' ', 'g')) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE doc_id < 200)),
+g AS (SELECT doc_id, i, t, sum(CASE WHEN t = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM l)
+SELECT doc_id AS table_id, CAST(i - 1 AS INTEGER) AS line_index, CAST(g AS BIGINT) AS "group", CAST(row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS INTEGER) AS row FROM g WHERE t <> ''""")
+def table_row_groups(spark, d):
+    lines = table(spark, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("table_id"), F.posexplode(F.split("text", "\n")).alias("line_index", "text"))
+    return audit.table_rows(lines).select("table_id", "line_index", "group", "row")
+
+
+@query("""WITH f AS (SELECT user_id AS number, event_id, event_type AS c, first_value(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+SELECT number, CAST(row_number() OVER (PARTITION BY number ORDER BY event_id) - 1 AS INTEGER) AS row_index, c AS cells FROM f WHERE n = 1 OR c <> h""")
+def table_stitching(spark, d):
+    fragments = table(spark, d, "events").select(F.col("user_id").alias("number"), F.lit(1).alias("page"), F.col("event_id").alias("row"), F.array("event_type").alias("cells"))
+    return audit.stitched(fragments).select("number", "row_index", F.array_join("cells", " | ").alias("cells"))
+
+
+_SPAN = """WITH l AS (SELECT o.doc_id AS line_id, o.doc_id % 40 AS section, o.doc_id % 7 AS page, substr(b.text, 1, 80) || ' extra' AS text FROM documents o JOIN benchmark b ON b.item_id = o.doc_id % 37 WHERE o.doc_id < 400),
+t AS (SELECT item_id AS target_id, item_id AS ord, item_id % 37 AS section, item_id % 7 AS t_page, text AS target FROM benchmark),
+x AS (SELECT line_id, target_id, ord, page, t_page, text, target, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(target), '[a-z0-9]+')) AS b FROM l JOIN t USING (section)),
+s AS (SELECT *, len(list_intersect(a, b)) / len(a) AS c FROM x WHERE len(a) >= 3),
+r AS (SELECT line_id, target_id, ord, c, round(0.56 * c + 0.18 * CASE WHEN contains(lower(trim(regexp_replace(target, '[\\s\\x0B]+', ' ', 'g'))), lower(trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g')))) THEN 1.0 ELSE 0.0 END + 0.10 * CASE abs(page - t_page) WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.25 ELSE 0.0 END + 0.18, 6) AS score FROM s WHERE c >= 0.6)
+SELECT line_id, target_id, round(c, 6) AS coverage, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, ord, target_id) AS rn FROM r) WHERE rn = 1"""
+
+
+def _span_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lines = sql(spark, d, "SELECT o.doc_id AS line_id, o.doc_id % 40 AS section, o.doc_id % 7 AS page, concat(substr(b.text, 1, 80), ' extra') AS text FROM {documents} o JOIN {benchmark} b ON b.item_id = o.doc_id % 37 WHERE o.doc_id < 400")
+    return lines, sql(spark, d, "SELECT item_id AS target_id, item_id AS ord, item_id % 37 AS section, item_id % 7 AS t_page, text AS target FROM {benchmark}")
+
+
+@query(_SPAN)
+def span_match_scored(spark, d):
+    return audit.span_matches(*_span_inputs(spark, d))
+
+
+@query(f"WITH m AS ({_SPAN}) SELECT CASE WHEN o.doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, count(*) AS n, count(m.line_id) AS matched, round(100.0 * count(m.line_id) / count(*), 6) AS percent FROM documents o JOIN benchmark b ON b.item_id = o.doc_id % 37 LEFT JOIN m ON m.line_id = o.doc_id WHERE o.doc_id < 400 GROUP BY 1")
+def reconciliation_report(spark, d):
+    lines, targets = _span_inputs(spark, d)
+    return audit.report(lines.withColumn("category", F.when(F.col("line_id") % 2 == 0, "even").otherwise("odd")), audit.span_matches(lines, targets))
+
+
+@query("""WITH l AS (SELECT o_orderkey AS line_id, o_custkey % 50 AS page, o_orderkey % 700 AS top FROM orders WHERE o_orderkey < 500), t AS (SELECT p_partkey AS table_id, p_partkey % 50 AS page, p_size * 13 AS bottom FROM part WHERE p_partkey < 300)
+SELECT line_id, table_id FROM (SELECT line_id, table_id, row_number() OVER (PARTITION BY line_id ORDER BY CASE WHEN top - bottom < 0 THEN 1000 - (top - bottom) ELSE top - bottom END, table_id) AS rn FROM l JOIN t USING (page)) WHERE rn = 1""")
+def footnote_owner(spark, d):
+    lines = sql(spark, d, "SELECT o_orderkey AS line_id, o_custkey % 50 AS page, o_orderkey % 700 AS top FROM {orders} WHERE o_orderkey < 500")
+    return audit.footnote_owner(lines, sql(spark, d, "SELECT p_partkey AS table_id, p_partkey % 50 AS page, p_size * 13 AS bottom FROM {part} WHERE p_partkey < 300"))
+
+
+@query("""SELECT doc_id, sha256('Section ' || doc_id || ': ' || source || chr(10) || coalesce(text, '')) AS retrieval_sha256, CAST(greatest(1, floor((length('Section ' || doc_id || ': ' || source || chr(10) || coalesce(text, '')) + 3) / 4)) AS INTEGER) AS n_tokens FROM documents""")
+def retrieval_manifest(spark, d):
+    rows = evidence.retrieval_rows(table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("number"), F.col("source").alias("title"), "text"))
+    return rows.select("doc_id", "retrieval_sha256", "n_tokens")
