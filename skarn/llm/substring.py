@@ -160,11 +160,12 @@ def _cleaned(spark: SparkSession, docs: DataFrame, window: int, k: int) -> tuple
     edge = found.where("anchor is not null").select("doc_id", "text_key", "anchor", "edge", "s", "e")
 
     seen = edge.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("edge") == F.max("edge")).alias("straight"))
-    repeated = seen.where("low < high").select("anchor", "low", "straight")
+    # Written before they are joined: the join then lies right on its two exchanges, where a hot anchor can be split.
+    repeated = scratch.cut(seen.where("low < high").select("anchor", "low", "straight"), "anchors")
     at = scratch.cut(edge.join(repeated, "anchor"), "repeated")
     straight = at.where("straight and doc_id > low").select("doc_id", "text_key", "s", "e", F.lit(None).cast("long").alias("anchor"))
     branching = at.where("not straight").drop("straight", "low")
-    by_edge = branching.groupBy("anchor", "edge").agg(F.min("doc_id").alias("low"))
+    by_edge = scratch.cut(branching.groupBy("anchor", "edge").agg(F.min("doc_id").alias("low")), "edges")
     branching = branching.join(by_edge, ["anchor", "edge"])
     whole = branching.where("doc_id > low").select("doc_id", "text_key", "s", "e", F.lit(None).cast("long").alias("anchor"))
     check = branching.where("doc_id = low").select("doc_id", "text_key", "s", "e", "anchor")
@@ -175,8 +176,8 @@ def _cleaned(spark: SparkSession, docs: DataFrame, window: int, k: int) -> tuple
     here = _keyed(docs).join(by_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", F.filter("spans", lambda x: x["anchor"].isNull()).alias("spans"), F.filter("spans", lambda x: x["anchor"].isNotNull()).alias("checks"))
     texts = scratch.cut(here, "texts")
     windows = scratch.cut(texts.where("size(checks) > 0").select("doc_id", "text_key", "text", "checks").mapInArrow(_windows(window), "doc_id long, text_key long, anchor long, window long, i int"), "windows")
-    low = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    single = windows.join(low.drop("high"), ["anchor", "window"]).where("doc_id > low").groupBy("doc_id", "text_key").agg(F.collect_set("i").alias("singles"))
+    low = scratch.cut(windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high"), "lows")
+    single = windows.join(low, ["anchor", "window"]).where("doc_id > low").groupBy("doc_id", "text_key").agg(F.collect_set("i").alias("singles"))
     ready = texts.drop("checks").join(single, ["doc_id", "text_key"], "left").where("size(spans) > 0 or singles is not null")
     cleaned = ready.select("doc_id", "text_key", "text", "spans", "singles").mapInArrow(_remove(window), "doc_id long, text_key long, n_words long, n_removed long, kept_sha256 string, text string")
     return found.where("n_words is not null").select("doc_id", "text_key", "n_words", "kept_sha256"), cleaned
