@@ -62,7 +62,8 @@ def classes(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_BYTES
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)
-    groups = every.groupBy("depth", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
+    # Written before it is joined: the join then lies right on its two exchanges, where a hot group can be split.
+    groups = scratch.cut(every.groupBy("depth", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size")), "groups")
     out = every.join(groups, ["depth", "name"])
     return out.select("doc_id", "text_sha256", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row")).drop("row")
 
