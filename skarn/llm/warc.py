@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from skarn.llm.scratch import Scratch
 
-LEAST_BYTES, ARCHIVE_BYTES, READ_BYTES, READ_GAP, LEVEL = 100, 256 << 20, 8 << 20, 64 << 10, 4
+LEAST_BYTES, ARCHIVE_BYTES, READ_BYTES, READ_GAP, TASK_BYTES, LEVEL = 100, 256 << 20, 8 << 20, 64 << 10, 16 << 20, 4
 DATE = "2024-01-01T00:00:00Z"
 _INDEX = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string()), ("record_type", pa.string())])
 _INDEX_SQL = "page_id long, url string, archive string, offset long, length long, digest string, record_type string"
@@ -122,7 +122,9 @@ def write(spark: SparkSession, pages: DataFrame, root: str, least_bytes: int = L
     store.create_dir(f"{path}/archives", recursive=True)
     html = F.col("html").cast("string")
     one = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(F.coalesce(html, F.lit("")), 256).alias("digest"))
-    first = one.groupBy("digest").agg(F.min("page_id").alias("first"))
+    # Written before it is joined: the join then lies right on its two exchanges, where a hot digest can be split.
+    one.groupBy("digest").agg(F.min("page_id").alias("first")).write.parquet(f"{root}/first")
+    first = spark.read.schema("digest string, first long").parquet(f"{root}/first")
     large = F.octet_length("html") >= least_bytes
     refers = F.when(large & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     typed = one.join(first, "digest").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
@@ -176,9 +178,10 @@ def _reader(root: str, most: int, gap: int, with_payload: bool):
     return run
 
 
-def read(index: DataFrame, root: str, with_payload: bool = True, most: int = READ_BYTES, gap: int = READ_GAP) -> DataFrame:
-    """The records that the rows of index name."""
-    where = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+def read(index: DataFrame, root: str, with_payload: bool = True, most: int = READ_BYTES, gap: int = READ_GAP, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The records that the rows of index name, dealt to tasks by the bytes that they will read."""
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    where = index.select("archive", "offset", "length").repartitionByRange(1 + total // task_bytes, "archive", "offset").sortWithinPartitions("archive", "offset")
     return where.mapInArrow(_reader(f"{root}/archives", most, gap, with_payload), _RECORD_SQL)
 
 
