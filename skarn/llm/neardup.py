@@ -8,7 +8,9 @@ corrected for chance collisions. Pairs whose estimate lies more than `margin` be
 No bucket is expanded into all its pairs. First each bucket's members are compared with its hub, the member with
 the most company over all its bands, and the confirmed links are joined into components. Only buckets that still
 hold several components go on: there, members outside the hub's component are compared with all others, in
-blocks of `block` by `block` signatures, and only pairs across components that pass the estimate leave a block.
+blocks of at most `block` by `block` sets of 32-bit shingle hashes. Intersections are counted there by matrix products, and
+only pairs across components leave a block that are linked, or would be but for colliding hashes; so groups of texts
+that resemble one another without being linked do not leave it as pairs.
 
 Defined cases: null text counts as empty; a text without words has an empty set and is linked with nothing; a
 text with fewer words than a shingle has one shingle, its whole sequence; a null doc_id takes part but never
@@ -30,7 +32,7 @@ from skarn.llm import wordhash
 from skarn.llm.components import components
 from skarn.llm.scratch import Scratch
 
-BANDS, ROWS, BITS, MARGIN, BLOCK = 32, 4, 4, 0.19, 512
+BANDS, ROWS, BITS, MARGIN, BLOCK, COLUMNS = 32, 4, 4, 0.19, 1024, 8192
 _HASHES = BANDS * ROWS
 _SEED = np.random.default_rng(20240229)
 _MUL = (_SEED.integers(0, 1 << 31, _HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -92,7 +94,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x |= x >> np.uint64(1)
     differ = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
     chance = 2.0**-BITS
-    return (1 - differ / _HASHES - chance) / (1 - chance)
+    return (1 - differ / (x.shape[-1] * 64 // BITS) - chance) / (1 - chance)
 
 
 def _sign(k: int):
@@ -125,6 +127,17 @@ def _sign(k: int):
     return run
 
 
+def _short_sets(k: int):
+    """(node, text) as (node, size of its set, 32-bit halves of its shingle hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(1), k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets], pa.binary())], names=["node", "size", "shingles"])
+
+    return run
+
+
 _SIGNED = "doc_id long, text_key long, n_shingles long, set_id binary, signature binary, bands array<long>"
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -146,22 +159,41 @@ def _passing(least: float):
     return run
 
 
-def _across(least: float):
+def common(bounds: np.ndarray, tokens: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets `rows` with sets `columns`; set i is tokens[bounds[i]:bounds[i + 1]]."""
+    _, ids, uses = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = uses[ids] > 1
+    number = np.cumsum(uses > 1) - 1
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[shared]
+    ids = number[ids][shared]
+    order = np.argsort(ids, kind="stable")
+    of, ids = of[order], ids[order]
+    out = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    for start in range(0, int(ids[-1]) + 1 if len(ids) else 0, COLUMNS):
+        a, b = np.searchsorted(ids, [start, start + COLUMNS])
+        has = np.zeros((len(bounds) - 1, COLUMNS), dtype=np.float32)
+        has[of[a:b], ids[a:b] - start] = 1
+        out += has[rows] @ has[columns].T
+    return out.astype(np.int64)
+
+
+def _across(part: int, whole: int):
     """Within one block: pairs of a minor member and a member at home here, of different components."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node, component = (np.asarray(table[c]) for c in ("node", "component"))
+        node, component, size = (np.asarray(table[c]) for c in ("node", "component", "size"))
         minor, home = (np.flatnonzero(np.asarray(table[c])) for c in ("as_minor", "as_home"))
-        signature = _rows(table["signature"].chunk(0)) if table.num_rows else np.zeros((0, 8), np.uint64)
-        out_a, out_b = [], []
-        for i in minor.tolist():
-            ok = (similarity(signature[i], signature[home]) >= least) & (component[home] != component[i])
-            other = node[home[ok]]
-            out_a.append(np.minimum(other, node[i]))
-            out_b.append(np.maximum(other, node[i]))
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(join(out_a), pa.int64()), "b": pa.array(join(out_b), pa.int64())})
+        if not len(minor) or not len(home):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        data, bounds = wordhash.buffers(table["shingles"].chunk(0))
+        both = common(bounds // 4, np.frombuffer(data.tobytes(), dtype="<u4"), minor, home)
+        total = size[minor][:, None] + size[home][None, :]
+        both += 2 + (total * total >> 31)  # what collisions among 32-bit halves can hide
+        ok = (whole * both >= part * (total - both)) & (component[minor][:, None] != component[home][None, :])
+        i, j = np.nonzero(ok)
+        x, y = node[minor[i]], node[home[j]]
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
 
     return run
 
@@ -203,7 +235,8 @@ def classes(spark: SparkSession, docs: DataFrame, k: int = 5, part: int = 80, wh
     )
     nodes = scratch.cut(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written before they are joined, like all groups here: the join then lies right on its exchanges, where hot keys can be split.
+    shared = scratch.cut(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     member = scratch.cut(banded.join(shared, "bucket"), "members")
     company = member.groupBy("node").agg(F.sum("n").alias("company"))
     ranked = scratch.cut(member.join(company, "node"), "ranked")
@@ -216,37 +249,42 @@ def classes(spark: SparkSession, docs: DataFrame, k: int = 5, part: int = 80, wh
         two = one.join(signature.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
         return two.select("a", "b", "sa", "sb").mapInArrow(_passing(least), "a long, b long")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    def texts(need: DataFrame, name: str) -> DataFrame:
         of = nodes.join(need, "node").select("node", F.col("of.doc_id").alias("id"), F.col("of.text_key").alias("key"))
         found = keyed.join(of, (F.coalesce(keyed["doc_id"], F.lit(_LAST)) == of["id"]) & (keyed["text_key"] == of["key"]))
-        text = scratch.cut(found.dropDuplicates(["node"]).select("node", "text"), f"{name}-texts")
+        return scratch.cut(found.dropDuplicates(["node"]).select("node", "text"), f"{name}-texts")
+
+    def confirmed(pairs: DataFrame, text: DataFrame, name: str) -> DataFrame:
         one = pairs.join(text.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         two = one.join(text.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         return scratch.cut(two.select("a", "b", "ta", "tb").mapInArrow(_confirmed(k, part, whole), "a long, b long"), f"{name}-links")
 
-    links = confirmed(scratch.cut(estimated(stars), "stars"), "stars")
+    pairs = scratch.cut(estimated(stars), "stars")
+    links = confirmed(pairs, texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "stars"), "stars")
     label = components(scratch, links, "first")
 
     # Buckets in which several components are left, other than pairs: their hub has met every member.
     placed = ranked.where("n > 2").join(label, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
     hub_at = hubs.join(label.withColumnRenamed("node", "hub"), "hub", "left").select("bucket", "hub", F.coalesce("component", "hub").alias("hub_component"))
     placed = scratch.cut(placed.join(hub_at, "bucket").where("node <> hub").withColumn("minor", F.col("component") != F.col("hub_component")), "placed")
-    left = placed.groupBy("bucket").agg(F.count_if("minor").alias("n_minor")).where("n_minor > 0")
+    left = scratch.cut(placed.groupBy("bucket").agg(F.count_if("minor").alias("n_minor")).where("n_minor > 0"), "left")
     blocks, minor_blocks = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("n_minor") / block).cast("int")
     spot = F.xxhash64("node")
-    open_rows = placed.join(left, "bucket").join(signature, "node")
-    at_home = open_rows.select("bucket", "node", "component", "signature", F.lit(True).alias("as_home"), F.lit(False).alias("as_minor"), F.pmod(spot, blocks).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), minor_blocks - 1)).alias("i"))
-    as_minor = open_rows.where("minor").select("bucket", "node", "component", "signature", F.lit(False).alias("as_home"), F.lit(True).alias("as_minor"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.pmod(spot, minor_blocks).cast("int").alias("i"))
-    more = scratch.cut(at_home.unionByName(as_minor).groupBy("bucket", "i", "j").applyInArrow(_across(least), "a long, b long").distinct(), "more")
-    more_links = confirmed(more, "more")
+    still = scratch.cut(placed.join(left, "bucket"), "open")
+    open_texts = texts(still.select("node").distinct(), "open")
+    short_sets = scratch.cut(open_texts.mapInArrow(_short_sets(k), "node long, size long, shingles binary"), "sets")
+    open_rows = still.join(short_sets, "node")
+    at_home = open_rows.select("bucket", "node", "component", "size", "shingles", F.lit(True).alias("as_home"), F.lit(False).alias("as_minor"), F.pmod(spot, blocks).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), minor_blocks - 1)).alias("i"))
+    as_minor = open_rows.where("minor").select("bucket", "node", "component", "size", "shingles", F.lit(False).alias("as_home"), F.lit(True).alias("as_minor"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.pmod(spot, minor_blocks).cast("int").alias("i"))
+    more = scratch.cut(at_home.unionByName(as_minor).groupBy("bucket", "i", "j").applyInArrow(_across(part, whole), "a long, b long").distinct(), "more")
+    more_links = confirmed(more, open_texts, "more")
     comp = label
     if not more_links.isEmpty():
         comp = components(scratch, links.union(more_links), "second")
 
     placed_nodes = nodes.join(comp, "node", "left").select("set_id", "least_id", F.col("of.doc_id").alias("of_id"), F.col("of.text_key").alias("of_key"), F.coalesce("component", "node").alias("component"))
     placed_nodes = scratch.cut(placed_nodes, "components")
-    named = placed_nodes.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min(F.struct("of_id", "of_key")).alias("lead"))
+    named = scratch.cut(placed_nodes.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min(F.struct("of_id", "of_key")).alias("lead")), "named")
     by_set = scratch.cut(placed_nodes.join(named, "component").select("set_id", "component_id", "lead"), "by-set")
     out = signed.select("doc_id", "text_key", "n_shingles", "set_id").join(by_set, "set_id", "left")
     component_id = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
