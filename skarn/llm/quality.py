@@ -94,8 +94,10 @@ def host_verdicts(judged: DataFrame, most_failed: float = MOST_FAILED) -> DataFr
 
 def judge(spark: SparkSession, docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT, most_failed: float = MOST_FAILED) -> DataFrame:
     """doc_id, the measures, base_failed, host_rate, host_failed and kept of every row."""
-    table = Scratch(spark, "quality").cut(measure(docs, host).withColumn("base_failed", base_failed(None, None, min_words, max_repeat)), "measures")
-    verdicts = host_verdicts(table, most_failed).select("host", "host_rate", "host_failed")
+    scratch = Scratch(spark, "quality")
+    table = scratch.cut(measure(docs, host).withColumn("base_failed", base_failed(None, None, min_words, max_repeat)), "measures")
+    # Written, the verdicts have a known size: Spark broadcasts them below its own threshold, and else splits hot hosts.
+    verdicts = scratch.cut(host_verdicts(table, most_failed).select("host", "host_rate", "host_failed"), "verdicts")
     return table.join(verdicts, "host", "left").select("doc_id", *MEASURES, "base_failed", "host_rate", F.coalesce("host_failed", F.lit(False)).alias("host_failed"), (~(F.col("base_failed") | F.coalesce("host_failed", F.lit(False)))).alias("kept"))
 
 
@@ -105,8 +107,9 @@ def keep(spark: SparkSession, docs: DataFrame, host: str = "source") -> DataFram
     The rules are applied to the row itself, and the host's verdict is joined by host, so repeated ids stay apart.
     """
     marked = docs.withColumn("__failed", let(F.coalesce(F.col("text").cast("string"), F.lit("")), lambda t: let(words(t), lambda ws: base_failed(F.size(ws), repeated_words(ws)))))
-    table = Scratch(spark, "quality").cut(marked.select(F.col(host).cast("string").alias("host"), F.col("__failed").alias("base_failed")), "failed")
-    bad = host_verdicts(table).where("host_failed").select(F.col("host").alias("__host"))
+    scratch = Scratch(spark, "quality")
+    table = scratch.cut(marked.select(F.col(host).cast("string").alias("host"), F.col("__failed").alias("base_failed")), "failed")
+    bad = scratch.cut(host_verdicts(table).where("host_failed").select(F.col("host").alias("__host")), "bad")
     return marked.where("not __failed").join(bad, F.col(host).cast("string") == F.col("__host"), "left_anti").drop("__failed")
 
 
