@@ -20,16 +20,24 @@ def unicode_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), 0)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row. An expression that a lambda reads is else computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(words: Column, n: int) -> Column:
     """n neighbouring words joined by spaces; none where there are fewer."""
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " ")))
+    return let(words, lambda ws: F.when(F.size(ws) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))))
 
 
 def word_chunks(c: Column, size: int = 500, overlap: int = 50) -> Column:
     """Overlapping runs of words; every word is in one of them."""
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size - overlap))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " ")))
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size - overlap))
+        return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " ")))
+
+    return let(F.filter(F.split(c, r"\s+"), lambda w: w != ""), cut)
 
 
 def token_estimate(c: Column) -> Column:
@@ -50,8 +58,7 @@ def section_number(c: Column) -> Column:
 
 def section_path(number: Column) -> Column:
     """'901.1.1' as '/901/901.1/901.1.1'."""
-    parts = F.split(number, r"\.")
-    return F.concat(F.lit("/"), F.array_join(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), ".")), "/"))
+    return let(F.split(number, r"\."), lambda parts: F.concat(F.lit("/"), F.array_join(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), ".")), "/")))
 
 
 def section_level(number: Column) -> Column:

@@ -32,7 +32,7 @@ from skarn.llm import wordhash
 from skarn.llm.components import components
 from skarn.llm.scratch import Scratch
 
-BANDS, ROWS, BITS, MARGIN, BLOCK, COLUMNS = 32, 4, 4, 0.19, 1024, 8192
+BANDS, ROWS, BITS, MARGIN, BLOCK, COLUMNS = 32, 4, 4, 0.19, 512, 2048
 _HASHES = BANDS * ROWS
 _SEED = np.random.default_rng(20240229)
 _MUL = (_SEED.integers(0, 1 << 31, _HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -169,11 +169,20 @@ def common(bounds: np.ndarray, tokens: np.ndarray, rows: np.ndarray, columns: np
     order = np.argsort(ids, kind="stable")
     of, ids = of[order], ids[order]
     out = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    places = []
+    for part in (rows, columns):
+        place = np.full(len(bounds) - 1, -1)
+        place[part] = np.arange(len(part))
+        places.append(place)
     for start in range(0, int(ids[-1]) + 1 if len(ids) else 0, COLUMNS):
         a, b = np.searchsorted(ids, [start, start + COLUMNS])
-        has = np.zeros((len(bounds) - 1, COLUMNS), dtype=np.float32)
-        has[of[a:b], ids[a:b] - start] = 1
-        out += has[rows] @ has[columns].T
+        sides = []
+        for part, place in zip((rows, columns), places, strict=True):
+            has = np.zeros((len(part), COLUMNS), dtype=np.float32)
+            at = place[of[a:b]]
+            has[at[at >= 0], (ids[a:b] - start)[at >= 0]] = 1
+            sides.append(has)
+        out += sides[0] @ sides[1].T
     return out.astype(np.int64)
 
 

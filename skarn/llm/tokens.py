@@ -17,13 +17,13 @@ _LETTER, _LATIN, _MARK = (np.isin(np.arange(256), x) for x in (range(97, 123), [
 
 
 @lru_cache(maxsize=4)
-def word_tokens(path: str, most_words: int = 700_000) -> WordTokens:
+def word_tokens(path: str, most_words: int = 500_000) -> WordTokens:
     """One cache per worker process and file."""
     return WordTokens(path, most_words)
 
 
 class WordTokens:
-    def __init__(self, path: str, most_words: int = 700_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

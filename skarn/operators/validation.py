@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.functions.text import collapse
+from skarn.functions.text import collapse, ngrams
 
 NUMBER = r"\d+(?:\.\d+)?"
 _UNITS = [
@@ -20,14 +20,14 @@ QUANTITY = rf"(?i)(?<![\w.])({_VALUE})\s*-?\s*({'|'.join(p for _, p in _UNITS)})
 def quoted(quotes: DataFrame, sources: DataFrame, quote_id: str, source_id: str, least: int = 12) -> DataFrame:
     """(quote_id, source_id) where a source contains a quote of at least `least` characters.
 
-    Substring search has no key of its own, so pairs meet on the quote's first three words: a source that contains the
-    quote has them side by side, the first as a word's end. Only then is the whole quote compared.
+    Substring search has no key of its own, so pairs meet on the quote's second and third words: a source that contains
+    the quote has them whole and side by side. Only then is the whole quote compared. Quotes of fewer than four words
+    have no such pair; they are a stated set that is compared with every source.
     """
     head = F.split("quote", " ")
     long = quotes.where(F.length("quote") >= least)
     keyed = long.withColumn("__key", F.when(F.size(head) >= 4, F.concat_ws(" ", F.get(head, F.lit(1)), F.get(head, F.lit(2)))))
-    words = F.split("source", " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    pairs = ngrams(F.split("source", " "), 2)
     keys = keyed.where("__key is not null").select("__key").distinct()
     spread = sources.select(source_id, F.explode(F.array_distinct(pairs)).alias("__key")).join(keys, "__key", "left_semi")
     pairs_met = keyed.join(spread, "__key").join(sources, source_id).where(F.contains("source", "quote")).select(quote_id, source_id)
