@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.functions.similarity import sequence_likeness
 from skarn.functions.text import collapse, percentage, ratio, tokens
+from skarn.operators.extraction import box_gap, box_overlap
 from skarn.operators.joins import best
 
 SECTION = r"^\d{3,4}(?:\.\d+)*\.?\s+\S"
@@ -78,6 +80,21 @@ def span_matches(lines: DataFrame, targets: DataFrame, least: float = 0.6, least
     return best(scored, ["line_id"], [F.desc("score"), F.col("ord"), F.col("target_id")]).select("line_id", "target_id", F.round("coverage", 6).alias("coverage"), "score")
 
 
+def placed_matches(lines: DataFrame, targets: DataFrame, least: float = 0.6, least_tokens: int = 3) -> DataFrame:
+    """span_matches with places: lines have a box, targets (target_id, section, ord, t_page, target, t_box, body).
+
+    The score is 0.56 coverage + 0.18 likeness of the sequences + 0.10 nearness of pages + 0.08 overlap or nearness of the
+    boxes, whichever is more, on one page + 0.18 for the section + 0.06 for its chapter + 0.08 for body text.
+    """
+    page = F.abs(F.col("page") - F.col("t_page"))
+    near = F.when(page == 0, 1.0).when(page == 1, 0.6).when(page == 2, 0.25).otherwise(0.0)
+    both = lines.where(F.size(F.array_distinct(tokens(F.col("text")))) >= least_tokens).join(targets, "section").withColumn("coverage", token_overlap(F.col("text"), F.col("target"))).where(F.col("coverage") >= least)
+    place = F.greatest(F.coalesce(box_overlap(F.col("box"), F.col("t_box")), F.lit(0.0)), F.coalesce(1 / (1 + box_gap(F.col("box"), F.col("t_box")) / 100), F.lit(0.0)))
+    alike = both.withColumn("likeness", sequence_likeness(tokens(F.col("text")), tokens(F.col("target"))))
+    score = 0.56 * F.col("coverage") + 0.18 * F.col("likeness") + 0.10 * near + 0.08 * F.when(page == 0, place).otherwise(0.0) + 0.24 + F.when(F.col("body"), 0.08).otherwise(0.0)
+    return best(alike.withColumn("score", F.round(score, 6)), ["line_id"], [F.desc("score"), F.col("ord"), F.col("target_id")]).select("line_id", "target_id", F.round("coverage", 6).alias("coverage"), "score")
+
+
 def residual_tokens(matches: DataFrame, lines: DataFrame, targets: DataFrame) -> DataFrame:
     """line_id, residual: tokens of matched lines that their target lacks; they are kept, not dropped."""
     both = matches.join(lines, "line_id").join(targets.select("target_id", "target"), "target_id")

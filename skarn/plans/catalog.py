@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from skarn.plans import documents, queries, templates  # documents adds its queries to those of `queries`
+from skarn.plans import corpus, documents, queries, templates  # corpus and documents add their queries to those of `queries`
 from skarn.sources.tables import sql
 
 FLAGSHIP = "rrf_fused_topk"
-assert documents  # imported for its queries
+assert corpus and documents  # imported for its queries
 QUERIES: dict = {name: (lambda spark, sf_dir, text=text: sql(spark, sf_dir, text)) for name, text in templates.SHARED.items()} | queries.QUERIES
 ORACLE: dict = {name: templates.for_duckdb(text) for name, text in templates.SHARED.items()} | queries.ORACLE

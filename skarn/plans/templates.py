@@ -144,6 +144,31 @@ WITH old AS (SELECT s_suppkey AS k, s_name AS v FROM {supplier} WHERE s_suppkey
 SELECT k, v FROM new UNION ALL SELECT k, v FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.k = old.k)"""
 SHARED["edge_upsert"] = """
 SELECT DISTINCT s.s_suppkey AS src, p.p_partkey AS dst, 'SUPPLIES' AS type FROM {lineitem} l JOIN {supplier} s ON s.s_suppkey = l.l_suppkey JOIN {part} p ON p.p_partkey = l.l_partkey WHERE l.l_linenumber = 1"""
+SHARED["path_prefix"] = "SELECT o_orderkey, concat('/', o_custkey, '/', o_orderkey) AS path FROM {orders} WHERE concat('/', o_custkey, '/', o_orderkey) LIKE '/1/%' OR concat('/', o_custkey, '/', o_orderkey) LIKE '/7/%'"
+SHARED["caption_search"] = "SELECT p_partkey, p_name, p_type FROM {part} WHERE lower(concat(p_name, ' ', p_type)) LIKE '%steel%' OR lower(concat(p_name, ' ', p_type)) LIKE '%ring%'"
+SHARED["section_vs_table"] = """
+SELECT n_name, count(DISTINCT c_custkey) AS n_rows, count(DISTINCT CASE WHEN c_acctbal > 0 THEN c_custkey END) AS n_above, min(c_acctbal) AS least, max(c_acctbal) AS most
+FROM {nation} LEFT JOIN {customer} ON c_nationkey = n_nationkey GROUP BY n_name"""
+SHARED["breakdown_checked"] = """
+SELECT source, lang, n, CAST(sum(n) OVER () AS BIGINT) AS total, round(CAST(100 AS DOUBLE) * n / sum(n) OVER (), 4) AS percent FROM (SELECT source, lang, count(*) AS n FROM {documents} GROUP BY source, lang) x"""
+SHARED["duplicate_geometry"] = """
+SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id, event_type) AS BIGINT) AS same_text, CAST(count(*) OVER (PARTITION BY user_id, event_type, floor(value)) AS BIGINT) AS same_place FROM {events}"""
+SHARED["candidate_choice"] = """
+SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, event_id) AS rn FROM {events}) x WHERE rn = 1"""
+SHARED["referenced_tables"] = """
+SELECT DISTINCT o.o_orderkey, l.l_partkey FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'P'"""
+SHARED["split_disjoint"] = """
+SELECT count(*) AS n_shared FROM (SELECT doc_id FROM {labels} WHERE doc_id % 7 < 2 INTERSECT SELECT doc_id FROM {labels} WHERE doc_id % 7 >= 2) x"""
+SHARED["set_equality"] = """
+SELECT c_nationkey, count(*) AS n_customers, count(s_nationkey) AS n_with_supplier, count(*) = count(s_nationkey) AS is_subset FROM {customer} LEFT JOIN (SELECT DISTINCT s_nationkey FROM {supplier}) s ON s_nationkey = c_nationkey GROUP BY c_nationkey"""
+SHARED["graph_snapshot"] = """
+SELECT kind, name, n FROM (SELECT 'node' AS kind, 'Supplier' AS name, count(*) AS n FROM {supplier} UNION ALL SELECT 'node', 'Part', count(*) FROM {part} UNION ALL
+SELECT 'edge', 'SUPPLIES', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem}) a UNION ALL SELECT 'edge', 'CONTAINS', count(*) FROM {orders} UNION ALL
+SELECT 'unique', 'Supplier', count(DISTINCT s_suppkey) FROM {supplier}) x"""
+SHARED["null_last_order"] = """
+SELECT doc_id, CAST(row_number() OVER (ORDER BY q ASC NULLS LAST, doc_id) AS BIGINT) AS place FROM (SELECT d.doc_id, l.quality AS q FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id WHERE d.lang = 'fr') x"""
+SHARED["conversation_disagreement"] = """
+SELECT conv_id, count(*) AS n_turns, count(DISTINCT role) AS n_roles, max(length(text)) AS longest FROM {conversations} GROUP BY conv_id HAVING count(*) > 1"""
 
 
 def for_duckdb(text: str) -> str:
