@@ -145,7 +145,7 @@ def coerced_keys(spark, d):
     return e.select("event_id", rules.page_of(page).alias("page"), rules.block_of(block).alias("block"))
 
 
-@query("SELECT * FROM (VALUES (1, 1.0), (2, 0.666667), (3, 0.0), (4, 0.0)) AS t(id, likeness)")
+@query("SELECT id, CAST(likeness AS DOUBLE) AS likeness FROM (VALUES (1, 1.0), (2, 0.666667), (3, 0.0), (4, 0.0)) AS t(id, likeness)")
 def sequence_likeness(spark, d):
     pairs = spark.sql("SELECT * FROM VALUES (1, 'shall be kept', 'ducts shall be kept dry'), (2, 'a b c', 'a x c'), (3, '', 'a'), (4, 'a', 'b') AS t(id, a, b)")
     return pairs.select("id", F.round(similarity.sequence_likeness(tokens(F.col("a")), tokens(F.col("b"))), 6).alias("likeness"))
@@ -297,7 +297,7 @@ def any_cell(spark, d):
     return table(spark, d, "part").where(F.exists(F.split("p_name", " "), lambda w: F.contains(F.lower(w), F.lit("r")))).select("p_partkey", "p_name")
 
 
-@query("SELECT * FROM (VALUES (1, 't1', 1.24), (2, 't2', 1.03), (3, 't3', 1.1)) AS t(line_id, target_id, score)")
+@query("SELECT line_id, target_id, CAST(score AS DOUBLE) AS score FROM (VALUES (1, 't1', 1.24), (2, 't2', 1.03), (3, 't3', 1.1)) AS t(line_id, target_id, score)")
 def span_match_full(spark, d):
     lines = spark.sql("SELECT * FROM VALUES (1, 's', 4, 'shall be kept dry', named_struct('left', 0D, 'top', 0D, 'right', 10D, 'bottom', 10D)), (2, 's', 9, 'alpha beta gamma', NULL), (3, 'q', 7, 'one two three four', named_struct('left', 0D, 'top', 0D, 'right', 10D, 'bottom', 10D)) AS t(line_id, section, page, text, box)")
     targets = spark.sql("""SELECT * FROM VALUES ('t1', 's', 0, 4, 'Ducts shall be kept dry.', named_struct('left', 0D, 'top', 0D, 'right', 10D, 'bottom', 20D), true), ('t2', 's', 1, 10, 'x alpha gamma beta y', NULL, true),

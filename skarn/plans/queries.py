@@ -546,7 +546,7 @@ def synonym_exact(spark, d):
     return vocabulary.exact(spark.sql("SELECT * FROM VALUES ('Outdoor'), ('ventilator'), ('chimney') AS t(term)"), spark.sql(_SYNONYMS))
 
 
-@query("SELECT * FROM (VALUES ('exhaust fans', 'fan', 0.956522), ('gas furnaces', 'furnace', 0.956522)) AS t(term, canonical, score)")
+@query("SELECT term, canonical, CAST(score AS DOUBLE) AS score FROM (VALUES ('exhaust fans', 'fan', 0.956522), ('gas furnaces', 'furnace', 0.956522)) AS t(term, canonical, score)")
 def synonym_fuzzy(spark, d):
     return vocabulary.fuzzy(spark.sql("SELECT * FROM VALUES ('exhaust fans'), ('gas furnaces'), ('xyzzy') AS t(term)"), spark.sql(_SYNONYMS))
 

@@ -168,7 +168,7 @@ SELECT 'unique', 'Supplier', count(DISTINCT s_suppkey) FROM {supplier}) x"""
 SHARED["null_last_order"] = """
 SELECT doc_id, CAST(row_number() OVER (ORDER BY q ASC NULLS LAST, doc_id) AS BIGINT) AS place FROM (SELECT d.doc_id, l.quality AS q FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id WHERE d.lang = 'fr') x"""
 SHARED["conversation_disagreement"] = """
-SELECT conv_id, count(*) AS n_turns, count(DISTINCT role) AS n_roles, max(length(text)) AS longest FROM {conversations} GROUP BY conv_id HAVING count(*) > 1"""
+SELECT conv_id, count(*) AS n_turns, count(DISTINCT role) AS n_roles, CAST(max(length(text)) AS BIGINT) AS longest FROM {conversations} GROUP BY conv_id HAVING count(*) > 1"""
 
 
 def for_duckdb(text: str) -> str:
