@@ -13,7 +13,9 @@ from skarn.functions.text import collapse, let
 from skarn.operators.joins import best
 
 MOST_LEVELS = 8
-BOUNDARY = r"(?i)^(?:\d{3,4}(?:\.\d+)*\.?\s+\S|table\s+\d|exceptions?\b|insights|user note)"
+# What begins an exception block, and what ends one.
+MARKER = r"(?i)^exceptions?\s*:"
+BOUNDARY = r"^(?:(?i:section)\s+\d{3,4}\s+\S|\d{3,4}(?:\.\d+)+\s+\S|TABLE\s+\d+(?:\.\d+)*(?:\(\d+\))?(?=\s|$)|(?i:exceptions?\s*:|insights|user note))"
 
 
 def stack_parents(headings: DataFrame, group: str, order: str, most_levels: int = MOST_LEVELS) -> DataFrame:
@@ -39,7 +41,7 @@ def exception_blocks(lines: DataFrame, group: str = "doc_id", order: str = "line
     edge = plain.rlike(BOUNDARY)
     cut = lines.select(group, order, collapse(F.col("text")).alias("text"), plain.alias("plain"), edge.alias("edge"))
     numbered = cut.withColumn("block", F.sum(F.col("edge").cast("int")).over(w))
-    marker = F.first(F.when(F.col("edge"), F.col("plain").rlike(r"(?i)^exceptions?\b")), ignorenulls=True).over(Window.partitionBy(group, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    marker = F.first(F.when(F.col("edge"), F.col("plain").rlike(MARKER)), ignorenulls=True).over(Window.partitionBy(group, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     inside = numbered.withColumn("marked", marker).where("marked")
     within = Window.partitionBy(group, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     number = F.nullif(F.regexp_extract("plain", r"^(\d+)\.?$", 1), F.lit(""))

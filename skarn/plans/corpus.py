@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import rules, similarity
 from skarn.functions.text import tokens
-from skarn.operators import answers, audit, joins, refresh, structure
+from skarn.operators import answers, audit, inventory, joins, refresh, structure
 from skarn.plans.queries import query
 from skarn.plans.tools import Tools
 from skarn.sources.tables import sql, table
@@ -303,3 +303,37 @@ def span_match_full(spark, d):
     targets = spark.sql("""SELECT * FROM VALUES ('t1', 's', 0, 4, 'Ducts shall be kept dry.', named_struct('left', 0D, 'top', 0D, 'right', 10D, 'bottom', 20D), true), ('t2', 's', 1, 10, 'x alpha gamma beta y', NULL, true),
       ('t3', 'q', 0, 7, 'one two x three four', named_struct('left', 0D, 'top', 110D, 'right', 10D, 'bottom', 120D), false) AS t(target_id, section, ord, t_page, target, t_box, body)""")
     return audit.placed_matches(lines, targets).select("line_id", "target_id", F.round("score", 3).alias("score"))
+
+
+# --- inventory ------------------------------------------------------------------------------------------------------
+
+_SOURCE = """SELECT * FROM VALUES (1, 0, 1, 'SECTION 305 PIPING.', 18D, array(4)), (1, 1, 1, '[M] 305.10 Last', 14D, array(20)), (1, 2, 1, '305.2 Hangers', 14D, array(4)), (1, 3, 2, '305.2  Hangers.', 16D, array(4)), (1, 4, 2, '305.10 Last', 16D, array(20)),
+(1, 5, 2, 'TABLE 305.4(1) SPACING', 12D, array(4)), (1, 6, 2, 'see TABLE 9', 12D, array(4)), (1, 7, 3, 'TABLE 305.4(2)', 13D, array(4)), (1, 8, 3, 'Use Equation 4 - 1 here', 10D, array(4)), (1, 9, 4, 'Eq. 4-1 again, Eq. 4-2', 10D, array(4)) AS t(doc_id, line_index, page, text, max_font_size, flags)"""
+
+
+@query("""SELECT * FROM (VALUES ('305', 'PIPING', 'top_level_section', 1, 1), ('305.2', 'Hangers', 'numbered_section', 2, 2), ('305.10', 'Last', 'numbered_section', 1, 3)) AS t(number, title, kind, page, place)""")
+def source_inventory(spark, d):
+    found = inventory.headings(spark.sql(_SOURCE))
+    return found.join(inventory.numbers(found), ["doc_id", "number"]).select("number", "title", "kind", "page", "place")
+
+
+@query("SELECT * FROM (VALUES ('305.4(1)', 'SPACING', 5, 7), ('305.4(2)', '', 7, NULL)) AS t(number, title, line_index, next_line)")
+def table_captions(spark, d):
+    return inventory.captions(spark.sql(_SOURCE)).select("number", "title", "line_index", "next_line")
+
+
+@query("SELECT * FROM (VALUES ('4-1', 3, 'Use Equation 4 - 1 here')) AS t(number, page, context)")
+def equation_inventory(spark, d):
+    return inventory.equations(spark.sql(_SOURCE)).select("number", "page", "context")
+
+
+@query("SELECT * FROM (VALUES ('t', 1, 'Table 1'), ('t', 2, 'a | '), ('t', 3, 'b | c'), ('t', 4, 'Footnote: n')) AS t(table_id, ordinal, text)")
+def table_records(spark, d):
+    rows = spark.sql("SELECT * FROM VALUES ('t', 2, array('b', 'c')), ('t', 0, array(' a', NULL)), ('t', 1, array('', ' ')) AS t(table_id, row_index, cells)")
+    return inventory.table_records(spark.sql("SELECT 't' AS table_id, 'Table 1' AS title"), rows, spark.sql("SELECT 't' AS table_id, 0 AS n, 'n' AS note"))
+
+
+@query()
+def sketch_estimates(spark, d):
+    """Sketches merge across tasks, so distinct counts and quantiles need no shuffle of values."""
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("n_parts"), F.approx_count_distinct("l_suppkey").alias("n_suppliers"), F.percentile_approx("l_quantity", 0.5, 1000).alias("median_quantity"))

@@ -144,6 +144,8 @@ WITH old AS (SELECT s_suppkey AS k, s_name AS v FROM {supplier} WHERE s_suppkey
 SELECT k, v FROM new UNION ALL SELECT k, v FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.k = old.k)"""
 SHARED["edge_upsert"] = """
 SELECT DISTINCT s.s_suppkey AS src, p.p_partkey AS dst, 'SUPPLIES' AS type FROM {lineitem} l JOIN {supplier} s ON s.s_suppkey = l.l_suppkey JOIN {part} p ON p.p_partkey = l.l_partkey WHERE l.l_linenumber = 1"""
+SHARED["range_frames"] = """
+SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 200 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent, CAST(count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS around FROM {events}"""
 SHARED["path_prefix"] = "SELECT o_orderkey, concat('/', o_custkey, '/', o_orderkey) AS path FROM {orders} WHERE concat('/', o_custkey, '/', o_orderkey) LIKE '/1/%' OR concat('/', o_custkey, '/', o_orderkey) LIKE '/7/%'"
 SHARED["caption_search"] = "SELECT p_partkey, p_name, p_type FROM {part} WHERE lower(concat(p_name, ' ', p_type)) LIKE '%steel%' OR lower(concat(p_name, ' ', p_type)) LIKE '%ring%'"
 SHARED["section_vs_table"] = """
