@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.functions.text import collapse, ngrams, tokens
+from skarn.functions.text import collapse, let, ngrams, tokens
 
 
 def lexical(passages: DataFrame, query: str, owner: str = "doc_id", text: str = "text", k: int = 10) -> DataFrame:
@@ -19,10 +19,11 @@ def lexical(passages: DataFrame, query: str, owner: str = "doc_id", text: str =
     words = [w for w in _words(query) if len(w) > 2]
     grams = lambda n: list(dict.fromkeys(" ".join(words[i : i + n]) for i in range(len(words) - n + 1)))
     body = collapse(F.lower(F.col(text)))
-    hits = [F.when(F.contains(body, F.lit(g)), weight).otherwise(0) for n, weight in ((1, 1), (2, 5), (3, 10)) for g in grams(n)]
-    if not hits:
+    phrases = [(g, weight) for n, weight in ((1, 1), (2, 5), (3, 10)) for g in grams(n)]
+    if not phrases:
         return passages.select(owner, F.lit(0).alias("score")).limit(0)
-    scored = passages.select(owner, reduce(Column.__add__, hits).alias("score")).where("score > 0")
+    score = let(body, lambda b: reduce(Column.__add__, [F.when(F.contains(b, F.lit(g)), weight).otherwise(0) for g, weight in phrases]))
+    scored = passages.select(owner, score.alias("score")).where("score > 0")
     return scored.groupBy(owner).agg(F.max("score").alias("score")).orderBy(F.desc("score"), owner).limit(k)
 
 
