@@ -25,13 +25,19 @@ def headings(texts: DataFrame) -> DataFrame:
 
 
 def section_contents(texts: DataFrame, most: int = 2000) -> DataFrame:
-    """doc_id, number, content: the text from each heading to the next, or `most` characters behind the last."""
+    """doc_id, number, content: the text from each heading to the next, or `most` characters behind the document's last.
+
+    The texts behind several headings of one number are one content, in order.
+    """
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     number = F.nullif(F.regexp_extract("line", r"^(\d{3,4}(?:\.\d+)*)\.?[ \t]+\S", 1), F.lit(""))
     w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owned = lines.withColumn("head", number).withColumn("number", F.last("head", ignorenulls=True).over(w)).where("number is not null and head is null")
-    body = owned.groupBy("doc_id", "number").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("ls"))
-    return body.select("doc_id", "number", F.substring(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), 1, most).alias("content"))
+    headed = lines.withColumn("head", number).withColumn("number", F.last("head", ignorenulls=True).over(w)).withColumn("at", F.count("head").over(w)).withColumn("last", F.count("head").over(Window.partitionBy("doc_id")))
+    owned = headed.where("number is not null and head is null").groupBy("doc_id", "number", "at", "last").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("ls"))
+    joined = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
+    parts = owned.withColumn("part", F.when(F.col("at") == F.col("last"), F.substring(joined, 1, most)).otherwise(joined))
+    body = parts.groupBy("doc_id", "number").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("ps"))
+    return body.select("doc_id", "number", F.array_join(F.transform("ps", lambda x: x["part"]), "\n").alias("content"))
 
 
 def _annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
