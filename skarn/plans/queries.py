@@ -427,7 +427,7 @@ _SOURCE = "SELECT doc_id AS evidence_id, trim(regexp_replace(text, '[\\s\\x0B\\x
 d AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x0B\\x{00A0}]+', ' ', 'g')) AS source FROM documents)
 SELECT item_id, doc_id FROM b JOIN d ON contains(source, substr(quote, 1, 60)) WHERE length(quote) >= 12""")
 def quote_containment(spark, d):
-    return validation.quoted(table(spark, d, "benchmark").select("item_id", F.substring(X.collapse(F.col("text")), 1, 60).alias("quote")), table(spark, d, "documents").select("doc_id", X.collapse(F.col("text")).alias("source")), "item_id", "doc_id")
+    return validation.quoted(table(spark, d, "benchmark").select("item_id", X.collapse(F.col("text")).alias("quote")), table(spark, d, "documents").select("doc_id", X.collapse(F.col("text")).alias("source")), "item_id", "doc_id")
 
 
 _ANSWERS = "SELECT * FROM VALUES (1, 'Vents end outdoors [E1]. Ducts are sealed [E2][E3].', array('E1', 'E2')), (2, 'No citation here.', array('E1')), (3, 'See [E9] and [Section 4].', array('E1')), (4, 'Twice [E1][E1].', array('E1')) AS t(id, answer, allowed)"

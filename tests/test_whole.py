@@ -1,13 +1,27 @@
 """Operators do the whole job: nothing is cut, left out or sampled."""
 
 from skarn.operators import extraction
+from skarn.plans import catalog
 
 
 def rows(df, *order):
     return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
 
 
+def folder(tmp_path, **tables):
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
 def test_only_the_last_section_is_cut(spark):
     long = "\n".join("a line of a section" for _ in range(200))
     texts = spark.createDataFrame([(1, f"305 One\n{long}\n306 Two\n{long}"), (2, f"305 One\n{long}\n306 Two"), (3, f"305 One\n{long}\n306 Two\nx\n305 One\n{long}")], "doc_id int, text string")
     assert rows(extraction.section_contents(texts), "doc_id", "number") == [(1, "305", long), (1, "306", long[:2000]), (2, "305", long), (3, "305", long + "\n" + long[:2000]), (3, "306", "x")]
+
+
+def test_a_quote_counts_to_its_end(spark, tmp_path):
+    head = "ducts of gypsum board are allowed where the air is dry enough for it"
+    items = spark.createDataFrame([(1, f"{head} and nowhere else")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"say {head} and  nowhere else."), (2, f"say {head} and also elsewhere.")], "doc_id long, text string")
+    assert rows(catalog.QUERIES["quote_containment"](spark, folder(tmp_path, benchmark=items, documents=docs))) == [(1, 1)]
