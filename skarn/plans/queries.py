@@ -303,6 +303,26 @@ def multiset_token_coverage(spark, d):
     return matched.join(total, "item_id").select("item_id", "doc_id", "matched", F.round(F.col("matched") / F.col("total"), 6).alias("coverage"))
 
 
+@query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS bs FROM benchmark)
+SELECT item_id, doc_id, CAST(len(list_intersect(bs, ws)) AS BIGINT) AS covered, round(len(list_intersect(bs, ws)) / len(bs), 6) AS share FROM b CROSS JOIN t WHERE len(bs) > 0 AND len(list_intersect(bs, ws)) / len(bs) >= 0.6""")
+def set_token_coverage_whole(spark, d):
+    """Every document against every item; set_token_coverage has one item a document."""
+    return _covered(spark, d, True).select("item_id", "doc_id", "covered", F.round("share", 6).alias("share"))
+
+
+@query("""WITH b AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) GROUP BY 1, 2), t AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY 1, 2),
+s AS (SELECT item_id, sum(n) AS total FROM b GROUP BY 1)
+SELECT b.item_id, t.doc_id, CAST(sum(least(b.n, t.n)) AS BIGINT) AS matched, round(sum(least(b.n, t.n)) / any_value(total), 6) AS coverage FROM b JOIN t ON b.w = t.w JOIN s ON s.item_id = b.item_id GROUP BY 1, 2 HAVING sum(least(b.n, t.n)) / any_value(total) >= 0.6""")
+def multiset_token_coverage_whole(spark, d):
+    """Every document against every item; multiset_token_coverage has one item a document."""
+    return _covered(spark, d, False).select("item_id", "doc_id", F.col("covered").alias("matched"), F.round("share", 6).alias("coverage"))
+
+
+def _covered(spark: SparkSession, d: str, once: bool) -> DataFrame:
+    items, docs = (joins.token_counts(table(spark, d, name), [key], once) for name, key in (("benchmark", "item_id"), ("documents", "doc_id")))
+    return joins.token_coverage(items, docs, ["item_id"], ["doc_id"], 0.6)
+
+
 @query("SELECT source, max(length(text)) AS longest, min(doc_id) FILTER (length(text) = m) AS doc_id FROM (SELECT *, max(length(text)) OVER (PARTITION BY source) AS m FROM documents) GROUP BY source")
 def longest_text(spark, d):
     best = F.max(F.struct(F.length("text").alias("n"), (-F.col("doc_id")).alias("i")))

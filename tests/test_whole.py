@@ -1,6 +1,11 @@
 """Operators do the whole job: nothing is cut, left out or sampled."""
 
-from skarn.operators import extraction
+import random
+from collections import Counter
+
+import pytest
+
+from skarn.operators import extraction, joins
 from skarn.plans import catalog
 
 
@@ -25,3 +30,22 @@ def test_a_quote_counts_to_its_end(spark, tmp_path):
     items = spark.createDataFrame([(1, f"{head} and nowhere else")], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"say {head} and  nowhere else."), (2, f"say {head} and also elsewhere.")], "doc_id long, text string")
     assert rows(catalog.QUERIES["quote_containment"](spark, folder(tmp_path, benchmark=items, documents=docs))) == [(1, 1)]
+
+
+@pytest.mark.parametrize("once", [True, False])
+@pytest.mark.parametrize("least", [0.3, 0.6, 1.0])
+def test_coverage_finds_what_brute_force_finds(spark, once, least):
+    rand = random.Random(7)
+    text = lambda n: " ".join(f"w{int(rand.paretovariate(0.7)) % 30}" for _ in range(n))
+    a, b = [(i, text(rand.randint(0, 9))) for i in range(40)], [(i, text(rand.randint(0, 30))) for i in range(60)]
+    count = lambda t: Counter(set(t.split()) if once else t.split())
+    want = [(i, j, n, n / len(list(x.elements()))) for i, s in a for j, t in b if (x := count(s)) and (n := (x & count(t)).total()) / x.total() >= least]
+    frames = [joins.token_counts(spark.createDataFrame(r, f"{k} int, text string"), [k], once) for k, r in (("i", a), ("j", b))]
+    assert rows(joins.token_coverage(*frames, ["i"], ["j"], least), "i", "j") == want
+
+
+@pytest.mark.parametrize("name", ["set_token_coverage_whole", "multiset_token_coverage_whole"])
+def test_a_passage_is_found_whatever_the_ids(spark, tmp_path, name):
+    items = spark.createDataFrame([(77, "ducts of gypsum board"), (3, "other words")], "item_id long, text string")
+    docs = spark.createDataFrame([(4, "the ducts of gypsum board are dry"), (5, "nothing")], "doc_id long, text string")
+    assert rows(catalog.QUERIES[name](spark, folder(tmp_path, benchmark=items, documents=docs)).select("item_id", "doc_id")) == [(77, 4)]
