@@ -68,24 +68,23 @@ def unique_match(wants: DataFrame, offers: DataFrame, keys: list[str], take: str
 
 def token_counts(texts: DataFrame, keys: list[str], once: bool = True) -> DataFrame:
     """keys, w, n: the tokens of texts (keys, text) with their counts, or each once."""
-    words = tokens(F.col("text"))
-    if once:
-        return texts.select(*keys, F.explode(F.array_distinct(words)).alias("w")).withColumn("n", F.lit(1).cast("long"))
-    return texts.select(*keys, F.explode(words).alias("w")).groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("n"))
+    words = texts.dropna(subset=keys).select(*keys, F.explode(tokens(F.col("text"))).alias("w")).where("w is not null")
+    return words.groupBy(*keys, "w").agg((F.lit(1).cast("long") if once else F.count(F.lit(1))).alias("n"))
 
 
-def token_coverage(wants: DataFrame, offers: DataFrame, want: list[str], offer: list[str], least: float) -> DataFrame:
-    """want, offer, covered, share: all pairs in which offer's tokens cover `least` or more of want's; both are token counts.
+def token_coverage(wants: DataFrame, offers: DataFrame, want: list[str], offer: list[str], least: float, once: bool = True) -> DataFrame:
+    """want, offer, covered, share: all pairs of texts in which offer's tokens cover `least` or more of want's.
 
     An offer that covers so much has one of the want's rarest tokens: of those that leave less than `least` behind
-    them. Pairs meet on these only and are then counted on all tokens, so no pair at or above `least` is lost.
+    them. Pairs meet on these only and are then counted on all tokens, so no pair at or above `least` is lost. Offers
+    are counted once: all three uses of `postings` read the same columns, so Spark has one exchange for them.
     """
-    known = wants.select("w").distinct()
-    postings = offers.join(known, "w", "left_semi").withColumnRenamed("n", "m")
-    rarity = postings.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    counts = token_counts(wants, want, once)
+    postings = token_counts(offers, offer, once).withColumnRenamed("n", "m").where("m > 0")
+    rarity = postings.groupBy("w").agg(F.sum("m").alias("df"))
     by_want = Window.partitionBy(*want)
-    ranked = wants.join(rarity, "w", "left").withColumn("total", F.sum("n").over(by_want)).withColumn("upto", F.sum("n").over(by_want.orderBy(F.coalesce("df", F.lit(0).cast("long")), "w").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = counts.join(rarity, "w", "left").withColumn("total", F.sum("n").over(by_want)).withColumn("upto", F.sum("n").over(by_want.orderBy(F.coalesce("df", F.lit(0).cast("long")), "w").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rare = ranked.where((F.col("upto") - F.col("n") <= F.col("total") - F.ceil(F.lit(least) * F.col("total") - 1e-9)) & F.col("df").isNotNull())
-    pairs = rare.select(*want, "w", "total").join(postings.select(*offer, "w"), "w").select(*want, *offer, "total").distinct()
-    counted = pairs.join(wants, want).join(postings, [*offer, "w"]).groupBy(*want, *offer, "total").agg(F.sum(F.least("n", "m")).alias("covered"))
+    pairs = rare.select(*want, "w", "total").join(postings, "w").select(*want, *offer, "total").distinct()
+    counted = pairs.join(counts, want).join(postings, [*offer, "w"]).groupBy(*want, *offer, "total").agg(F.sum(F.least("n", "m")).alias("covered"))
     return counted.withColumn("share", F.col("covered") / F.col("total")).where(F.col("share") >= least).drop("total")

@@ -319,8 +319,7 @@ def multiset_token_coverage_whole(spark, d):
 
 
 def _covered(spark: SparkSession, d: str, once: bool) -> DataFrame:
-    items, docs = (joins.token_counts(table(spark, d, name), [key], once) for name, key in (("benchmark", "item_id"), ("documents", "doc_id")))
-    return joins.token_coverage(items, docs, ["item_id"], ["doc_id"], 0.6)
+    return joins.token_coverage(table(spark, d, "benchmark"), table(spark, d, "documents"), ["item_id"], ["doc_id"], 0.6, once)
 
 
 @query("SELECT source, max(length(text)) AS longest, min(doc_id) FILTER (length(text) = m) AS doc_id FROM (SELECT *, max(length(text)) OVER (PARTITION BY source) AS m FROM documents) GROUP BY source")

@@ -40,8 +40,8 @@ def test_coverage_finds_what_brute_force_finds(spark, once, least):
     a, b = [(i, text(rand.randint(0, 9))) for i in range(40)], [(i, text(rand.randint(0, 30))) for i in range(60)]
     count = lambda t: Counter(set(t.split()) if once else t.split())
     want = [(i, j, n, n / len(list(x.elements()))) for i, s in a for j, t in b if (x := count(s)) and (n := (x & count(t)).total()) / x.total() >= least]
-    frames = [joins.token_counts(spark.createDataFrame(r, f"{k} int, text string"), [k], once) for k, r in (("i", a), ("j", b))]
-    assert rows(joins.token_coverage(*frames, ["i"], ["j"], least), "i", "j") == want
+    frames = [spark.createDataFrame(r, f"{k} int, text string") for k, r in (("i", a), ("j", b))]
+    assert rows(joins.token_coverage(*frames, ["i"], ["j"], least, once), "i", "j") == want
 
 
 @pytest.mark.parametrize("name", ["set_token_coverage_whole", "multiset_token_coverage_whole"])
