@@ -650,6 +650,31 @@ def reconciliation_report(spark, d):
     return audit.report(lines.withColumn("category", F.when(F.col("line_id") % 2 == 0, "even").otherwise("odd")), audit.span_matches(lines, targets))
 
 
+_SPAN_WHOLE = """WITH l AS (SELECT doc_id || ':' || (i - 1) AS line_id, ls[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+a AS (SELECT line_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a FROM l), t AS (SELECT item_id AS target_id, text AS target, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS b FROM benchmark),
+s AS (SELECT *, len(list_intersect(a, b)) / len(a) AS c FROM a JOIN t ON len(a) >= 3 AND len(list_intersect(a, b)) / len(a) >= 0.6),
+r AS (SELECT line_id, target_id, c, round(0.56 * c + 0.18 * CASE WHEN contains(lower(trim(regexp_replace(target, '[\\s\\x0B\\x{00A0}]+', ' ', 'g'))), lower(trim(regexp_replace(text, '[\\s\\x0B\\x{00A0}]+', ' ', 'g')))) THEN 1.0 ELSE 0.0 END, 6) AS score FROM s)
+SELECT line_id, target_id, round(c, 6) AS coverage, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, target_id) AS rn FROM r) WHERE rn = 1"""
+
+
+def _span_inputs_whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select(F.concat_ws(":", "doc_id", "i").alias("line_id"), F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("category"), "text")
+    return lines, table(spark, d, "benchmark").select(F.col("item_id").alias("target_id"), F.col("item_id").alias("ord"), F.col("text").alias("target"))
+
+
+@query(_SPAN_WHOLE)
+def span_match_scored_whole(spark, d):
+    """Every line of every document against every passage; span_match_scored has made-up lines of 400 ids."""
+    lines, targets = _span_inputs_whole(spark, d)
+    return audit.span_matches_anywhere(lines.select("line_id", "text"), targets)
+
+
+@query(f"WITH m AS ({_SPAN_WHOLE}), n AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, doc_id || ':' || (unnest(range(1, len(string_split(text, chr(10))) + 1)) - 1) AS line_id FROM documents) SELECT category, count(*) AS n, count(m.line_id) AS matched, round(100.0 * count(m.line_id) / count(*), 6) AS percent FROM n LEFT JOIN m USING (line_id) GROUP BY 1")
+def reconciliation_report_whole(spark, d):
+    lines, targets = _span_inputs_whole(spark, d)
+    return audit.report(lines, audit.span_matches_anywhere(lines.select("line_id", "text"), targets))
+
+
 @query("""WITH l AS (SELECT o_orderkey AS line_id, o_custkey % 50 AS page, o_orderkey % 700 AS top FROM orders WHERE o_orderkey < 500), t AS (SELECT p_partkey AS table_id, p_partkey % 50 AS page, p_size * 13 AS bottom FROM part WHERE p_partkey < 300)
 SELECT line_id, table_id FROM (SELECT line_id, table_id, row_number() OVER (PARTITION BY line_id ORDER BY CASE WHEN top - bottom < 0 THEN 1000 - (top - bottom) ELSE top - bottom END, table_id) AS rn FROM l JOIN t USING (page)) WHERE rn = 1""")
 def footnote_owner(spark, d):

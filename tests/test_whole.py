@@ -49,3 +49,11 @@ def test_a_passage_is_found_whatever_the_ids(spark, tmp_path, name):
     items = spark.createDataFrame([(77, "ducts of gypsum board"), (3, "other words")], "item_id long, text string")
     docs = spark.createDataFrame([(4, "the ducts of gypsum board are dry"), (5, "nothing")], "doc_id long, text string")
     assert rows(catalog.QUERIES[name](spark, folder(tmp_path, benchmark=items, documents=docs)).select("item_id", "doc_id")) == [(77, 4)]
+
+
+def test_lines_of_all_documents_meet_all_passages(spark, tmp_path):
+    items = spark.createDataFrame([(1, "other words"), (150, "Ducts of gypsum  board are dry")], "item_id long, text string")
+    docs = spark.createDataFrame([(9000, "x\nof gypsum board\nducts of wet gypsum board\nno match in here")], "doc_id long, text string")
+    d = folder(tmp_path, benchmark=items, documents=docs)
+    assert [r[:2] for r in rows(catalog.QUERIES["span_match_scored_whole"](spark, d), "line_id")] == [("9000:1", 150), ("9000:2", 150)]
+    assert rows(catalog.QUERIES["reconciliation_report_whole"](spark, d)) == [("even", 4, 2, 50.0)]
