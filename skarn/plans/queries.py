@@ -619,6 +619,13 @@ def table_row_groups(spark, d):
     return audit.table_rows(lines).select("table_id", "line_index", "group", "row")
 
 
+@query(ORACLE["table_row_groups"].replace(" WHERE doc_id < 200", ""))
+def table_row_groups_whole(spark, d):
+    """Every document; table_row_groups has 200 ids."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("table_id"), F.posexplode(F.split("text", "\n")).alias("line_index", "text"))
+    return audit.table_rows(lines).select("table_id", "line_index", "group", "row")
+
+
 @query("""WITH f AS (SELECT user_id AS number, event_id, event_type AS c, first_value(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
 SELECT number, CAST(row_number() OVER (PARTITION BY number ORDER BY event_id) - 1 AS INTEGER) AS row_index, c AS cells FROM f WHERE n = 1 OR c <> h""")
 def table_stitching(spark, d):

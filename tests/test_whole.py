@@ -57,3 +57,8 @@ def test_lines_of_all_documents_meet_all_passages(spark, tmp_path):
     d = folder(tmp_path, benchmark=items, documents=docs)
     assert [r[:2] for r in rows(catalog.QUERIES["span_match_scored_whole"](spark, d), "line_id")] == [("9000:1", 150), ("9000:2", 150)]
     assert rows(catalog.QUERIES["reconciliation_report_whole"](spark, d)) == [("even", 4, 2, 50.0)]
+
+
+def test_rows_of_all_documents_are_grouped(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a\n\nb") for i in (199, 200, 70000)], "doc_id long, text string")
+    assert rows(catalog.QUERIES["table_row_groups_whole"](spark, folder(tmp_path, documents=docs)), "table_id", "row", "group") == [(i, at, g, 1) for i in (199, 200, 70000) for at, g in ((0, 0), (2, 1))]
