@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skarn.functions.similarity import sequence_likeness
 from skarn.functions.text import collapse, percentage, ratio, tokens
 from skarn.operators.extraction import box_gap, box_overlap
-from skarn.operators.joins import best, token_coverage
+from skarn.operators.joins import asof, best, token_coverage
 
 SECTION = r"^\d{3,4}(?:\.\d+)*\.?\s+\S"
 CATEGORIES = ("section_heading", "table_caption", "equation", "exception", "insights", "user_note", "table_footnote_candidate", "navigation_artifact", "cross_reference", "source_artifact", "normative_or_commentary_text")
@@ -122,7 +122,13 @@ def report(lines: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def footnote_owner(lines: DataFrame, tables: DataFrame) -> DataFrame:
-    """Each footnote line (line_id, page, top) with the table (table_id, page, bottom) above it that ends nearest."""
-    both = lines.join(tables, "page").withColumn("gap", F.col("top") - F.col("bottom"))
-    penalty = F.when(F.col("gap") < 0, 1000 - F.col("gap")).otherwise(F.col("gap"))
-    return best(both.withColumn("cost", penalty), ["line_id"], [F.col("cost"), F.col("table_id")]).select("line_id", "table_id")
+    """Each footnote line (line_id, page, top) with the table (table_id, page, bottom) above it that ends nearest.
+
+    A table below the line costs 1000 more. Only the nearest above and the nearest below can be it, and as-of joins
+    find both, so a page's lines and tables are not paired.
+    """
+    ends = tables.groupBy("page", F.col("bottom").alias("at")).agg(F.min("table_id").alias("table_id")).withColumn("end", F.struct("at", "table_id"))
+    above = asof(lines.withColumn("at", F.col("top")), ends, ["page"], ["at"], {"above": "end"})
+    both = asof(above.withColumn("at", -F.col("top")), ends.withColumn("at", -F.col("at")), ["page"], ["at"], {"below": "end"}, strict=True)
+    found = F.array_compact(F.array(F.when(F.col("above").isNotNull(), F.struct((F.col("top") - F.col("above.at")).alias("cost"), F.col("above.table_id").alias("table_id"))), F.when(F.col("below").isNotNull(), F.struct((1000 - F.col("top") + F.col("below.at")).alias("cost"), F.col("below.table_id").alias("table_id")))))
+    return both.where("above is not null or below is not null").select("line_id", F.array_min(found)["table_id"].alias("table_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skarn.functions import rules, similarity
 from skarn.functions.text import tokens
 from skarn.operators import answers, audit, inventory, joins, refresh, structure
-from skarn.plans.queries import query
+from skarn.plans.queries import ORACLE, query
 from skarn.plans.tools import Tools
 from skarn.sources.tables import sql, table
 
@@ -40,6 +40,15 @@ def block_tree(spark, d):
     return structure.flattened(b)
 
 
+@query("""WITH RECURSIVE n AS (SELECT c_custkey // 50 AS doc_id, c_custkey AS node, CASE WHEN c_custkey % 50 > 0 THEN c_custkey - c_custkey % 50 + (c_custkey % 50 - 1) // 2 END AS parent, c_custkey % 7 AS ord FROM customer),
+t AS (SELECT doc_id, node, [ord] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.doc_id, n.node, list_append(t.path, n.ord) FROM t JOIN n ON n.doc_id = t.doc_id AND n.parent = t.node)
+SELECT doc_id, node, CAST(len(path) - 1 AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path, node) - 1 AS INTEGER) AS ordinal FROM t""")
+def block_tree_whole(spark, d):
+    """All customers, in trees of 50 blocks with two children each; of the ids beyond block_tree's 150 none would have a way to a root."""
+    b = sql(spark, d, "SELECT c_custkey div 50 AS doc_id, c_custkey AS node, CASE WHEN c_custkey % 50 > 0 THEN c_custkey - c_custkey % 50 + (c_custkey % 50 - 1) div 2 END AS parent, c_custkey % 7 AS ord FROM {customer}")
+    return structure.flattened(b)
+
+
 @query("SELECT * FROM (VALUES (1, 't1', '305.4(1)', '305.4.1'), (1, 't2', '999', '306'), (1, 't3', '888', '305.4.1'), (2, 't4', '1', NULL)) AS t(doc_id, table_id, number, section)")
 def table_sections(spark, d):
     tables = spark.sql("SELECT * FROM VALUES (1, 't1', '305.4(1)', 50), (1, 't2', '999', 45), (1, 't3', '888', 5), (2, 't4', '1', 1) AS t(doc_id, table_id, number, at)")
@@ -273,9 +282,19 @@ def page_range_lookup(spark, d):
 @query("""WITH b AS (SELECT o_orderkey AS id, o_custkey % 100 AS page, o_orderkey % 50 AS lo, o_orderkey % 50 + 5 AS hi, o_orderpriority AS t FROM orders)
 SELECT a.id, string_agg(b.t, ' ' ORDER BY b.lo, b.id) AS texts FROM b a JOIN b ON a.page = b.page AND a.lo <= b.hi AND b.lo <= a.hi WHERE a.id % 40 = 1 GROUP BY a.id""")
 def box_texts(spark, d):
+    return _texts_in_boxes(spark, d, "id % 40 = 1")
+
+
+@query(ORACLE["box_texts"].replace(" WHERE a.id % 40 = 1", ""))
+def box_texts_whole(spark, d):
+    """All boxes; box_texts gives texts to one id in 40. A page's boxes grow with the table, as there are 100 pages."""
+    return _texts_in_boxes(spark, d, "true")
+
+
+def _texts_in_boxes(spark, d, asked):
     b = sql(spark, d, "SELECT o_orderkey AS id, o_custkey % 100 AS page, o_orderkey % 50 AS lo, o_orderkey % 50 + 5 AS hi, o_orderpriority AS t FROM {orders}")
     inner = b.select("page", F.col("id").alias("other"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"), "t")
-    met = joins.overlapping(b.where("id % 40 = 1").drop("t"), inner, ["page"], ("lo", "hi"), ("o_lo", "o_hi"), 10)
+    met = joins.overlapping(b.where(asked).drop("t"), inner, ["page"], ("lo", "hi"), ("o_lo", "o_hi"), 10)
     # One box's texts: as many as lie on its page.
     return met.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_lo", "other", "t"))), lambda x: x["t"]), " ").alias("texts"))
 

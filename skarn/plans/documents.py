@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skarn.operators import extraction as E
 from skarn.operators import graph, retrieval
-from skarn.plans.queries import query
+from skarn.plans.queries import ORACLE, query
 from skarn.sources.tables import sql, table
 
 _TEXTS = """SELECT * FROM VALUES (1, '305 GENERAL\\nAll of it.\\n305.1 Supports. \\nHangers shall be kept.\\nMore.\\n12 no\\n305.1 Again\\nx'), (2, 'Gas furnaces shall not be installed in closets. Fans are permitted outdoors. A clearance of 3 feet from closets is kept by furnaces after the shaft.'), (3, NULL) AS t(doc_id, text)"""
@@ -46,7 +46,17 @@ def query_entities(spark, d):
 @query("""WITH b AS (SELECT p_partkey AS id, p_brand, p_size * 1.0 AS l, p_size * 1.0 + 10 AS r FROM part WHERE p_partkey < 400)
 SELECT a.id, b.id AS other, CAST(round(greatest(least(a.r, b.r) - greatest(a.l, b.l), 0) * 5 / 50, 6) AS DOUBLE) AS overlap, CAST(round(greatest(b.l - a.r, a.l - b.r, 0), 6) AS DOUBLE) AS gap FROM b a JOIN b ON a.p_brand = b.p_brand AND a.id < b.id""")
 def box_geometry(spark, d):
-    parts = table(spark, d, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("id"), "p_brand", F.struct((F.col("p_size") * 1.0).alias("left"), F.lit(0.0).alias("top"), (F.col("p_size") + 10.0).alias("right"), F.lit(5.0).alias("bottom")).alias("box"))
+    return _geometry(table(spark, d, "part").where("p_partkey < 400"))
+
+
+@query(ORACLE["box_geometry"].replace(" WHERE p_partkey < 400", ""))
+def box_geometry_whole(spark, d):
+    """All boxes; box_geometry has 400 ids. Its rows are the pairs of a brand, so they grow with the square of a brand's parts."""
+    return _geometry(table(spark, d, "part"))
+
+
+def _geometry(parts):
+    parts = parts.select(F.col("p_partkey").alias("id"), "p_brand", F.struct((F.col("p_size") * 1.0).alias("left"), F.lit(0.0).alias("top"), (F.col("p_size") + 10.0).alias("right"), F.lit(5.0).alias("bottom")).alias("box"))
     other = parts.select(F.col("id").alias("other"), "p_brand", F.col("box").alias("b"))
     both = parts.join(other, "p_brand").where("id < other")
     return both.select("id", "other", F.round(E.box_overlap(F.col("box"), F.col("b")), 6).alias("overlap"), F.round(E.box_gap(F.col("box"), F.col("b")), 6).alias("gap"))

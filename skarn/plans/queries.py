@@ -689,6 +689,13 @@ def footnote_owner(spark, d):
     return audit.footnote_owner(lines, sql(spark, d, "SELECT p_partkey AS table_id, p_partkey % 50 AS page, p_size * 13 AS bottom FROM {part} WHERE p_partkey < 300"))
 
 
+@query(ORACLE["footnote_owner"].replace(" WHERE o_orderkey < 500", "").replace(" WHERE p_partkey < 300", ""))
+def footnote_owner_whole(spark, d):
+    """All lines and tables; footnote_owner has 500 and 300 ids."""
+    lines = sql(spark, d, "SELECT o_orderkey AS line_id, o_custkey % 50 AS page, o_orderkey % 700 AS top FROM {orders}")
+    return audit.footnote_owner(lines, sql(spark, d, "SELECT p_partkey AS table_id, p_partkey % 50 AS page, p_size * 13 AS bottom FROM {part}"))
+
+
 @query("""SELECT doc_id, sha256('Section ' || doc_id || ': ' || source || chr(10) || coalesce(text, '')) AS retrieval_sha256, CAST(greatest(1, floor((length('Section ' || doc_id || ': ' || source || chr(10) || coalesce(text, '')) + 3) / 4)) AS INTEGER) AS n_tokens FROM documents""")
 def retrieval_manifest(spark, d):
     rows = evidence.retrieval_rows(table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("number"), F.col("source").alias("title"), "text"))

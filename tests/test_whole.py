@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from skarn.operators import extraction, joins
+from skarn.operators import audit, extraction, joins
 from skarn.plans import catalog
 
 
@@ -62,3 +62,21 @@ def test_lines_of_all_documents_meet_all_passages(spark, tmp_path):
 def test_rows_of_all_documents_are_grouped(spark, tmp_path):
     docs = spark.createDataFrame([(i, "a\n\nb") for i in (199, 200, 70000)], "doc_id long, text string")
     assert rows(catalog.QUERIES["table_row_groups_whole"](spark, folder(tmp_path, documents=docs)), "table_id", "row", "group") == [(i, at, g, 1) for i in (199, 200, 70000) for at, g in ((0, 0), (2, 1))]
+
+
+def test_footnotes_find_the_table_that_pairs_would_find(spark):
+    rand = random.Random(3)
+    lines, tables = [(i, rand.randrange(5), rand.randrange(0, 3000, 10)) for i in range(80)], [(i, rand.randrange(4), rand.randrange(0, 3000, 10)) for i in range(60)]
+    cost = lambda gap: gap if gap >= 0 else 1000 - gap
+    want = [(i, min((cost(top - bottom), t) for t, p, bottom in tables if p == page)[1]) for i, page, top in lines if page < 4]
+    got = audit.footnote_owner(spark.createDataFrame(lines, "line_id int, page int, top int"), spark.createDataFrame(tables, "table_id int, page int, bottom int"))
+    assert rows(got, "line_id") == want
+
+
+def test_no_id_is_left_out(spark, tmp_path):
+    ids = spark.range(0, 1000, 7)
+    orders = ids.selectExpr("id + 600 AS o_orderkey", "7 AS o_custkey", "'x' AS o_orderpriority")
+    part = ids.selectExpr("id * 50 + 307 AS p_partkey", "'b' AS p_brand", "CAST(id % 20 AS INT) AS p_size")
+    d = folder(tmp_path, orders=orders, part=part, customer=spark.range(1000).selectExpr("id AS c_custkey", "id % 25 AS c_nationkey"))
+    counts = {n: catalog.QUERIES[f"{n}_whole"](spark, d).count() for n in ("footnote_owner", "box_geometry", "block_tree", "box_texts")}
+    assert counts == {"footnote_owner": 143, "box_geometry": 143 * 142 // 2, "block_tree": 1000, "box_texts": 143}
