@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.text import collapse, let, ngrams, tokens
+from skarn.sources.shipping import ship
 
 
 def lexical(passages: DataFrame, query: str, owner: str = "doc_id", text: str = "text", k: int = 10) -> DataFrame:
@@ -89,3 +90,38 @@ def concatenated(rankings: list[DataFrame], k: int = 5) -> DataFrame:
 def phrase_table(passages: DataFrame, owner: str = "doc_id", text: str = "text", n: int = 2) -> DataFrame:
     """owner, phrase: n-grams of tokens, for phrase queries by equality."""
     return passages.select(owner, F.explode(ngrams(tokens(F.col(text)), n)).alias("phrase"))
+
+
+def _nearest(v, q, k: int):
+    import numpy as np
+    import pandas as pd
+
+    names = ["q", "ql", "vec_id", "label", "score"]
+    if v.empty or q.empty:
+        return pd.DataFrame(columns=names)
+    a, b = (np.stack(x["embedding"]).astype("float64") for x in (v, q))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c = (b @ a.T) / (np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1))
+    ids, out = v["vec_id"].to_numpy(), []
+    for i, (own, label) in enumerate(zip(q["vec_id"], q["label"], strict=True)):
+        score = np.round(np.where(np.isfinite(c[i]), c[i], -2.0), 6)
+        best = [j for j in np.lexsort((ids, -score)) if ids[j] != own][:k]
+        out += [(own, label, ids[j], v["label"].iloc[j], score[j]) for j in best]
+    return pd.DataFrame(out, columns=names)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """q, ql, vec_id, label, score: the k other vectors of the highest cosine of each query; both have vec_id, label, embedding.
+
+    Blocks of queries meet blocks of vectors, and only the k best of a query leave a block, so rows grow with the blocks
+    and not with the pairs. Scores have six digits; a vector without length comes last, with -2.
+    """
+    ship(vectors.sparkSession)
+    within = lambda df, name: df.select("vec_id", "label", "embedding", F.floor(F.row_number().over(Window.partitionBy("part").orderBy("vec_id")) / block).alias("n"), "part").withColumn(name, F.struct("part", "n"))
+    v = within(vectors.withColumn("part", F.expr(f"vec_id div {16 * block}")), "vb").drop("part", "n")
+    q = within(queries.withColumn("part", F.expr(f"vec_id div {1600 * block}")), "qb").drop("part", "n")
+    left, right = v.crossJoin(q.select("qb").distinct()), q.crossJoin(v.select("vb").distinct())
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own: both sides come of one table
+    met = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(lambda a, b: _nearest(a, b, k), "q long, ql long, vec_id long, label long, score double")
+    top = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    return met.withColumn("rn", top).where(F.col("rn") <= k).drop("rn")

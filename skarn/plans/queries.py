@@ -358,6 +358,15 @@ def recall_at_k(spark, d):
     return hits.join(total, "ql").select("q", "hits", F.round(F.col("hits") / F.least("total", F.lit(5)), 6).alias("recall5"))
 
 
+@query(ORACLE["recall_at_k"].replace("vec_id < 8", "vec_id % 100 = 0"))
+def recall_at_k_whole(spark, d):
+    """Every vector whose id 100 divides, against all rows; recall_at_k has eight ids."""
+    v = table(spark, d, "embeddings")
+    hits = retrieval.nearest(v, v.where("vec_id % 100 = 0"), 5).groupBy("q", "ql").agg(F.count_if(F.col("label") == F.col("ql")).alias("hits"))
+    total = v.groupBy(F.col("label").alias("ql")).agg((F.count(F.lit(1)) - 1).alias("total"))
+    return hits.join(total, "ql").select("q", "hits", F.round(F.col("hits") / F.least("total", F.lit(5)), 6).alias("recall5"))
+
+
 # --- retrieval ------------------------------------------------------------------------------------------------------
 
 _ASK = "the and attion to thanedble"

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from skarn.operators import audit, extraction, joins
+from skarn.operators import audit, extraction, joins, retrieval
 from skarn.plans import catalog
 
 
@@ -80,3 +80,17 @@ def test_no_id_is_left_out(spark, tmp_path):
     d = folder(tmp_path, orders=orders, part=part, customer=spark.range(1000).selectExpr("id AS c_custkey", "id % 25 AS c_nationkey"))
     counts = {n: catalog.QUERIES[f"{n}_whole"](spark, d).count() for n in ("footnote_owner", "box_geometry", "block_tree", "box_texts")}
     assert counts == {"footnote_owner": 143, "box_geometry": 143 * 142 // 2, "block_tree": 1000, "box_texts": 143}
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_nearest_in_blocks_is_the_nearest_of_all(spark, block):
+    rand = random.Random(5)
+    data = [(i, i % 3, [rand.uniform(-1, 1) for _ in range(4)]) for i in range(120)]
+    cosine = lambda x, y: round(sum(a * b for a, b in zip(x, y, strict=True)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5, 6)
+    want = [(q, i) for q, _, e in data if q % 10 == 0 for _, i in sorted((-cosine(e, o), i) for i, _, o in data if i != q)[:5]]
+    v = spark.createDataFrame(data, "vec_id long, label long, embedding array<float>")
+    assert sorted(rows(retrieval.nearest(v, v.where("vec_id % 10 = 0"), 5, block).select("q", "vec_id"))) == sorted(want)
+
+
+def test_recall_has_every_hundredth_vector(spark, small):
+    assert sorted(r[0] for r in rows(catalog.QUERIES["recall_at_k_whole"](spark, small).select("q"))) == [0, 100, 200, 300, 400]
