@@ -25,6 +25,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
         jumped = scratch.cut(least.join(roots, "component").select("node", F.col("root").alias("component")), f"{name}-{step}")
         old = labels.select("node", F.col("component").alias("was"))
         same = jumped.join(old, "node").where("component <> was").isEmpty()
+        scratch.drop(f"{name}-{step}a", f"{name}-{step - 1}")
         labels = jumped
         if same:
             return labels

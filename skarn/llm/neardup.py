@@ -1,38 +1,39 @@
 """Near-duplicate classes by b-bit MinHash with exact confirmation.
 
-Texts with equal shingle sets form a node first. Each node gets `bands * rows` minima; bands choose candidates
+Texts with equal word sequences form a node first. Each node gets `bands * rows` minima; bands choose candidates
 and the low `bits` bits of all minima, packed, estimate the similarity of a candidate pair from bit counts,
 corrected for chance collisions. Pairs whose estimate lies more than `margin` below the threshold are let go
-(six standard errors); the rest are confirmed on the full shingle sets.
+(six standard errors); the rest are confirmed on the full shingle sets, and there words are compared and not hashes.
 
 No bucket is expanded into all its pairs. First each bucket's members are compared with its hub, the member with
 the most company over all its bands, and the confirmed links are joined into components. Only buckets that still
 hold several components go on: there, members outside the hub's component are compared with all others, in
 blocks of at most `block` by `block` sets of 32-bit shingle hashes. Intersections are counted there by matrix products, and
 only pairs across components leave a block that are linked, or would be but for colliding hashes; so groups of texts
-that resemble one another without being linked do not leave it as pairs.
+that resemble one another without being linked do not leave it as pairs. A block holds fewer sets where they are
+large: a bucket is cut so that no block is expected to hold more than `BLOCK_SHINGLES` shingles.
 
 Defined cases: null text counts as empty; a text without words has an empty set and is linked with nothing; a
 text with fewer words than a shingle has one shingle, its whole sequence; a null doc_id takes part but never
 names a component that has another id; rows that repeat an id are rows of their own; an empty table gives an
-empty result; other columns are ignored by `classes` and kept by `keep`.
+empty result; other columns are ignored by `classes` and kept by `keep`, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.llm import wordhash
 from skarn.llm.components import components
-from skarn.llm.scratch import Scratch
+from skarn.llm.scratch import Scratch, released
 
-BANDS, ROWS, BITS, MARGIN, BLOCK, COLUMNS = 32, 4, 4, 0.19, 512, 2048
+BANDS, ROWS, BITS, MARGIN, BLOCK, BLOCK_SHINGLES, COLUMNS = 32, 4, 4, 0.19, 512, 1 << 20, 2048
 _HASHES = BANDS * ROWS
 _SEED = np.random.default_rng(20240229)
 _MUL = (_SEED.integers(0, 1 << 31, _HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -60,10 +61,10 @@ def shingle_runs(words: wordhash.Words, k: int) -> tuple[np.ndarray, np.ndarray]
     return out, first
 
 
-def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, k: int, key: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     out = []
-    for row, to, words in wordhash.words_of(column, lower=True):
+    for row, to, words in wordhash.words_of(column, lower=True, key=key):
         shingles, first = shingle_runs(words, k)
         out += [np.unique(shingles[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
     return out
@@ -97,12 +98,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - differ / (x.shape[-1] * 64 // BITS) - chance) / (1 - chance)
 
 
-def _sign(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+def _sign(k: int, key: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("words_id", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, to, words in wordhash.words_of(batch.column(2), lower=True):
+            for row, to, words in wordhash.words_of(batch.column(2), lower=True, key=key):
                 shingles, first = shingle_runs(words, k)
                 values = minima(shingles, first)
                 keys = np.zeros((len(values), BANDS), dtype=np.uint64)
@@ -110,16 +111,20 @@ def _sign(k: int):
                     keys = wordhash.mix(keys * np.uint64(31) + values[:, r::ROWS] + np.uint64(1))
                 keys = wordhash.mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 packed = pack_bits(values)
-                sets = [np.unique(shingles[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                some = [len(s) > 0 for s in sets]
+                sizes = [len(np.unique(shingles[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                some = np.array(sizes) > 0
+                raw = words.data.tobytes()
+                ends = np.append(words.start, len(raw))
+                same = [hashlib.blake2b(wordhash.joined(raw[ends[a] : words.end[b - 1]]), digest_size=16).digest() if b > a else None for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+                bounds = pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, to - row),
                         batch.column(1).slice(row, to - row),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([p.tobytes() if ok else None for p, ok in zip(packed, some, strict=True)], pa.binary()),
-                        pa.array([b if ok else None for b, ok in zip(keys, some, strict=True)], pa.list_(pa.int64())),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(same, pa.binary()),
+                        pa.array([p.tobytes() if ok else None for p, ok in zip(packed, some.tolist(), strict=True)], pa.binary()),
+                        pa.ListArray.from_arrays(bounds, pa.array(keys[some].ravel())),
                     ],
                     schema=schema,
                 )
@@ -127,18 +132,18 @@ def _sign(k: int):
     return run
 
 
-def _short_sets(k: int):
+def _short_sets(k: int, key: int):
     """(node, text) as (node, size of its set, 32-bit halves of its shingle hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1), k)
+            sets = shingle_sets(batch.column(1), k, key)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets], pa.binary())], names=["node", "size", "shingles"])
 
     return run
 
 
-_SIGNED = "doc_id long, text_key long, n_shingles long, set_id binary, signature binary, bands array<long>"
+_SIGNED = "doc_id long, text_key long, n_shingles long, words_id binary, signature binary, bands array<long>"
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -208,21 +213,28 @@ def _across(part: int, whole: int):
 
 
 def _confirmed(k: int, part: int, whole: int):
-    """Pairs (a, b, text_a, text_b) with whole * intersection >= part * union, on full sets."""
+    """Pairs (a, b, text_a, text_b) with whole * intersection >= part * union, on full sets of words."""
+
+    def words(text: str | None) -> list[bytes]:
+        return wordhash.lowered(np.frombuffer((text or "").encode(), dtype=np.uint8)).tobytes().split()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
+        last, hub = None, []
         for batch in batches:
-            a = batch.column(0).to_pylist()
-            new = [i for i in range(len(a)) if a[i] != (a[i - 1] if i else last)]
-            hubs = dict(zip(new, shingle_sets(batch.column(2).take(pa.array(new, pa.int64())), k), strict=True))
-            ok = []
-            for i, own in enumerate(shingle_sets(batch.column(3), k)):
-                kept = hubs.get(i, kept)
-                both = len(np.intersect1d(kept, own, assume_unique=True))
-                ok.append(whole * both >= part * (len(kept) + len(own) - both))
-            last = a[-1] if a else last
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=_PAIRS).filter(pa.array(ok, pa.bool_()))
+            for row, to in wordhash.chunks(wordhash.buffers(batch.column(3))[1]):
+                piece = batch.slice(row, to - row)
+                a, texts, at = piece.column(0).to_pylist(), [hub], []
+                for i, own in enumerate(a):  # rows of one hub mostly stand together
+                    if own != last:
+                        texts.append(words(piece.column(2)[i].as_py()))
+                        last, hub = own, texts[-1]
+                    at.append(len(texts) - 1)
+                sets = wordhash.named(texts + [words(t) for t in piece.column(3).to_pylist()], k)
+                ok = []
+                for mine, yours in zip((sets[i] for i in at), sets[len(texts) :], strict=True):
+                    both = len(np.intersect1d(mine, yours, assume_unique=True))
+                    ok.append(whole * both >= part * (len(mine) + len(yours) - both))
+                yield pa.RecordBatch.from_arrays(piece.columns[:2], schema=_PAIRS).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -234,12 +246,12 @@ def classes(spark: SparkSession, docs: DataFrame, k: int = 5, part: int = 80, wh
     is the smallest doc_id in the component. is_first marks one row a component even where ids repeat.
     """
     scratch = Scratch(spark, "neardup")
-    least = part / whole - margin
+    least, key = part / whole - margin, wordhash.new_key()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"), F.col("text").cast("string").alias("text"))
-    signed = scratch.cut(keyed.mapInArrow(_sign(k), _SIGNED), "signed")
+    signed = scratch.cut(keyed.mapInArrow(_sign(k, key), _SIGNED), "signed")
 
-    # A node for each distinct shingle set: copies meet here, before shuffling, and go no further.
-    sets = signed.where("set_id is not null").groupBy("set_id").agg(
+    # A node for each distinct sequence of words: copies meet here, before shuffling, and go no further.
+    sets = signed.where("words_id is not null").groupBy("words_id").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text_key")).alias("of"), F.min("doc_id").alias("least_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
     )
     nodes = scratch.cut(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -277,36 +289,42 @@ def classes(spark: SparkSession, docs: DataFrame, k: int = 5, part: int = 80, wh
     hub_at = hubs.join(label.withColumnRenamed("node", "hub"), "hub", "left").select("bucket", "hub", F.coalesce("component", "hub").alias("hub_component"))
     placed = scratch.cut(placed.join(hub_at, "bucket").where("node <> hub").withColumn("minor", F.col("component") != F.col("hub_component")), "placed")
     left = scratch.cut(placed.groupBy("bucket").agg(F.count_if("minor").alias("n_minor")).where("n_minor > 0"), "left")
-    blocks, minor_blocks = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("n_minor") / block).cast("int")
-    spot = F.xxhash64("node")
     still = scratch.cut(placed.join(left, "bucket"), "open")
     open_texts = texts(still.select("node").distinct(), "open")
-    short_sets = scratch.cut(open_texts.mapInArrow(_short_sets(k), "node long, size long, shingles binary"), "sets")
-    open_rows = still.join(short_sets, "node")
-    at_home = open_rows.select("bucket", "node", "component", "size", "shingles", F.lit(True).alias("as_home"), F.lit(False).alias("as_minor"), F.pmod(spot, blocks).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), minor_blocks - 1)).alias("i"))
-    as_minor = open_rows.where("minor").select("bucket", "node", "component", "size", "shingles", F.lit(False).alias("as_home"), F.lit(True).alias("as_minor"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.pmod(spot, minor_blocks).cast("int").alias("i"))
+    short_sets = scratch.cut(open_texts.mapInArrow(_short_sets(k, key), "node long, size long, shingles binary"), "sets")
+    rows = scratch.cut(still.join(short_sets.select("node", "size"), "node"), "sized")
+    sums = scratch.cut(rows.groupBy("bucket").agg(F.sum("size").alias("all_size"), F.sum(F.when(F.col("minor"), F.col("size"))).alias("minor_size")), "sums")
+    cuts = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(2 * size / BLOCK_SHINGLES)).cast("int")
+    blocks, minor_blocks = cuts(F.col("n"), F.col("all_size")), cuts(F.col("n_minor"), F.col("minor_size"))
+    spot = F.xxhash64("node")
+    open_rows = rows.join(sums, "bucket").select("bucket", "node", "component", "size", "minor", blocks.alias("blocks"), minor_blocks.alias("minor_blocks")).join(short_sets.select("node", "shingles"), "node")
+    at_home = open_rows.select("bucket", "node", "component", "size", "shingles", F.lit(True).alias("as_home"), F.lit(False).alias("as_minor"), F.pmod(spot, "blocks").cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("i"))
+    as_minor = open_rows.where("minor").select("bucket", "node", "component", "size", "shingles", F.lit(False).alias("as_home"), F.lit(True).alias("as_minor"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.pmod(spot, "minor_blocks").cast("int").alias("i"))
     more = scratch.cut(at_home.unionByName(as_minor).groupBy("bucket", "i", "j").applyInArrow(_across(part, whole), "a long, b long").distinct(), "more")
     more_links = confirmed(more, open_texts, "more")
     comp = label
     if not more_links.isEmpty():
         comp = components(scratch, links.union(more_links), "second")
 
-    placed_nodes = nodes.join(comp, "node", "left").select("set_id", "least_id", F.col("of.doc_id").alias("of_id"), F.col("of.text_key").alias("of_key"), F.coalesce("component", "node").alias("component"))
+    placed_nodes = nodes.join(comp, "node", "left").select("words_id", "least_id", F.col("of.doc_id").alias("of_id"), F.col("of.text_key").alias("of_key"), F.coalesce("component", "node").alias("component"))
     placed_nodes = scratch.cut(placed_nodes, "components")
     named = scratch.cut(placed_nodes.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min(F.struct("of_id", "of_key")).alias("lead")), "named")
-    by_set = scratch.cut(placed_nodes.join(named, "component").select("set_id", "component_id", "lead"), "by-set")
-    out = signed.select("doc_id", "text_key", "n_shingles", "set_id").join(by_set, "set_id", "left")
-    component_id = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    first = F.col("set_id").isNull() | ((F.coalesce("doc_id", F.lit(_LAST)) == F.col("lead.of_id")) & (F.col("text_key") == F.col("lead.of_key")))
+    by_words = scratch.cut(placed_nodes.join(named, "component").select("words_id", "component_id", "lead"), "by-words")
+    scratch.drop("nodes", "shared", "members", "ranked", "hubs", "stars", "stars-texts", "stars-links", "placed", "left", "open", "open-texts", "sets", "sized", "sums", "more", "more-links", "components", "named")
+    out = signed.select("doc_id", "text_key", "n_shingles", "words_id").join(by_words, "words_id", "left")
+    component_id = F.when(F.col("words_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    first = F.col("words_id").isNull() | ((F.coalesce("doc_id", F.lit(_LAST)) == F.col("lead.of_id")) & (F.col("text_key") == F.col("lead.of_key")))
     return out.select("doc_id", "text_key", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"), first.alias("is_first"))
 
 
 def keep(spark: SparkSession, docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
     """One document of each group of near-duplicates, with the columns of docs. Of rows that repeat it, all stay."""
-    gone = classes(spark, docs, k, part, whole).where("not is_first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    gone = Scratch(spark, "neardup-keep").cut(gone, "gone")
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("__at", key).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__key")), "left_anti").drop("__at")
+    with released():
+        gone = classes(spark, docs, k, part, whole).where("not is_first").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+        own = Scratch.apart(spark, "neardup-keep")
+        gone = own.cut(gone, "gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti").select("row.*")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,18 @@ blocks, such a table is still there after an executor is lost.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from skarn.sources.shipping import ship
 
+_BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
+_open: list[list[Scratch]] = []
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a local one only where that is unset and Spark is local."""
@@ -41,14 +46,48 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a few hundred at a time, so a batch stays small on both sides; a smaller setting is left alone."""
+    if int(spark.conf.get(_BATCH)) <= 0 or int(spark.conf.get(_BATCH)) > ROWS:
+        spark.conf.set(_BATCH, str(ROWS))
+
+
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Removes, at its end, the folders of all operators that are called inside. Their results must be written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for x in _open.pop():
+            x.close()
+
+
 class Scratch:
-    """A folder of intermediate tables for one call of an operator. It is removed when Python exits."""
+    """A folder of intermediate tables for one call of an operator.
+
+    It is removed by `close`, at the end of a `released` block, or when Python exits, whichever is first; single tables
+    that no later step reads are removed by `drop`.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/skarn/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(_remove_quietly, spark, self.root)
+        if _open:
+            _open[-1].append(self)
+
+    @classmethod
+    def apart(cls, spark: SparkSession, name: str) -> Scratch:
+        """A folder that outlives the innermost `released` block; it belongs to the next one outside."""
+        inner = _open.pop() if _open else None
+        try:
+            return cls(spark, name)
+        finally:
+            if inner is not None:
+                _open.append(inner)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -59,6 +98,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Remove a table that no later step reads."""
-        remove(self.spark, self.path(name))
+    def drop(self, *names: str) -> None:
+        """Remove tables that no later step reads."""
+        for name in names:
+            remove(self.spark, self.path(name))
+
+    def close(self) -> None:
+        """Remove the folder."""
+        _remove_quietly(self.spark, self.root)
