@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skarn.llm import exact, neardup, packing, quality, substring
-from skarn.llm.scratch import Scratch
+from skarn.llm.scratch import Scratch, released
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,5 +42,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        docs = scratch.cut(stage(spark, docs, sf_dir), f"stage{k}")
+        with released():  # a stage's own tables go as soon as its result is written
+            docs = scratch.cut(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            scratch.drop(f"stage{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,15 +8,16 @@ a hash of it: hashes only choose where blocks meet, and blocks that share a hash
 Defined cases: null text counts as empty, and empty texts equal one another; of equal texts the largest doc_id
 stays, a null doc_id being smaller than any other; rows that repeat a doc_id and its text count each in
 group_size, and `keep` leaves one of them; one doc_id with two texts is two documents; an empty table
-gives an empty result; other columns are ignored by `classes` and kept as they are by `keep`.
+gives an empty result; other columns are ignored by `classes` and kept as they are by `keep`, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.scratch import Scratch
+from skarn.llm.scratch import Scratch, released
 
 BLOCK_BYTES = 16384
 
@@ -56,6 +57,7 @@ def classes(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_BYTES
         pairs = scratch.cut(level.groupBy("doc_id", "text_sha256", "n", (F.col("pos") / 2).cast("int").alias("pos")).agg(side(0).alias("left"), F.coalesce(side(1), F.lit(-1)).alias("right"), F.max("rows").alias("rows") if depth > 1 else F.count_if(F.col("pos") % 2 == 0).alias("rows")), f"pairs{depth}")
         names = scratch.cut(_named(pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("uses")), ["left", "right"]), f"names{depth}")
         level = scratch.cut(pairs.join(names.drop("uses"), ["left", "right"]).select("doc_id", "text_sha256", ((F.col("n") + 1) / 2).cast("int").alias("n"), "pos", "name", "rows"), f"level{depth}")
+        scratch.drop(f"pairs{depth}", f"names{depth}")
         done.append(level.where("n = 1").select("doc_id", "text_sha256", "rows", F.lit(depth).alias("depth"), "name"))
         level = level.where("n > 1")
 
@@ -68,16 +70,14 @@ def classes(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_BYTES
     return out.select("doc_id", "text_sha256", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row")).drop("row")
 
 
-def _sha(docs: DataFrame) -> Column:
-    return F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
-
-
 def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row of each group of equal texts, with the columns of docs."""
-    kept = classes(spark, docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    marked = docs.withColumn("__sha2", _sha(docs))
-    joined = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha2") == F.col("__sha")))
-    return joined.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    """One row of each group of equal texts, with the columns of docs, whatever their names."""
+    with released():
+        kept = classes(spark, docs).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha")).distinct()
+        kept = Scratch.apart(spark, "exact-keep").cut(kept, "kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("sha"))
+    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha")))
+    return joined.dropDuplicates(["keep_id", "keep_sha"]).select("row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

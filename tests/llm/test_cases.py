@@ -198,3 +198,52 @@ def test_url_filter_in_time(spark):
     assert got == {1: (False, None), 2: (True, "bad.org"), 3: (False, None), 4: (True, "sub.bad.org"), 5: (False, None), 6: (False, None), 7: (False, None), 8: (False, None), 9: (False, None)}
     assert urlfilter.judge(captures.limit(0), entries).count() == 0
     assert not any(r["blocked"] for r in urlfilter.judge(captures, entries.limit(0)).collect())
+
+
+CLASHES = "__id long, __sha string, __sha2 string, __key long, __at long, __text string, __failed boolean, __host string, `a.b` string, row string, id long, m int, keep_id long, gone_id long, text_key long, name string, base_failed boolean, symbols int, strict_symbols boolean, `with space` int"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, odd):
+    """The odd documents, with columns named like those that operators use."""
+    names = [x.strip() for x in CLASHES.split(",")]
+    first = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    return first.select("*", *[F.lit(None).cast(x.rsplit(" ", 1)[1]).alias(x.rsplit(" ", 1)[0].strip("`")) if i % 2 else F.lit("1").cast(x.rsplit(" ", 1)[1]).alias(x.rsplit(" ", 1)[0].strip("`")) for i, x in enumerate(names)])
+
+
+@pytest.mark.parametrize("stage", [exact.keep, neardup.keep, quality.keep, substring.clean], ids=["exact", "neardup", "quality", "substring"])
+def test_columns_of_any_name_stay(spark, odd, clashing, stage):
+    got, plain = stage(spark, clashing), stage(spark, odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    assert got.columns == clashing.columns
+    key = lambda r: (str(r["doc_id"]), r["text"] or "", r["n_chars"])
+    assert sorted(map(key, got.collect())) == sorted(map(key, plain.collect()))
+    assert {r["a.b"] for r in got.collect()} <= {"1"} | {None}
+
+
+TWIN = ("".join("xy"[bin(i).count("1") % 2] for i in range(2048)), "".join("yx"[bin(i).count("1") % 2] for i in range(2048)))
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    """A bit pattern and its complement: equal under any polynomial modulo a power of two."""
+    rest = " ".join(f"w{i}" for i in range(50))
+    pairs = spark.createDataFrame([(1, f"{TWIN[0]} {rest}"), (2, f"{TWIN[1]} {rest}"), (3, TWIN[0]), (4, TWIN[1]), (5, f"a {TWIN[0]} b c {TWIN[1]}")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring.removals(spark, pairs).collect()}
+    assert got == {1: 0, 2: 50, 3: 0, 4: 0, 5: 0}
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.classes(spark, pairs, 1, 99, 100).collect()}
+    assert near == {1: (51, 1), 2: (51, 2), 3: (1, 3), 4: (1, 4), 5: (5, 5)}
+
+
+def test_shingle_names_stand_for_words():
+    import random
+
+    from skarn.llm import wordhash
+
+    rng = random.Random(2)
+    texts = [[f"{rng.randrange(30)}".encode() for _ in range(rng.choice([0, 1, 2, 3, 60]))] for _ in range(80)]
+    for k in (1, 3, 5, 13):
+        sets = [{tuple(t[i : i + k]) for i in range(len(t) - k + 1)} or ({tuple(t)} if t else set()) for t in texts]
+        got = wordhash.named(texts, k)
+        for i in range(len(texts)):
+            assert len(got[i]) == len(sets[i])
+            for j in range(i):
+                assert len(set(got[i].tolist()) & set(got[j].tolist())) == len(sets[i] & sets[j])
