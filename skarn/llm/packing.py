@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from skarn.llm import wordhash
 from skarn.llm.scratch import Scratch
 
-WINDOW, OPEN_WINDOWS, SPLIT_GAP, END_ID = 4096, 64, 48, 2
+WINDOW, OPEN_WINDOWS, SPLIT_GAP, END_ID, CHUNK = 4096, 64, 48, 2, 2 << 20
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
@@ -119,7 +119,7 @@ def _finish(windows: list[list], window: int, rows: _Rows) -> None:
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, split_gap: int = SPLIT_GAP, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids where with_ids.
 
-    tokenizer: a `tokenizers` file that drops white space; every executor has it at this path.
+    tokenizer: any `tokenizers` file (see `tokens`); every executor has it at this path.
     sequence_id is unique, not dense.
     """
 
@@ -133,7 +133,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, window: int = WIN
         for batch in batches:
             data, bounds = wordhash.buffers(batch.column(1))
             ids = batch.column(0).to_pylist()
-            for row, to in wordhash.chunks(bounds):
+            for row, to in wordhash.chunks(bounds, CHUNK):
                 part = bounds[row : to + 1]
                 for doc_id, got in zip(ids[row:to], words.encode(data[part[0] : part[-1]], part - part[0]), strict=True):
                     packer.add(doc_id, 0, np.concatenate([got, end]), len(got) + 1)

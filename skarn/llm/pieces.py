@@ -1,15 +1,14 @@
-"""SentencePiece encoding and decoding in batched numpy.
+"""SentencePiece encoding and decoding by a Viterbi search in batched numpy.
 
-Words of equal length advance together, as rows of one matrix. For unigram models that is a Viterbi search: the
-hashes of all substrings that end at a place probe the sorted hashes of the pieces, and vectorised maxima keep
-scores and backpointers. A BPE model defines its result by merge order and not by the sum of scores, so the same
-search would give other ids; for those the rows advance by merges: each step probes the sorted keys of
-mergeable neighbours, takes each row's best by a vectorised maximum (the leftmost of equals), and drops rows that are
-done. Rows keep at most `LONGEST` characters; a longer word goes through a heap, in time n log n.
+Words of equal length advance together, as rows of one matrix: hashes of all their substrings probe the sorted keys of
+the pieces, each place takes the best step that ends there by vectorised maxima, and backpointers give the ids. For a
+unigram model the best step has the highest sum of scores; for a BPE model, whose result is defined by merge order, it
+is the one whose piece joins on the piece before it (see `Viterbi`), and the ids are the library's. Words of more than
+`LONGEST` characters are searched one by one.
 
 The model must leave text as it is but for white space marks (identity normalisation, a dummy prefix, no
-removal of extra spaces) and no piece may hold a mark behind another character, so that words can be encoded
-apart; both are checked when the model is read.
+removal of extra spaces), no piece may hold a mark behind another character, so that words can be encoded
+apart, and no piece of a BPE model may be merged before its parts; all three are checked when the model is read.
 
 Defined cases: null text counts as empty, and an empty text has no ids; a character without a piece falls back
 to its bytes; the mark U+2581 in a text is read as a space, as the library does; repeated rows are encoded each;
@@ -19,7 +18,6 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,7 +31,7 @@ from pyspark.sql import functions as F
 from skarn.llm import wordhash
 from skarn.sources.shipping import ship
 
-MARK, LONGEST, MOST_WORDS, BATCH = "▁", 256, 500_000, 20_000
+MARK, LONGEST, MOST_WORDS, BATCH, CHUNK = "▁", 256, 500_000, 20_000, 8 << 20
 _UNKNOWN = 1 << 21
 _SHIFT = 1 << 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -53,162 +51,210 @@ def _by_length(words: list[str]) -> Iterator[tuple[int, list[int]]]:
             yield int(lens[group[0]]), group[i : i + BATCH].tolist()
 
 
-class Merges:
-    """Byte-pair encoding of batches of words by the pieces' scores."""
+class Viterbi:
+    """The best segmentation of batches of words, by a search over the places where pieces can end.
+
+    Under a unigram model a step's value is its piece's score. A BPE model has no such sum: its result is defined by the
+    order of merges. But a sequence of pieces is that result exactly if each two neighbours are (`joins`), and each
+    beginning of a word has one such sequence; so a step is allowed where its piece joins on the one before it, and the
+    same search finds the merges' result without merging.
+    """
 
-    def __init__(self, pieces: dict[str, int], scores: dict[str, float]):
+    def __init__(self, pieces: dict[str, int], scores: dict[str, float], bpe: bool = False, unknown_score: float | None = None):
+        self.longest = max((len(p) for p in pieces), default=1)
+        self.powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(self.longest + 1, _BASE)]))
+        self.unknown = min(scores.values(), default=0.0) - 10 if unknown_score is None else unknown_score
+        self.bpe = bpe
         chars = sorted({c for p in pieces for c in p})
-        inner = {c: len(pieces) + _UNKNOWN // 2 + i for i, c in enumerate(chars) if c not in pieces}
-        self.symbol = dict(pieces) | inner
-        self.char_code = np.array([ord(c) for c in chars], dtype=np.int64)
-        self.char_id = np.array([self.symbol[c] for c in chars], dtype=np.int64)
+        self.symbol = dict(pieces)
+        if bpe:  # characters that are no pieces, but parts of some, are symbols besides
+            self.symbol |= {c: len(pieces) + _UNKNOWN // 2 + i for i, c in enumerate(chars) if c not in pieces}
+        keyed = dict(zip(self._hashes(list(self.symbol)).tolist(), self.symbol, strict=True))
+        if len(keyed) != len(self.symbol):
+            raise ValueError("two pieces share a hash")
+        self.keys = np.array(sorted(keyed), dtype=np.uint64)
+        self.ids = np.array([self.symbol[keyed[k]] for k in self.keys.tolist()], dtype=np.int64)
+        self.scores = np.array([scores.get(keyed[k], 0.0) for k in self.keys.tolist()])
+        if bpe:
+            self._derive(pieces, scores)
+            self.bpe_cache: dict[tuple[int, int], bool] = {}
+
+    # --- which pieces may stand side by side ---
+
+    def _derive(self, pieces: dict[str, int], scores: dict[str, float]) -> None:
+        """Ranks of pairs, and each piece's own last merge; pieces that merges never make are left out of the search."""
         order = {p: r for r, p in enumerate(sorted((p for p in pieces if len(p) > 1), key=lambda p: -scores[p]))}
-        table = {}
+        table = {self.symbol[p[:i]] * _SHIFT + self.symbol[p[i:]]: r for p, r in order.items() for i in range(1, len(p)) if p[:i] in self.symbol and p[i:] in self.symbol}
+        self.pairs = np.array(sorted(table), dtype=np.int64)
+        self.none = np.int64(len(order))
+        self.pair_rank = np.array([*(table[k] for k in self.pairs.tolist()), len(order)], dtype=np.int64)
+        size = max(self.symbol.values()) + 1
+        self.rank, self.left, self.right = np.full(size, -1), np.full(size, -1), np.full(size, -1)
+        made = np.zeros(size, dtype=bool)
+        made[[self.symbol[p] for p in self.symbol if len(p) == 1]] = True
+        by_length: dict[int, list[str]] = {}
         for p in order:
-            for i in range(1, len(p)):
-                a, b = self.symbol.get(p[:i]), self.symbol.get(p[i:])
-                if a is not None and b is not None:
-                    table[a * _SHIFT + b] = (order[p], pieces[p])
-        keys = np.array(sorted(table), dtype=np.int64)
-        self.keys, self.none = keys, np.int64(len(order))
-        self.rank = np.array([table[k][0] for k in keys.tolist()] + [len(order)], dtype=np.int64)
-        self.made = np.array([table[k][1] for k in keys.tolist()] + [-1], dtype=np.int64)
-
-    def _probe(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left * _SHIFT + right
-        at = np.searchsorted(self.keys, key)
-        at[at < len(self.keys)] = np.where(self.keys[at[at < len(self.keys)]] == key[at < len(self.keys)], at[at < len(self.keys)], len(self.keys))
-        return self.rank[at], self.made[at]
-
-    def symbols(self, points: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.char_code, points), len(self.char_code) - 1)
-        return np.where(self.char_code[at] == points, self.char_id[at], _UNKNOWN + points)
-
-    def batch(self, points: np.ndarray) -> list[np.ndarray]:
-        """Symbols of equally long words, merged until no neighbours can be."""
-        sym = self.symbols(points)
-        out: list = [None] * len(sym)
-        who = np.arange(len(sym))
-        rank, made = self._probe(sym[:, :-1].ravel(), sym[:, 1:].ravel())
-        rank, made = rank.reshape(len(sym), -1), made.reshape(len(sym), -1)
-        while len(sym):
-            if sym.shape[1] == 1:
-                best = np.full(len(sym), -1)
-            else:
-                best = rank.argmin(axis=1)
-                best[rank[np.arange(len(sym)), best] == self.none] = -1
-            done = best < 0
-            for i, row in zip(who[done].tolist(), sym[done], strict=True):
-                out[i] = row
-            go = ~done
-            if not go.any():
-                break
-            sym, rank, made, who, best = sym[go], rank[go], made[go], who[go], best[go]
-            n, r = sym.shape[1], np.arange(len(sym))
-            sym[r, best] = made[r, best]
-            cols = np.arange(n - 1)[None, :]
-            sym = np.take_along_axis(sym, cols + (cols > best[:, None]), axis=1)
-            if n == 2:
+            by_length.setdefault(len(p), []).append(p)
+        for n in sorted(by_length):
+            splits = [(self.symbol[p], self.symbol[p[:i]], self.symbol[p[i:]], order[p]) for p in by_length[n] for i in range(1, n) if p[:i] in self.symbol and p[i:] in self.symbol]
+            if not splits:
                 continue
-            cols = cols[:, : n - 2]
-            keep = cols + (cols >= best[:, None])
-            rank, made = np.take_along_axis(rank, keep, axis=1), np.take_along_axis(made, keep, axis=1)
-            for j in (best - 1, best):
-                ok = np.flatnonzero((j >= 0) & (j < n - 2))
-                rank[ok, j[ok]], made[ok, j[ok]] = self._probe(sym[ok, j[ok]], sym[ok, j[ok] + 1])
-        return out
-
-    def long(self, points: np.ndarray) -> np.ndarray:
-        """One long word, by a heap of neighbours."""
-        sym = self.symbols(points).tolist()
-        left, right = list(range(-1, len(sym) - 1)), [*range(1, len(sym)), -1]
-        heap: list = []
-        table = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=False), strict=False))
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (hit := table.get(sym[i] * _SHIFT + sym[j])):
-                heapq.heappush(heap, (hit[0], i, j, sym[i], sym[j], hit[1]))
-
-        for i in range(len(sym) - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, j, a, b, made = heapq.heappop(heap)
-            if sym[i] != a or sym[j] != b or right[i] != j:
-                continue
-            sym[i], sym[j] = made, -1
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            offer(left[i], i)
-            offer(i, right[i])
-        return np.array([s for s in sym if s >= 0], dtype=np.int64)
-
-    def segment(self, words: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(words)
+            whole, x, y, r = np.array(splits, dtype=np.int64).T
+            ok = np.flatnonzero(made[x] & made[y])
+            ok = ok[self.joins(x[ok], y[ok], r[ok])]
+            if len(np.unique(whole[ok])) != len(ok):
+                raise ValueError("a piece has two derivations")
+            if (self.rank[x[ok]] >= r[ok]).any() or (self.rank[y[ok]] >= r[ok]).any():
+                raise ValueError("a piece is merged before its parts")
+            made[whole[ok]], self.rank[whole[ok]], self.left[whole[ok]], self.right[whole[ok]] = True, r[ok], x[ok], y[ok]
+        usable = made[self.ids]
+        self.keys, self.ids, self.scores = self.keys[usable], self.ids[usable], self.scores[usable]
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank at which two neighbours merge."""
+        key = a * _SHIFT + b
+        at = np.searchsorted(self.pairs, key)
+        hit = at < len(self.pairs)
+        hit[hit] = self.pairs[at[hit]] == key[hit]
+        return np.where(hit, self.pair_rank[np.where(hit, at, -1)], self.none)
+
+    def joins(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+        """Whether merging leaves pieces a and b side by side: no merge across their border comes before one of theirs.
+
+        Merges are undone from the last: the parts at the border at each moment may not merge earlier than the
+        merge that is undone next (of equal merges the left one comes first).
+        """
+        ok = np.ones(len(a), dtype=bool)
+        at = np.arange(len(a))
+        limit = np.full(len(a), self.none) if limit is None else limit
+        rank = lambda s: np.where(s < len(self.rank), self.rank[np.minimum(s, len(self.rank) - 1)], -1)
+        while len(at):
+            bad = self._pair(a, b) < limit
+            ok[at[bad]] = False
+            ra, rb = rank(a), rank(b)
+            go = ~bad & ((ra >= 0) | (rb >= 0))
+            at, a, b, ra, rb = at[go], a[go], b[go], ra[go], rb[go]
+            of_a = ra > rb
+            limit = np.where(of_a, ra, rb + 1)
+            a, b = np.where(of_a, self.right[np.where(of_a, a, 0)], a), np.where(of_a, b, self.left[np.where(of_a, 0, b)])
+        return ok
+
+    # --- the search ---
+
+    def _hashes(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words), dtype=np.uint64)
         for n, at in _by_length(words):
-            rows = _rows([words[i] for i in at], n)
-            got = self.batch(rows) if n <= LONGEST else [self.long(r) for r in rows]
-            for i, ids in zip(at, got, strict=True):
-                out[i] = ids
+            out[at] = self._spans(self._prefix(_rows([words[i] for i in at], n)), n)[:, 0]
         return out
 
-
-class Viterbi:
-    """The best segmentation of batches of words under a unigram model."""
-
-    def __init__(self, pieces: dict[str, int], scores: dict[str, float], unknown_score: float | None = None):
-        self.longest = max((len(p) for p in pieces), default=1)
-        self.powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(LONGEST * 8, _BASE)]))
-        keyed = {int(self._hash_of(p)): p for p in pieces}
-        if len(keyed) != len(pieces):
-            raise ValueError("two pieces share a hash")
-        self.keys = np.array(sorted(keyed), dtype=np.uint64)
-        self.ids = np.array([pieces[keyed[k]] for k in self.keys.tolist()], dtype=np.int64)
-        self.scores = np.array([scores[keyed[k]] for k in self.keys.tolist()])
-        self.unknown = min(scores.values(), default=0.0) - 10 if unknown_score is None else unknown_score
-
-    def _hash_of(self, piece: str) -> np.uint64:
-        return self._spans(self._prefix(_rows([piece], len(piece))), 0, len(piece))[0]
-
     def _prefix(self, points: np.ndarray) -> np.ndarray:
         run = np.zeros((len(points), points.shape[1] + 1), dtype=np.uint64)
         for i in range(points.shape[1]):
             run[:, i + 1] = run[:, i] * _BASE + wordhash.mix(points[:, i].astype(np.uint64) + np.uint64(1))
         return run
 
-    def _spans(self, run: np.ndarray, start: int, end: int) -> np.ndarray:
-        return wordhash.mix(run[:, end] - run[:, start] * np.power(_BASE, np.uint64(end - start)) + np.uint64(end - start))
+    def _spans(self, run: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of all substrings of one width, a column for each start."""
+        return wordhash.mix(run[:, width:] - run[:, :-width] * self.powers[width] + np.uint64(width))
 
-    def batch(self, points: np.ndarray) -> list[np.ndarray]:
-        """Ids of equally long words; _UNKNOWN + code point where no piece matches."""
+    def batch(self, points: np.ndarray) -> np.ndarray:
+        """Symbols of equally long words, -1 behind the last; _UNKNOWN + code point where no piece matches."""
         m, n = points.shape
-        run = self._prefix(points)
-        best, back, how = np.full((m, n + 1), -np.inf), np.zeros((m, n + 1), np.int64), np.zeros((m, n + 1), np.int64)
+        run, most = self._prefix(points), min(self.longest, n)
+        found = []
+        for width in range(1, most + 1):  # substrings probe the sorted keys, all of one width at once
+            key = self._spans(run, width)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found.append(np.where(self.keys[at] == key, at, -1))
+        best, back, how = np.full((m, n + 1), -np.inf), np.zeros((m, n + 1), np.int64), np.full((m, n + 1), -1)
         best[:, 0] = 0
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                key = self._spans(run, start, end)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[at] == key
-                score = np.where(hit, self.scores[at], self.unknown if end - start == 1 else -np.inf) + best[:, start]
+            if self.bpe:
+                open_rows = np.arange(m)
+                for width in range(min(most, end), 0, -1):
+                    at = found[width - 1][open_rows, end - width]
+                    ids = np.where(at >= 0, self.ids[at], _UNKNOWN + points[open_rows, end - width] if width == 1 else -1)
+                    maybe = np.flatnonzero(ids >= 0)
+                    if end > width and len(maybe):
+                        maybe = maybe[self.joins(how[open_rows[maybe], end - width], ids[maybe])]
+                    rows = open_rows[maybe]
+                    back[rows, end], how[rows, end] = end - width, ids[maybe]
+                    open_rows = np.delete(open_rows, maybe)
+                    if not len(open_rows):
+                        break
+                if len(open_rows):
+                    raise ValueError("a word has no sequence of joined pieces")
+                continue
+            for width in range(1, min(most, end) + 1):
+                at = found[width - 1][:, end - width]
+                score = np.where(at >= 0, self.scores[at], self.unknown if width == 1 else -np.inf) + best[:, end - width]
                 better = score > best[:, end]
-                best[better, end], back[better, end] = score[better], start
-                how[better, end] = np.where(hit, self.ids[at], _UNKNOWN + points[:, start])[better]
-        out = []
-        for r in range(m):
-            ids, end = [], n
-            while end:
-                ids.append(how[r, end])
-                end = back[r, end]
-            out.append(np.array(ids[::-1], dtype=np.int64))
+                best[better, end], back[better, end] = score[better], end - width
+                how[better, end] = np.where(at >= 0, self.ids[at], _UNKNOWN + points[:, end - width])[better]
+        # Backpointers, of all rows together.
+        out, at, rows, place = np.full((m, n), -1), np.full(m, n), np.arange(m), n
+        while len(rows):
+            place -= 1
+            out[rows, place] = how[rows, at[rows]]
+            at[rows] = back[rows, at[rows]]
+            rows = rows[at[rows] > 0]
         return out
 
-    def segment(self, words: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(words)
+    def long(self, word: str) -> list[int]:
+        """One long word, place by place; time grows with its length."""
+        how, back, best = [-1] * (len(word) + 1), [0] * (len(word) + 1), [0.0] + [float("-inf")] * len(word)
+        known = dict(zip(self.ids.tolist(), self.scores.tolist(), strict=True))
+        for end in range(1, len(word) + 1):
+            for width in range(min(self.longest, end), 0, -1):
+                s = self.symbol.get(word[end - width : end], -1)
+                s = s if s in known else _UNKNOWN + ord(word[end - 1]) if width == 1 else -1
+                if s < 0:
+                    continue
+                if self.bpe:
+                    if end == width or self._joins_one(how[end - width], s):
+                        how[end], back[end] = s, end - width
+                        break
+                    continue
+                value = best[end - width] + known.get(s, self.unknown)
+                if value > best[end]:
+                    best[end], how[end], back[end] = value, s, end - width
+        out, at = [], len(word)
+        while at:
+            out.append(how[at])
+            at = back[at]
+        return out[::-1]
+
+    def _joins_one(self, a: int, b: int) -> bool:
+        if (a, b) not in self.bpe_cache:
+            if len(self.bpe_cache) > MOST_WORDS:
+                self.bpe_cache.clear()
+            self.bpe_cache[a, b] = bool(self.joins(np.array([a]), np.array([b]))[0])
+        return self.bpe_cache[a, b]
+
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words, one after another, and how many each has."""
+        order, counts, flat = [], [], []
         for n, at in _by_length(words):
-            for i, ids in zip(at, self.batch(_rows([words[i] for i in at], n)), strict=True):
-                out[i] = ids
-        return out
+            if n > LONGEST:
+                rows = [np.array(self.long(words[i]), dtype=np.int64) for i in at]
+                counts.append(np.array([len(r) for r in rows]))
+                flat += rows
+            else:
+                got = self.batch(_rows([words[i] for i in at], n))
+                counts.append((got >= 0).sum(axis=1))
+                flat.append(got[got >= 0])
+            order += at
+        none = np.zeros(0, dtype=np.int64)
+        counts, flat = np.concatenate([none, *counts]), np.concatenate([none, *flat])
+        return _taken(flat, counts, np.argsort(np.array(order, dtype=np.int64), kind="stable"))
+
+
+def _taken(flat: np.ndarray, counts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows `which` of rows that stand one after another in flat."""
+    ends = np.cumsum(counts)
+    n = counts[which]
+    to = np.cumsum(n)
+    return flat[np.repeat(ends[which] - n - (to - n), n) + np.arange(to[-1] if len(to) else 0)], n
 
 
 @lru_cache(maxsize=2)
@@ -239,27 +285,61 @@ class Codec:
         # A BPE model scores pieces by merge order: whole numbers going down by one.
         steps = np.array([scores[names[i]] for i in usual])
         self.kind = "bpe" if np.array_equal(steps, np.round(steps)) and (steps <= 0).all() else "unigram"
-        self.engine = Merges(pieces, scores) if self.kind == "bpe" else Viterbi(pieces, scores)
+        self.engine = Viterbi(pieces, scores, bpe=self.kind == "bpe")
         self.most = n
+        # No piece holds the two characters of a border that is not listed here, so words can be cut there.
+        inner = {ord(x) << 21 | ord(y) for p in pieces for x, y in zip(p, p[1:], strict=False)}
+        self.inner = np.array(sorted(inner), dtype=np.int64)
         self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _ids(self, symbols: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """Ids of words as bytes; symbols without a piece become bytes of their character."""
+        ends = np.cumsum(counts).tolist()
+        raw = symbols.astype("<u4").tobytes()
+        out = [raw[4 * (e - c) : 4 * e] for c, e in zip(counts.tolist(), ends, strict=True)]
+        spelled = {v: k for k, v in self.engine.symbol.items() if v >= self.most}
+        odd = np.unique(np.searchsorted(np.cumsum(counts), np.flatnonzero(symbols >= self.most), "right"))
+        for i in odd.tolist():
+            ids = []
+            for s in symbols[ends[i] - counts[i] : ends[i]].tolist():
+                ids += [s] if s < self.most else self.bytes[list((chr(s - _UNKNOWN) if s >= _UNKNOWN else spelled[s]).encode())].tolist()
+            out[i] = np.array(ids, dtype="<u4").tobytes()
+        return out
 
-    def _ids(self, symbols: np.ndarray) -> np.ndarray:
-        if (symbols < self.most).all():
-            return symbols
-        out = []
-        spelled = {v: k for k, v in self.engine.symbol.items()} if self.kind == "bpe" and ((symbols >= self.most) & (symbols < _UNKNOWN)).any() else {}
-        for s in symbols.tolist():
-            out += [s] if s < self.most else self.bytes[list((chr(s - _UNKNOWN) if s >= _UNKNOWN else spelled[s]).encode())].tolist()
-        return np.array(out, dtype=np.int64)
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode words that are not known yet: they are cut at borders that no piece crosses, and each part is searched once."""
+        text = "\n".join([w.decode() for w in new]).replace(" ", MARK)
+        points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        key = points[:-1] << 21 | points[1:]
+        at = np.searchsorted(self.inner, key)
+        inside = at < len(self.inner)
+        inside[inside] = self.inner[at[inside]] == key[inside]
+        line = points == 10
+        cut = np.flatnonzero(~inside & ~line[:-1] & ~line[1:]) + 1
+        parts = np.insert(points.astype("<u4"), cut, 10).tobytes().decode("utf-32-le").split("\n")
+        word_ends = np.append(np.flatnonzero(line), len(points))
+        n = np.diff(np.searchsorted(cut, word_ends), prepend=0) + 1
+        if len(self.parts) > MOST_WORDS:
+            self.parts.clear()
+        unknown = list({p for p in parts if p not in self.parts})
+        self.parts.update(zip(unknown, self._ids(*self.engine.segment(unknown)), strict=True))
+        found, place = list(map(self.parts.__getitem__, parts)), 0
+        for w, c in zip(new, n.tolist(), strict=True):
+            self.words[w] = found[place] if c == 1 else b"".join(found[place : place + c])
+            place += c
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, as 32-bit unsigned integers."""
         if len(self.words) > MOST_WORDS:
             self.words.clear()
         split = [re.findall(rb" +[^ \n]*|[^ \n]+|\n", b" " + t.replace(MARK.encode(), b" ")) if t else [] for t in texts]
-        new = list({w for x in split for w in x if w not in self.words})
-        for w, symbols in zip(new, self.engine.segment([w.decode().replace(" ", MARK) for w in new]), strict=True):
-            self.words[w] = self._ids(symbols).astype("<u4").tobytes()
+        new = set().union(*split).difference(self.words)
+        if b"\n" in new:
+            new.discard(b"\n")
+            self.words[b"\n"] = self._ids(*self.engine.segment(["\n"]))[0]
+        if new:
+            self._learn(list(new))
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, x)), dtype="<u4") for x in split]
 
@@ -274,7 +354,7 @@ def _encoder(path: str):
         own = codec(path)
         for batch in batches:
             data, bounds = wordhash.buffers(batch.column(1))
-            for row, to in wordhash.chunks(bounds):
+            for row, to in wordhash.chunks(bounds, CHUNK):
                 texts = [data[a:b].tobytes() for a, b in zip(bounds[row:to].tolist(), bounds[row + 1 : to + 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), pa.array([i.tobytes() for i in own.encode(texts)], pa.binary())], names=["doc_id", "ids"])
 

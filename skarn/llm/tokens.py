@@ -1,19 +1,25 @@
 """Token ids of many texts with a `tokenizers` file, by a bounded cache of words.
 
-The vocabulary used for packing drops white space and never joins characters across it, so the ids of a
-text are those of its words, one after another; each worker encodes a word once while it is in the cache.
-Texts that hold "<|" may name special tokens, and go to the tokenizer whole.
+A vocabulary that lower-cases, drops white space and never joins characters across it gives a text the ids of its
+words, one after another; each worker encodes a word once while it is in the cache. Words of a chunk are told apart by
+numpy, by keyed hashes and then byte by byte, so Python sees each distinct word of a chunk once. Whether a file is of
+this kind is tried on `PROBES` when it is read; texts of any other file, and texts that hold "<|" and may name special
+tokens, go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 
+from skarn.llm import wordhash
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER, _LATIN, _MARK = (np.isin(np.arange(256), x) for x in (range(97, 123), [x for x in range(0xA0, 0xC0) if x != 0xB7], list(b".,;:!?|#%&$*")))
+PROBES = ("Hello World", " a  B\tc\nd ", "one, two.three! (four) 5|6#7", "Ünï\u00e9 ÀB\u00c7.x", "it's don't'll", "x\u00a0y \u2003z", "日本語 テスト.a", "a,b;c:d!e?f|g#h%i&j$k*l", "AbC123def 4.5e6", "é.é,é")
 
 
 @lru_cache(maxsize=4)
@@ -31,7 +37,14 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most_words = most_words
+        self.key = wordhash.new_key()
+        self.by_word = True
         self._clear()
+        for text in PROBES:
+            raw = np.frombuffer(text.encode(), dtype=np.uint8)
+            if self.encode(raw, np.array([0, len(raw)]))[0].tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                self.by_word = False
+                break
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
@@ -65,33 +78,51 @@ class WordTokens:
 
     def _encode(self, words: list[bytes]) -> None:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for word, got in zip(words, encode([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self._put(word, got.ids)
+        ids = [got.ids for got in encode([w.decode() for w in words], add_special_tokens=False)]
+        size = np.array([len(x) for x in ids], dtype=np.int64)
+        at, n = len(self.place), int(size.sum())
+        while at + len(ids) > len(self.off):
+            self.off, self.len, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len, self.hits))
+        if self.used + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + n, dtype=np.uint32)])
+        self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=n)
+        self.off[at : at + len(ids)], self.len[at : at + len(ids)] = self.used + np.cumsum(size) - size, size
+        self.used += n
+        self.place.update(zip(words, range(at, at + len(ids)), strict=True))
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """Ids of each text data[bounds[i]:bounds[i + 1]], equal to tokenizer.encode(text, add_special_tokens=False).ids."""
+        if not self.by_word:
+            texts = [data[a:b].tobytes().decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            return [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.place) > self.most_words:
             self._shrink()
         raw = data.tobytes()
         texts = zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
-        whole = {i for i, (a, b) in enumerate(texts) if b"<|" in raw[a:b]} if b"<|" in raw else set()
+        whole = [i for i, (a, b) in enumerate(texts) if b"<|" in raw[a:b]] if b"<|" in raw else []
         # A run of marks behind a letter is a token run of its own: a space before it changes nothing, and stems are shared.
         low = _LOWER[data]
+        for i in whole:
+            low[bounds[i] : bounds[i + 1]] = 32
         letter = _LETTER[low]
         letter[1:] |= (low[:-1] == 0xC3) & _LATIN[low[1:]]
         cut = np.flatnonzero(_MARK[low[1:]] & letter[:-1]) + 1
-        at = (bounds + np.searchsorted(cut, bounds)).tolist()
-        raw = np.insert(low, cut, 32).tobytes()
-        split = [raw[a:b].split() if i not in whole else [] for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
-        counts = np.array([len(x) for x in split], dtype=np.int64)
-        words = [w for x in split for w in x]
-        get = self.place.get
-        found = np.array([get(w, -1) for w in words], dtype=np.int64)
+        at = bounds + np.searchsorted(cut, bounds)
+        words = wordhash.split(np.insert(low, cut, 32), at, lower=False, key=self.key)
+        counts = np.diff(words.first)
+        _, first, inverse, uses = np.unique(words.hash, return_index=True, return_inverse=True, return_counts=True)
+        if not wordhash.same(words, first[inverse]):  # two words share a hash: each is its own then
+            first = inverse = np.arange(len(words.hash))
+            uses = np.ones(len(first), dtype=np.int64)
+        raw = words.data.tobytes()
+        kinds = [raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
+        found = np.fromiter(map(self.place.get, kinds, repeat(-1)), dtype=np.int64, count=len(kinds))
         if len(missing := np.flatnonzero(found < 0)):
             missing = missing.tolist()
-            self._encode(list({words[i] for i in missing}))
-            found[missing] = [self.place[words[i]] for i in missing]
-        self.hits[: len(self.place)] += np.bincount(found, minlength=len(self.place))
+            self._encode(list({kinds[i] for i in missing}))
+            found[missing] = [self.place[kinds[i]] for i in missing]
+        np.add.at(self.hits, found, uses)
+        found = found[inverse]
         lens = self.len[found]
         ends = np.cumsum(lens)
         flat = self.flat[np.repeat(self.off[found] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]

@@ -11,16 +11,16 @@ pyarrow.fs opens by its URI (file, hdfs, s3, gs); pages themselves are read by S
 Defined cases: a null html is an empty payload; a null or odd URL is written escaped; of equal payloads of at
 least `least_bytes`, rows with the smallest page_id are responses (all of them if it repeats), and a null
 page_id is larger than any; smaller payloads are responses always; an empty table gives no archive; other
-columns are ignored.
+columns are ignored, but for `fetched_at` (a timestamp), which gives records their date where it is there.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,43 +37,56 @@ _RECORD_SQL = "page_id long, url string, payload_bytes long, payload_digest stri
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'page {page_id}'.encode()).digest())}>"
+def new_id() -> str:
+    return f"<urn:uuid:{uuid.uuid4()}>"
 
 
 def escaped_url(url: str | None) -> str:
-    """One header line: control characters, spaces and % itself percent-encoded."""
-    return "".join(f"%{ord(c):02X}" if c <= " " or c in "%\x7f" else c for c in url or "")
+    """A URL as one header line: bytes that no URI may hold are percent-encoded, what is encoded already stays."""
+    return "".join(c if "!" <= c <= "~" and c not in '"<>\\^`{|}' else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
 
 
-def unescaped_url(url: str) -> str:
-    return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url)
+def exact_url(url: str) -> str:
+    """The same with % itself encoded, so that it can be read back."""
+    return escaped_url(url.replace("%", "\0")).replace("%00", "%25") if "\0" not in url else "".join(f"%{b:02X}" for b in url.encode())
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
+def read_url(value: str) -> str:
+    return unquote(value, errors="strict")
+
+
+def _headed(lines: list[str], block: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def info(name: str) -> bytes:
+    """The warcinfo record that an archive begins with."""
+    return _headed(["WARC-Type: warcinfo", f"WARC-Record-ID: {new_id()}", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], b"software: skarn\r\nformat: WARC file version 1.1\r\n")
+
+
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, refers_url: str | None = None, date: str | None = None) -> bytes:
     """One WARC/1.1 record; a revisit has HTTP headers only and says what it repeats."""
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
-    head = [
-        "WARC/1.1",
+    target = escaped_url(url)
+    lines = [
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
-        f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {escaped_url(url)}",
+        f"WARC-Record-ID: {new_id()}",
+        f"WARC-Date: {date or DATE}",
+        f"WARC-Target-URI: {target or 'urn:skarn:none'}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        *([f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
+        *([f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To-Target-URI: {escaped_url(refers_url) or 'urn:skarn:none'}", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
         *([] if page_id is None else [f"X-Page: {page_id}"]),
+        *([] if url is None else [f"X-URL: {exact_url(url)}"] if target != url or "%" in url or not url else []),
         *(["X-No-URL: 1"] if url is None else []),
         "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
     ]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return _headed(lines, http if revisit else http + payload)
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     """(WARC headers, HTTP headers, payload) of one record."""
-    lines = lambda x: {k: v for k, v in (h.split(": ", 1) for h in x.decode().split("\r\n")[1:])}
+    lines = lambda x: {k: v.lstrip(" ") for k, v in (h.split(":", 1) for h in x.decode().split("\r\n")[1:])}
     head, _, rest = raw.partition(b"\r\n\r\n")
     if not head.startswith(b"WARC/1.1\r\n"):
         raise ValueError("not a WARC record")
@@ -91,21 +104,29 @@ def _open(root: str):
     return fs.FileSystem.from_uri(root)
 
 
+def _member(raw: bytes, level: int) -> bytes:
+    """A gzip member of its own."""
+    press = zlib.compressobj(level, wbits=31)
+    return press.compress(raw) + press.flush()
+
+
 def _writer(root: str, archive_bytes: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = name = None
         offset = 0
         for batch in batches:
             rows = []
-            for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, digest, refers_to, refers_url, date in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None or offset >= archive_bytes:
                     if out:
                         out.close()
                     store, path = _open(root)
                     name, offset = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(f"{path}/{name}", compression=None)
-                press = zlib.compressobj(level, wbits=31)
-                raw = press.compress(record(page_id, url, (html or "").encode(), digest, refers_to)) + press.flush()
+                    first = _member(info(name), level)
+                    out.write(first)
+                    offset = len(first)
+                raw = _member(record(page_id, url, (html or "").encode(), digest, refers_to, refers_url, date), level)
                 out.write(raw)
                 rows.append((page_id, url, name, offset, len(raw), digest, "response" if refers_to is None else "revisit"))
                 offset += len(raw)
@@ -121,13 +142,15 @@ def write(spark: SparkSession, pages: DataFrame, root: str, least_bytes: int = L
     store, path = _open(root)
     store.create_dir(f"{path}/archives", recursive=True)
     html = F.col("html").cast("string")
-    one = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(F.coalesce(html, F.lit("")), 256).alias("digest"))
+    date = F.date_format(F.to_utc_timestamp(F.col("fetched_at").cast("timestamp"), spark.conf.get("spark.sql.session.timeZone")), "yyyy-MM-dd'T'HH:mm:ss'Z'") if "fetched_at" in pages.columns else F.lit(None).cast("string")
+    one = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(F.coalesce(html, F.lit("")), 256).alias("digest"), date.alias("date"))
     # Written before it is joined: the join then lies right on its two exchanges, where a hot digest can be split.
-    one.groupBy("digest").agg(F.min("page_id").alias("first")).write.parquet(f"{root}/first")
-    first = spark.read.schema("digest string, first long").parquet(f"{root}/first")
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    one.groupBy("digest").agg(least.alias("least")).select("digest", F.col("least.page_id").alias("first"), F.col("least.url").alias("first_url")).write.parquet(f"{root}/first")
+    first = spark.read.schema("digest string, first long, first_url string").parquet(f"{root}/first")
     large = F.octet_length("html") >= least_bytes
     refers = F.when(large & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    typed = one.join(first, "digest").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    typed = one.join(first, "digest").select("page_id", "url", "html", "digest", refers.alias("refers_to"), "first_url", "date")
     index = typed.mapInArrow(_writer(f"{root}/archives", archive_bytes, level), _INDEX_SQL)
     index.write.parquet(f"{root}/index")
     return spark.read.schema(_INDEX_SQL).parquet(f"{root}/index")
@@ -170,7 +193,10 @@ def _reader(root: str, most: int, gap: int, with_payload: bool):
                     if not revisit and hashlib.sha256(payload).hexdigest() != told:
                         raise ValueError(f"the payload at {archive}:{ranges[i][1]} does not match its digest")
                     number = lambda k, h=warc: int(h[k]) if k in h else None
-                    rows.append((number("X-Page"), None if "X-No-URL" in warc else unescaped_url(warc["WARC-Target-URI"]), int(http["Content-Length"]), told, warc["WARC-Type"], number("X-Refers-To-Page"), payload if with_payload and not revisit else None))
+                    size = int(http["Content-Length"])
+                    if not revisit and len(payload) != size:
+                        raise ValueError(f"the payload at {archive}:{ranges[i][1]} has another length than its header says")
+                    rows.append((number("X-Page"), None if "X-No-URL" in warc else read_url(warc["X-URL"]) if "X-URL" in warc else warc["WARC-Target-URI"], size, told, warc["WARC-Type"], number("X-Refers-To-Page"), payload if with_payload and not revisit else None))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(_RECORD)], schema=_RECORD)
         if opened:
             opened.close()
@@ -185,11 +211,25 @@ def read(index: DataFrame, root: str, with_payload: bool = True, most: int = REA
     return where.mapInArrow(_reader(f"{root}/archives", most, gap, with_payload), _RECORD_SQL)
 
 
+def resolved(spark: SparkSession, records: DataFrame) -> DataFrame:
+    """records with the payloads, sizes and digests of revisits taken from the responses that they refer to.
+
+    A revisit whose response is missing has nulls there. A response that many revisits name is a hot key of a join
+    that lies right on its two exchanges, so it can be split.
+    """
+    revisits, own = records.where("record_type = 'revisit'"), records.where("record_type = 'response'")
+    named = own.groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("is")).agg(F.first("payload_bytes").alias("bytes"), F.first("payload").alias("content"))
+    named = Scratch(spark, "warc-named").cut(named, "named")
+    told = revisits.join(named, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("is")), "left")
+    return own.unionByName(told.select("page_id", "url", F.col("bytes").alias("payload_bytes"), F.col("is").alias("payload_digest"), "record_type", "refers_to", F.col("content").alias("payload")))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written as records, and read back."""
-    root = Scratch(spark, "warc").root
-    index = write(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), root)
-    return read(index, root, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """All pages written as records, and read back; what a revisit says is that of the response it names."""
+    scratch = Scratch(spark, "warc")
+    index = write(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch.root)
+    records = scratch.cut(read(index, scratch.root, with_payload=False), "records")
+    return resolved(spark, records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP4_SQL = f"""

@@ -101,6 +101,24 @@ def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) ->
     return mix(out)
 
 
+def same(words: Words, other: np.ndarray) -> bool:
+    """Whether each word i has the same bytes as word other[i]."""
+    size = words.end - words.start
+    if not np.array_equal(size, size[other]):
+        return False
+    padded = np.concatenate([words.data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(words.data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    left = np.flatnonzero(other != np.arange(len(size)))
+    lane = 0
+    while len(left) and lane < _MOST_LANES:
+        mask = _BYTES[np.minimum(size[left] - lane * _LANE, _LANE)]
+        if ((eight[words.start[left] + lane * _LANE] ^ eight[words.start[other[left]] + lane * _LANE]) & mask).any():
+            return False
+        lane += 1
+        left = left[size[left] > lane * _LANE]
+    return all(words.data[words.start[i] : words.end[i]].tobytes() == words.data[words.start[j] : words.end[j]].tobytes() for i, j in zip(left.tolist(), other[left].tolist(), strict=True))
+
+
 def split(data: np.ndarray, bounds: np.ndarray, lower: bool, key: int | None) -> Words:
     """data: bytes of the texts, one after another; bounds: where each begins, and the end. Without a key there are no hashes."""
     if lower:

@@ -194,10 +194,10 @@ def test_url_filter_in_time(spark):
       ('tie.org', '2024-01-01', 'add', 'z'), ('tie.org', '2024-01-01', 'remove', 'z'), (NULL, '2024-01-01', 'add', 'q'), ('bad.org', '2024-02-01', 'add', 'x') AS t(domain, listed_at, action, category)""")
     captures = spark.sql("""SELECT page_id, url, CAST(d AS DATE) AS fetched_at, 'c' AS domain FROM VALUES (1, 'http://bad.org/', '2024-01-31'), (2, 'https://u:p@www.BAD.org:80/x', '2024-02-01'), (3, 'http://bad.org', '2024-03-01'), (4, 'http://a.sub.bad.org./', '2024-02-15'),
       (5, NULL, '2024-02-15'), (6, 'nourl', '2024-02-15'), (7, 'http://tie.org', '2024-02-01'), (8, 'http://notbad.org', '2024-02-15'), (9, 'http://bad.org', NULL) AS t(page_id, url, d)""")
-    got = {r["page_id"]: (r["blocked"], r["entry_domain"]) for r in urlfilter.judge(captures, entries).collect()}
+    got = {r["page_id"]: (r["blocked"], r["entry_domain"]) for r in urlfilter.judge(spark, captures, entries).collect()}
     assert got == {1: (False, None), 2: (True, "bad.org"), 3: (False, None), 4: (True, "sub.bad.org"), 5: (False, None), 6: (False, None), 7: (False, None), 8: (False, None), 9: (False, None)}
-    assert urlfilter.judge(captures.limit(0), entries).count() == 0
-    assert not any(r["blocked"] for r in urlfilter.judge(captures, entries.limit(0)).collect())
+    assert urlfilter.judge(spark, captures.limit(0), entries).count() == 0
+    assert not any(r["blocked"] for r in urlfilter.judge(spark, captures, entries.limit(0)).collect())
 
 
 CLASHES = "__id long, __sha string, __sha2 string, __key long, __at long, __text string, __failed boolean, __host string, `a.b` string, row string, id long, m int, keep_id long, gone_id long, text_key long, name string, base_failed boolean, symbols int, strict_symbols boolean, `with space` int"
@@ -247,3 +247,34 @@ def test_shingle_names_stand_for_words():
             assert len(got[i]) == len(sets[i])
             for j in range(i):
                 assert len(set(got[i].tolist()) & set(got[j].tolist())) == len(sets[i] & sets[j])
+
+
+def test_categories_of_a_domain_run_apart(spark):
+    entries = spark.sql("""SELECT domain, CAST(t AS TIMESTAMP) AS listed_at, action, category FROM VALUES ('a.org', '2024-01-01', 'add', 'spam'), ('a.org', '2024-02-01', 'add', 'malware'), ('a.org', '2024-03-01', 'remove', 'malware'), ('b.org', '2024-01-01', 'remove', 'x'),
+      ('[::1]', '2024-01-01', 'add', 'y'), ('0.0.1', '2024-01-01', 'add', 'z'), ('c.org', '2024-01-01', 'add', NULL) AS t(domain, t, action, category)""")
+    long = "http://" + "s." * 2000 + "a.org/" + "p" * 100_000
+    rows = [(1, "http://a.org", "2024-04-01"), (2, "http://a.org", "2024-02-15"), (3, "http://b.org", "2024-04-01"), (4, "http://[::1]:80/x", "2024-04-01"), (5, "http://10.0.0.1/", "2024-04-01"), (None, long, "2024-04-01"), (1, "http://a.org", "2024-04-01"), (7, "http://c.org", "2024-04-01")]
+    captures = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, t string, domain string").withColumn("fetched_at", F.col("t").cast("timestamp")).withColumn("at", F.lit(1)).withColumn("hit", F.lit(2))
+    got = sorted(((r["page_id"], r["blocked"], r["entry_domain"], r["category"]) for r in urlfilter.judge(spark, captures, entries).collect()), key=str)
+    want = [(1, True, "a.org", "spam"), (1, True, "a.org", "spam"), (2, True, "a.org", "spam"), (3, False, None, None), (4, True, "[::1]", "y"), (5, False, None, None), (None, True, "a.org", "spam"), (7, True, "c.org", None)]
+    assert got == sorted(want, key=str)
+
+
+def test_warc_urls_and_ids(spark):
+    big = "<p>" + "x" * 200 + "</p>"
+    urls = ["https://x/a%20b", "https://x/ü?q=a b&c=%2F", "", "a\\0b%", "https://x/%ZZ\r\nEvil: 1", "https://x/plain"]
+    for u in urls:
+        head = warc.parse_record(warc.record(1, u, b"p", "d", None))[0]
+        assert (warc.read_url(head["X-URL"]) if "X-URL" in head else head["WARC-Target-URI"]) == u and "Evil" not in head
+    assert warc.escaped_url("https://x/a%20b") == "https://x/a%20b"
+    pages = spark.createDataFrame([(1, "u", big), (1, "u", big), (None, "v", big), (None, "w", "s"), (2, "z", big)], "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("first", F.lit(1)).withColumn("fetched_at", F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    scratch = Scratch(spark, "warc-ids")
+    index = warc.write(spark, pages, scratch.root)
+    raw = [open(f"{scratch.root.removeprefix('file://')}/archives/{r['archive']}", "rb").read()[r["offset"] : r["offset"] + r["length"]] for r in index.collect()]
+    import zlib
+
+    heads = [warc.parse_record(zlib.decompress(x, wbits=31))[0] for x in raw]
+    assert len({h["WARC-Record-ID"] for h in heads}) == 5 and {h["WARC-Date"] for h in heads} == {"2024-05-06T07:08:09Z"}
+    got = warc.resolved(spark, warc.read(index, scratch.root)).collect()
+    assert len(got) == 5 and {bytes(r["payload"]).decode() for r in got} == {big, "s"} and all(r["payload_digest"] == hashlib.sha256(bytes(r["payload"])).hexdigest() for r in got)
+    assert warc.parse_record(warc.info("a"))[0]["WARC-Type"] == "warcinfo"
