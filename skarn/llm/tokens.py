@@ -9,6 +9,7 @@ tokens, go to the tokenizer whole.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from itertools import chain, repeat
 
@@ -19,6 +20,7 @@ from skarn.llm import wordhash
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER, _LATIN, _MARK = (np.isin(np.arange(256), x) for x in (range(97, 123), [x for x in range(0xA0, 0xC0) if x != 0xB7], list(b".,;:!?|#%&$*")))
+_LETTERS, _AT_ONCE = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"), 500
 PROBES = ("Hello World", " a  B\tc\nd ", "one, two.three! (four) 5|6#7", "Ünï\u00e9 ÀB\u00c7.x", "it's don't'll", "x\u00a0y \u2003z", "日本語 テスト.a", "a,b;c:d!e?f|g#h%i&j$k*l", "AbC123def 4.5e6", "é.é,é")
 
 
@@ -38,6 +40,9 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.most_words = most_words
         self.key = wordhash.new_key()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.by_word = True
         self._clear()
         for text in PROBES:
@@ -78,17 +83,26 @@ class WordTokens:
 
     def _encode(self, words: list[bytes]) -> None:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = [got.ids for got in encode([w.decode() for w in words], add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], dtype=np.int64)
+        # Words of letters alone are one token run each, which ends with a token that says so: many go in one call.
+        plain = [w for w in words if _LETTERS.fullmatch(w)]
+        runs = [got.ids for got in encode([b" ".join(plain[i : i + _AT_ONCE]).decode() for i in range(0, len(plain), _AT_ONCE)], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(runs), dtype=np.int64)
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) == len(plain) and (not len(flat) or ends[-1] == len(flat)):
+            words = plain + [w for w in words if not _LETTERS.fullmatch(w)]
+        else:
+            plain, flat, ends = [], flat[:0], ends[:0]
+        rest = [got.ids for got in encode([w.decode() for w in words[len(plain) :]], add_special_tokens=False)]
+        size = np.concatenate([np.diff(ends, prepend=0), np.array([len(x) for x in rest], dtype=np.int64)]).astype(np.int64)
         at, n = len(self.place), int(size.sum())
-        while at + len(ids) > len(self.off):
+        while at + len(words) > len(self.off):
             self.off, self.len, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len, self.hits))
         if self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + n, dtype=np.uint32)])
-        self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=n)
-        self.off[at : at + len(ids)], self.len[at : at + len(ids)] = self.used + np.cumsum(size) - size, size
+        self.flat[self.used : self.used + n] = np.concatenate([flat, np.fromiter(chain.from_iterable(rest), dtype=np.int64)])
+        self.off[at : at + len(words)], self.len[at : at + len(words)] = self.used + np.cumsum(size) - size, size
         self.used += n
-        self.place.update(zip(words, range(at, at + len(ids)), strict=True))
+        self.place.update(zip(words, range(at, at + len(words)), strict=True))
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """Ids of each text data[bounds[i]:bounds[i + 1]], equal to tokenizer.encode(text, add_special_tokens=False).ids."""

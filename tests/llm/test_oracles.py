@@ -1,6 +1,7 @@
 """Training-text queries against their SQL, and without SQL against brute force or an exact round trip."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -117,6 +118,8 @@ def test_pieces_equal_the_library(spark, small):
 def test_viterbi_finds_the_best_segmentation():
     import random
 
+    import numpy as np
+
     rng = random.Random(1)
     voc = {w: i for i, w in enumerate(sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(40)} | {"a", "b"}))}
     scores = {w: -rng.random() * 5 for w in voc}
@@ -128,12 +131,61 @@ def test_viterbi_finds_the_best_segmentation():
             found.append(max(found[s] + scores.get(w[s:end], engine.unknown if end - s == 1 else float("-inf")) for s in range(end)))
         return found[-1]
 
-    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(200)]
-    for w, ids in zip(words, engine.segment(words), strict=True):
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(200)] + ["abcd" * 100]
+    flat, counts = engine.segment(words)
+    for w, ids in zip(words, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
         assert "".join(names[i] if i in names else chr(i - pieces._UNKNOWN) for i in ids.tolist()) == w
         assert sum(scores[names[i]] if i in names else engine.unknown for i in ids.tolist()) == pytest.approx(best(w))
 
 
+def test_joined_pieces_are_what_merging_gives():
+    """A BPE vocabulary grown from random text: the search against merges done one by one."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    corpus = [[*"".join(rng.choice("aabbc") for _ in range(rng.randint(1, 12)))] for _ in range(300)]
+    scores = {c: 0.0 for c in "ab"}  # "c" is part of pieces, but none itself
+    for rank in range(60):
+        uses = defaultdict(int)
+        for w in corpus:
+            for x, y in zip(w, w[1:], strict=False):
+                uses[x, y] += 1
+        pair = max(uses, key=lambda p: (uses[p], p))
+        if "".join(pair) in scores:
+            break
+        scores["".join(pair)] = -float(rank)
+        corpus = [merged(w, pair) for w in corpus]
+    voc = {p: i for i, p in enumerate(scores)}
+    engine = pieces.Viterbi(voc, scores, bpe=True)
+    back = {i: p for p, i in engine.symbol.items()}
+
+    def by_merging(w):
+        w = list(w)
+        while True:
+            ranked = [(-scores[x + y], i) for i, (x, y) in enumerate(zip(w, w[1:], strict=False)) if x + y in scores and len(x + y) > 1]
+            if not ranked:
+                return w
+            i = min(ranked)[1]
+            w[i : i + 2] = [w[i] + w[i + 1]]
+
+    words = ["".join(rng.choice("aabbcd") for _ in range(rng.randint(1, 14))) for _ in range(3000)] + ["aab" * 120, "a" * 301]
+    flat, counts = engine.segment(words)
+    for w, ids in zip(words, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+        assert [back[i] if i in back else chr(i - pieces._UNKNOWN) for i in ids.tolist()] == by_merging(w), w
+
+
+def merged(w, pair):
+    out = []
+    for x in w:
+        if out and (out[-1], x) == pair:
+            out[-1] += x
+        else:
+            out.append(x)
+    return out
+
+
 def test_ranker_learns_from_other_rows_only(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in registry.QUERIES["op10_quality_classifier"](spark, sf).collect()}
@@ -150,3 +202,106 @@ def test_ranker_without_labels_of_both_kinds(spark):
     assert {r["score"] for r in ranker.score(spark, docs, none).collect()} == {0.5}
     one = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "doc_id long, quality int")
     assert {r["score"] for r in ranker.score(spark, docs, one).collect()} == {1.0}
+
+
+def plain_features(text: str) -> list[float]:
+    """The ranker's features by plain Python, on bytes."""
+    raw = text.encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    if not spans:
+        return [0.0] * ranker.FEATURES
+    body, ws = raw[spans[0][0] : spans[-1][1]], [raw[a:b] for a, b in spans]
+    tail = raw[spans[0][0] :]
+    n, lens, kinds = len(ws), [len(w) for w in ws], defaultdict(int)
+    for w in ws:
+        kinds[w] += 1
+    grams = [tuple(ws[i : i + 3]) for i in range(n - 2)]
+    lines = body.split(b"\n")
+    mean = sum(lens) / n
+    return [
+        *[sum(tail.count(bytes([c])) for c in chars) / len(body) for chars in ranker._CLASSES],
+        math.log1p(n), mean, max(sum(x * x for x in lens) / n - mean * mean, 0) ** 0.5, sum(x <= 3 for x in lens) / n, sum(x >= 12 for x in lens) / n,
+        len(kinds) / n**0.5, max(kinds.values()) / n, 1 - len(set(grams)) / len(grams) if grams else 0, 1 - len(set(lines)) / len(lines), math.log1p(n / len(lines)),
+    ]
+
+
+def plain_grams(text: str, bucket: dict) -> tuple[dict, dict]:
+    """Counts by bucket of a text's words and pairs; bucket finds a word's or a pair's."""
+    ws = [m.group() for m in re.finditer(rb"[^\x20\x09-\x0D]+", lower(text).encode())]
+    one, two = defaultdict(int), defaultdict(int)
+    for w in ws:
+        one[bucket(w)[0]] += 1
+    for pair in zip(ws, ws[1:], strict=False):
+        two[bucket(b" ".join(pair))[1]] += 1
+    return one, two
+
+
+def test_ranker_equals_a_plain_bradley_terry_fit(spark, small):
+    """All documents scored by plain Python: features, folded log odds, gradient descent on the pairs, and a grid of slopes."""
+    from functools import lru_cache
+
+    import numpy as np
+    import pyarrow as pa
+
+    from skarn.llm import wordhash
+
+    @lru_cache(maxsize=None)
+    def bucket(gram):
+        _, _, words = next(wordhash.words_of(pa.array([gram.decode()]), lower=True, key=ranker._KEY))
+        one, two = ranker.gram_buckets(words)
+        return int(one[0]), int(two[0]) if len(two) else None
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    train = sorted(i for i in labels if i in texts and zlib.crc32(str(i).encode()) % 5)
+    assert len(train) < ranker.MOST_ROWS
+    own, grams = {i: plain_features(t) for i, t in texts.items()}, {i: plain_grams(t, bucket) for i, t in texts.items()}
+
+    def odds(ids):
+        out = []
+        for j in (0, 1):
+            count = {y: defaultdict(int) for y in (0, 1)}
+            for i in ids:
+                for b, n in grams[i][j].items():
+                    count[labels[i]][b] += n
+            total = {y: sum(count[y].values()) for y in (0, 1)}
+            prior = lambda b, c=count, t=total: (c[0][b] + c[1][b] + 1) / (t[0] + t[1] + ranker.BUCKETS)
+            share = lambda y, b, c=count, t=total, p=prior: (c[y][b] + ranker.ODDS_PRIOR * p(b)) / (t[y] + ranker.ODDS_PRIOR)
+            out.append(lambda b, s=share: max(-4, min(4, math.log(s(1, b) / s(0, b)))))
+        return out
+
+    def means(i, by):
+        return [sum(by[j](b) * n for b, n in grams[i][j].items()) / sum(grams[i][j].values()) if grams[i][j] else 0.0 for j in (0, 1)]
+
+    folds = [odds([i for k, i in enumerate(train) if k % ranker.FOLDS != f]) for f in range(ranker.FOLDS)]
+    x, y = np.array([own[i] + means(i, folds[k % ranker.FOLDS]) for k, i in enumerate(train)]), np.array([labels[i] for i in train])
+    edges = [sorted(set(np.quantile(x[:, j], [k / ranker.BINS for k in range(1, ranker.BINS)]))) for j in range(x.shape[1])]
+
+    def expand(row):
+        z = [max(-4.0, min(4.0, (v - m) / max(s, 1e-9))) for v, m, s in zip(row, x.mean(axis=0), x.std(axis=0), strict=True)]
+        for v, e in zip(row, edges, strict=True):
+            at = sum(c <= v for c in e)
+            z += [float(k == at) for k in range(len(e) + 1)]
+        return z
+
+    z = np.array([expand(r) for r in x])
+    better, worse = ranker.pairs_of(y, ranker.PAIRS_EACH)
+    assert (y[better] == 1).all() and (y[worse] == 0).all()
+    d = z[better] - z[worse]
+    w, v, step = np.zeros(z.shape[1]), np.zeros(z.shape[1]), 1 / (ranker.RIDGE + np.linalg.norm(d, 2) ** 2 / 4)
+    for k in range(4000):  # accelerated descent on the loss itself
+        g = ranker.RIDGE * v - d.T @ (1 / (1 + np.exp(d @ v)))
+        w, old = v - step * g, w
+        v = w + k / (k + 3) * (w - old)
+    raw = z @ w
+    at = np.quantile(raw, (y == 0).mean())
+    shift = math.log(ranker.CUT / (1 - ranker.CUT))
+    loss = lambda b: np.logaddexp(0, -(2 * y - 1) * (b * (raw - at) + shift)).sum()
+    slope = min(np.exp(np.linspace(np.log(0.01), np.log(100), 20_000)), key=loss)
+    every = odds(train)
+    got = {r["doc_id"]: r for r in registry.QUERIES["op10_quality_classifier"](spark, small).collect()}
+    assert set(got) == set(texts)
+    for i in texts:
+        want = 1 / (1 + math.exp(-max(-30, min(30, slope * (float(np.array(expand(own[i] + means(i, every))) @ w) - at) + shift))))
+        assert got[i]["score"] == pytest.approx(want, abs=2e-3), i
+        assert got[i]["predicted"] == (got[i]["score"] >= 0.3)
