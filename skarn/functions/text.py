@@ -71,16 +71,21 @@ def natural_key(c: Column) -> Column:
 
 
 def clean_query(c: Column) -> Column:
-    """A user's query without null bytes, tags, runs of white space, or characters repeated more than five times."""
-    no_tags = F.regexp_replace(F.replace(c, F.lit("\u0000"), F.lit("")), "<[^>]*>", "")
-    return collapse(F.regexp_replace(no_tags, r"(.)\1{5,}", "$1$1$1$1$1"))
+    """A user's query without null bytes, runs of white space, tags, and marks repeated more than twice."""
+    one_line = collapse(F.replace(c, F.lit("\u0000"), F.lit("")))
+    return F.trim(F.regexp_replace(F.regexp_replace(one_line, "<[^>]+>", ""), r"(?U)([^\w\s])\1{2,}", "$1$1"))
+
+
+# What a query may not hold, and the marks of which it may hold only so many.
+REFUSED = (r"\bDROP\b", r"\bDELETE\b", r"\bCREATE\b", r"\bMERGE\b", "<script>", "javascript:", r"\x00")
+BRACKETS, MOST_BRACKETS, MOST_CHARS, LEAST_CHARS = r"[^{}()\[\]<>]+", 20, 2000, 3
 
 
 def query_problem(c: Column) -> Column:
     """Why a query is refused, or null."""
-    length = F.length(F.trim(c))
-    specials = F.length(F.regexp_replace(c, r"[\p{L}\p{N}\s.,?'()-]+", ""))
-    return F.when(c.isNull() | (length < 3), "too short").when(length > 2000, "too long").when(c.rlike(r"(?i)<script|javascript:|\bunion\s+select\b"), "not allowed").when(specials > 20, "too many special characters")
+    brackets = F.length(F.regexp_replace(c, BRACKETS, ""))
+    refused = c.rlike("(?i)" + "|".join(REFUSED))
+    return F.when(c.isNull() | (F.length(F.trim(c)) == 0), "empty").when(F.length(c) > MOST_CHARS, "too long").when(F.length(c) < LEAST_CHARS, "too short").when(refused, "not allowed").when(brackets > MOST_BRACKETS, "too many special characters")
 
 
 def percentage(n: Column, d: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.operators.windows import running
+
 ANSWER = "answer_type string, claims array<struct<text:string, evidence_ids:array<string>, quotes:array<struct<evidence_id:string, quote:string>>>>"
 KINDS = ("grounded", "abstain", "clarification", "conversation")
 MOST_CLAIMS, MOST_CHARS = 12, 3000
@@ -54,8 +56,7 @@ def usage(calls: DataFrame, grains: list[str], order: str, tokens: str) -> DataF
     """calls with the running sum of tokens over each grain: within all grains, within all but the last, and so on."""
     out = calls
     for n in range(len(grains), 0, -1):
-        w = Window.partitionBy(*grains[:n]).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumn(f"{tokens}_by_{grains[n - 1]}", F.sum(tokens).over(w))
+        out = running(out, grains[:n], [order], F.col(tokens), f"{tokens}_by_{grains[n - 1]}")
     return out
 
 

@@ -14,10 +14,21 @@ SECTION = r"^\d{3,4}(?:\.\d+)*\.?\s+\S"
 CATEGORIES = ("section_heading", "table_caption", "equation", "exception", "insights", "user_note", "table_footnote_candidate", "navigation_artifact", "cross_reference", "source_artifact", "normative_or_commentary_text")
 
 
-def line_category(text: Column, top: Column | None = None) -> Column:
+# The height of a page, of its margins, and what stands in them to lead a reader about.
+PAGE_HEIGHT, MARGIN = 792.0, 55.0
+NAVIGATION = r"(?i)^\d{1,4}\.?$|\b(?:contents|table\s+of\s+contents|index|go\s+to|previous|next|page\s+\d+)\b"
+
+
+def navigation(text: Column, top: Column, bottom: Column, height: float = PAGE_HEIGHT) -> Column:
+    """Whether a line is navigation: it says so, and it lies in the upper or lower margin; without a place it is not."""
+    margin = (top <= MARGIN) | (bottom >= height - MARGIN)
+    return F.coalesce(margin & collapse(text).rlike(NAVIGATION), F.lit(False))
+
+
+def line_category(text: Column, top: Column | None = None, bottom: Column | None = None) -> Column:
     """The first of the line categories whose rule holds."""
     t = collapse(text)
-    margin = F.lit(False) if top is None else top <= 55
+    leads = F.lit(False) if top is None else navigation(text, top, F.lit(0.0) if bottom is None else bottom)
     return (
         F.when(t.rlike(SECTION), "section_heading")
         .when(t.rlike(r"(?i)^table\s+\d"), "table_caption")
@@ -26,7 +37,7 @@ def line_category(text: Column, top: Column | None = None) -> Column:
         .when(t.rlike(r"(?i)^insights?\b"), "insights")
         .when(t.rlike(r"(?i)^user notes?\b"), "user_note")
         .when(t.rlike(r"^[a-z]\.\s|^(?i:for si:)"), "table_footnote_candidate")
-        .when(margin & t.rlike(r"(?i)^\d+$|^page\s+\d+|^chapter\s+\d+$"), "navigation_artifact")
+        .when(leads, "navigation_artifact")
         .when(t.rlike(r"(?i)^see\s+(section|table|chapter)\b"), "cross_reference")
         .when(t.rlike(r"\x{FFFD}|^\W*$"), "source_artifact")
         .otherwise("normative_or_commentary_text")

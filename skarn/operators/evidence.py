@@ -9,7 +9,7 @@ from skarn.functions.text import collapse
 from skarn.operators import graph
 
 
-def assemble(hits: DataFrame, edges: DataFrame, max_depth: int = graph.MAX_DEPTH) -> DataFrame:
+def assemble(hits: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node, evidence_id: each hit (node, pos) before its ancestors, nearest first; a node comes once, where it is first.
 
     Hits are the bounded result of a ranking, so numbering them takes one small window.

@@ -1,4 +1,7 @@
-"""Hierarchies as edge tables: closure, ancestors, cycles, and repair of parents."""
+"""Hierarchies as edge tables: closure, ancestors, cycles, and repair of parents.
+
+Levels are followed to their end. A caller may set a bound; a hierarchy that goes deeper is then an error, never cut.
+"""
 
 from __future__ import annotations
 
@@ -7,56 +10,68 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 20
+from skarn.sources.shared import written
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage where the session names a shared checkpoint folder; else the plan goes on growing."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def _bounded(depth: int, max_depth: int | None) -> None:
+    if max_depth is not None and depth > max_depth:
+        raise ValueError(f"the hierarchy is deeper than {max_depth}")
 
 
-def closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """ancestor, descendant, depth, path of edges (parent, child), depth 1 and more.
 
     Each level is one join with the edges; a path never meets a node twice, so cycles end by themselves.
     """
     step = edges.select(F.col("parent").alias("p"), F.col("child").alias("c"))
-    level = _cut(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth"), F.array("parent", "child").alias("path")))
-    levels = [level]
-    for depth in range(2, max_depth + 1):
-        grown = level.join(step, level["descendant"] == step["p"]).where(~F.array_contains("path", F.col("c")))
-        level = _cut(grown.select("ancestor", F.col("c").alias("descendant"), F.lit(depth).alias("depth"), F.concat("path", F.array("c")).alias("path")))
-        if level.isEmpty():
-            break
+    level = written(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth"), F.array("parent", "child").alias("path")), "closure")
+    levels, depth = [], 1
+    while not levels or not level.isEmpty():
+        _bounded(depth, max_depth)
         levels.append(level)
+        depth += 1
+        grown = level.join(step, level["descendant"] == step["p"]).where(~F.array_contains("path", F.col("c")))
+        level = written(grown.select("ancestor", F.col("c").alias("descendant"), F.lit(depth).alias("depth"), F.concat("path", F.array("c")).alias("path")), "closure")
     return reduce(DataFrame.unionByName, levels)
 
 
-def ancestors(edges: DataFrame, nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node, ancestor, distance for the given nodes: only their own chains are followed upwards."""
     up = edges.select(F.col("child").alias("c"), F.col("parent").alias("p"))
     level = nodes.select("node", F.col("node").alias("at"), F.array("node").alias("path"))
-    found = []
-    for distance in range(1, max_depth + 1):
-        level = _cut(level.join(up, level["at"] == up["c"]).where(~F.array_contains("path", F.col("p"))).select("node", F.col("p").alias("at"), F.concat("path", F.array("p")).alias("path")))
+    found, distance = [], 0
+    while True:
+        distance += 1
+        level = written(level.join(up, level["at"] == up["c"]).where(~F.array_contains("path", F.col("p"))).select("node", F.col("p").alias("at"), F.concat("path", F.array("p")).alias("path")), "ancestors")
         if distance > 1 and level.isEmpty():
             break
+        _bounded(distance, max_depth)
         found.append(level.select("node", F.col("at").alias("ancestor"), F.lit(distance).alias("distance")))
     return reduce(DataFrame.unionByName, found)
 
 
-def cyclic(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Nodes that reach themselves."""
-    step = edges.select(F.col("parent").alias("p"), F.col("child").alias("c"))
-    reach = closure(edges, max_depth)
-    back = reach.join(step, (reach["descendant"] == step["p"]) & (reach["ancestor"] == step["c"])).select(F.col("ancestor").alias("node"))
-    return back.union(edges.where("parent = child").select(F.col("parent").alias("node"))).distinct()
+def cyclic(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves.
+
+    Nodes without parents, and nodes without children, lie on no cycle; they are taken away until none is left. What
+    remains, the cycles and the ways between them, is followed, by ways of twice the length each round, until no new pair is reached.
+    """
+    core = written(edges.select("parent", "child").where("parent <> child").distinct(), "core")
+    while True:
+        inner = core.join(core.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(core.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+        less = written(inner.select("parent", "child"), "core")
+        if less.count() == core.count():
+            break
+        core = less
+    reach = core.select(F.col("parent").alias("a"), F.col("child").alias("b"))
+    while True:  # each round doubles the length of the ways that are known
+        on = reach.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        new = written(reach.join(on, "b").select("a", F.col("c").alias("b")).distinct().join(reach, ["a", "b"], "left_anti"), "reach")
+        if new.isEmpty():
+            break
+        reach = written(reach.unionByName(new), "reach")
+    itself = edges.where("parent = child").select(F.col("parent").alias("node"))
+    return reach.where("a = b").select(F.col("a").alias("node")).union(itself).distinct()
 
 
 def parent_repair(existing: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from skarn.functions.text import tokens
 
+MOST_Y = 1000
+
 
 def carry_forward(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """Each row with the last non-null value at or before it, within its keys."""
@@ -45,6 +47,34 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str,
     return x.join(y, [*keys, "__cell"]).where((F.col(a_span[0]) <= F.col(b_span[1])) & (F.col(b_span[0]) <= F.col(a_span[1])) & (F.col("__cell") == first)).drop("__cell")
 
 
+def overlapping_boxes(a: DataFrame, b: DataFrame, keys: list[str], a_box: tuple[str, str, str, str], b_box: tuple[str, str, str, str], width: float, height: float) -> DataFrame:
+    """Pairs of equal keys whose closed boxes (left, top, right, bottom) meet; pairs meet in the first cell that both have."""
+    at = lambda c, size: F.floor(F.col(c) / size)
+    laid = lambda df, box: df.withColumn("__x", F.explode(F.sequence(at(box[0], width), at(box[2], width)))).withColumn("__y", F.explode(F.sequence(at(box[1], height), at(box[3], height))))
+    first = (F.col("__x") == F.greatest(at(a_box[0], width), at(b_box[0], width))) & (F.col("__y") == F.greatest(at(a_box[1], height), at(b_box[1], height)))
+    meet = (F.col(a_box[0]) <= F.col(b_box[2])) & (F.col(b_box[0]) <= F.col(a_box[2])) & (F.col(a_box[1]) <= F.col(b_box[3])) & (F.col(b_box[1]) <= F.col(a_box[3]))
+    return laid(a, a_box).join(laid(b, b_box), [*keys, "__x", "__y"]).where(meet & first).drop("__x", "__y")
+
+
+def nearest_sum(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str, b_id: str, take: str) -> DataFrame:
+    """a with `take`: the id of the b row of equal keys that has the least |x - x'| + |y - y'|, the least id of equals.
+
+    For each value of y on b's side the best b has the nearest x below or above, so it is one of two as-of joins a
+    value of y. y must have few values (`MOST_Y` at most); a pairs with those values and never with the rows of b.
+    """
+    values = b.select(*keys, F.col(y).alias("__y")).distinct()
+    most = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > MOST_Y:
+        raise ValueError(f"{y} has {most} values for one key")
+    asked = a.join(values, keys)
+    ends = b.groupBy(*keys, F.col(y).alias("__y"), F.col(x).alias("__at")).agg(F.min(b_id).alias("__id")).withColumn("__end", F.struct("__at", "__id"))
+    below = asof(asked.withColumn("__at", F.col(x)), ends, [*keys, "__y"], ["__at"], {"__below": "__end"})
+    both = asof(below.withColumn("__at", -F.col(x)), ends.withColumn("__at", -F.col("__at")), [*keys, "__y"], ["__at"], {"__above": "__end"})
+    cost = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.abs(F.col(x) - F.col(c)["__at"]) + F.abs(F.col(y) - F.col("__y"))).alias("cost"), F.col(c)["__id"].alias("id")))
+    near = both.withColumn("__best", F.array_min(F.array_compact(F.array(cost("__below"), cost("__above")))))
+    return near.where("__best is not null").groupBy(*a.columns).agg(F.min("__best").alias("__best")).withColumn(take, F.col("__best.id")).drop("__best")
+
+
 def coverage(source: DataFrame, output: DataFrame, key: str, title: str) -> DataFrame:
     """key, n_source, n_output and a status for every key of either side."""
     side = lambda df, n: df.groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{n}"), F.min(title).alias(f"{n}_title"))

@@ -11,24 +11,30 @@ from pyspark.sql import functions as F
 from skarn.functions import rules
 from skarn.functions.text import collapse, let
 from skarn.operators.joins import best
+from skarn.sources.shared import written
 
-MOST_LEVELS = 8
+MOST_LEVELS = 256
 # What begins an exception block, and what ends one.
 MARKER = r"(?i)^exceptions?\s*:"
 BOUNDARY = r"^(?:(?i:section)\s+\d{3,4}\s+\S|\d{3,4}(?:\.\d+)+\s+\S|TABLE\s+\d+(?:\.\d+)*(?:\(\d+\))?(?=\s|$)|(?i:exceptions?\s*:|insights|user note))"
 
 
-def stack_parents(headings: DataFrame, group: str, order: str, most_levels: int = MOST_LEVELS) -> DataFrame:
+def stack_parents(headings: DataFrame, group: str, order: str) -> DataFrame:
     """headings (group, order, node, level) with parent: the nearest heading before it of a lower level, or null.
 
     The last heading of each level so far is a column of one running window; the parent is the latest of the
-    lower levels. No pair of headings is formed.
+    lower levels. The levels are those that the headings have; more than `MOST_LEVELS` kinds of level are an error.
+    No pair of headings is formed.
     """
+    levels = sorted(r[0] for r in headings.select("level").where("level is not null").distinct().limit(MOST_LEVELS + 1).collect())
+    if len(levels) > MOST_LEVELS:
+        raise ValueError(f"there are more than {MOST_LEVELS} levels")
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = [F.last(F.when(F.col("level") == n, F.struct(F.col(order).alias("at"), F.col("node").alias("node"))), ignorenulls=True).over(w) for n in range(1, most_levels + 1)]
+    seen = [F.last(F.when(F.col("level") == n, F.struct(F.col(order).alias("at"), F.lit(n).alias("of"), F.col("node").alias("node"))), ignorenulls=True).over(w) for n in levels]
+    if not seen:
+        return headings.withColumn("parent", F.lit(None).cast(headings.schema["node"].dataType))
     lasts = headings.withColumn("__seen", F.array(*seen))
-    lower = F.slice("__seen", F.lit(1), F.least(F.greatest(F.col("level") - 1, F.lit(0)), F.lit(most_levels)))
-    return lasts.withColumn("parent", F.array_max(lower)["node"]).drop("__seen")
+    return lasts.withColumn("parent", F.array_max(F.filter("__seen", lambda x: x["of"] < F.col("level")))["node"]).drop("__seen")
 
 
 def exception_blocks(lines: DataFrame, group: str = "doc_id", order: str = "line_index") -> DataFrame:
@@ -56,13 +62,16 @@ def exception_blocks(lines: DataFrame, group: str = "doc_id", order: str = "line
     return blocks.select(group, "first_line", "last_line", F.array_join(F.transform("rows", lambda r: r["text"]), " ").alias("text"), items(F.col("rows")).alias("items"))
 
 
-def flattened(blocks: DataFrame, group: str = "doc_id", most_depth: int = 20) -> DataFrame:
-    """Trees of blocks (group, node, parent, ord) in reading order: node, depth, ordinal from 0; a parent comes before its children."""
-    at = blocks.where("parent is null").select(group, "node", F.array("ord").alias("path"))
+def flattened(blocks: DataFrame, group: str = "doc_id") -> DataFrame:
+    """Trees of blocks (group, node, parent, ord) in reading order: node, depth, ordinal from 0; a parent comes before its children.
+
+    Trees are followed to their leaves; blocks that no root reaches have no place.
+    """
+    level = blocks.where("parent is null").select(group, "node", F.array("ord").alias("path"))
     step = blocks.where("parent is not null").select(group, "parent", F.col("node").alias("child"), "ord")
-    every, level = at, at
-    for _ in range(most_depth):
-        level = level.join(step, (level[group] == step[group]) & (level["node"] == step["parent"])).select(level[group], F.col("child").alias("node"), F.concat("path", F.array("ord")).alias("path"))
+    every = level
+    while True:
+        level = written(level.join(step, (level[group] == step[group]) & (level["node"] == step["parent"])).select(level[group], F.col("child").alias("node"), F.concat("path", F.array("ord")).alias("path")), "level")
         if level.isEmpty():
             break
         every = every.unionByName(level)

@@ -6,33 +6,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions.text import collapse, ngrams
+from skarn.sources.shared import written
 
 NUMBER = r"\d+(?:\.\d+)?"
-_UNITS = [
-    ("cfm", "cfm|cubic feet per minute"), ("m3/s", "m3/s"), ("ft2", "ft2|square f(?:ee|oo)t"), ("m2", "m2|square met(?:er|re)s?"), ("fahrenheit", "°f|degrees? f(?:ahrenheit)?"), ("celsius", "°c|degrees? c(?:elsius)?"),
-    ("mm", "mm|millimet(?:er|re)s?"), ("cm", "cm|centimet(?:er|re)s?"), ("inch", "inch(?:es)?"), ("foot", "feet|foot|ft"), ("metre", "met(?:er|re)s?"), ("percent", "percent|%"), ("pascal", "pascals?|pa"), ("psi", "psi"), ("kg", "kg|kilograms?"),
-    ("second", "seconds?|s"), ("minute", "minutes?|min"), ("hour", "hours?|h"),
-]
+# Units, and how they are written. A space stands for any white space; "³" and "²" may be written as digits.
+UNITS = {
+    "cfm": ("cubic feet per minute", "cubic foot per minute", "cubic feet/min", "ft³ per minute", "ft³/min", "ft3 per minute", "ft3/min", "cfm"),
+    "m3/s": ("cubic metre per second", "cubic metres per second", "cubic meter per second", "cubic meters per second", "m³ per second", "m³/s", "m3 per second", "m3/s"),
+    "ft2": ("square feet", "square foot", "sq. ft.", "sq. ft", "sq ft.", "sq ft", "ft²", "ft2"),
+    "m2": ("square metre", "square metres", "square meter", "square meters", "m²", "m2"),
+    "fahrenheit": ("°F", "° F", "degree Fahrenheit", "degrees Fahrenheit", "degree F", "degrees F"),
+    "celsius": ("°C", "° C", "degree Celsius", "degrees Celsius", "degree C", "degrees C"),
+    "mm": ("millimetre", "millimetres", "millimeter", "millimeters", "mm"),
+    "cm": ("centimetre", "centimetres", "centimeter", "centimeters", "cm"),
+    "inch": ("inch", "inches", "in", "″", '"'),
+    "foot": ("feet", "foot", "ft", "′"),
+    "metre": ("metre", "metres", "meter", "meters", "m"),
+    "percent": ("percent", "%"),
+    "pascal": ("pascal", "pascals", "Pa"),
+    "psi": ("psi", "pound per square inch", "pounds per square inch"),
+    "kg": ("kilogram", "kilograms", "kg"),
+    "second": ("second", "seconds", "s"),
+    "minute": ("minute", "minutes", "min"),
+    "hour": ("hour", "hours", "hr"),
+}
+
+
+def _spelled(word: str) -> str:
+    """A spelling as a pattern: any white space for a space, and no letter or digit behind one that ends in a letter."""
+    marks = word.replace(".", "[.]").replace(" ", r"\s+").replace("/", r"\s*/\s*")
+    return marks + (r"(?![A-Za-z0-9])" if word[-1].isalnum() else "")
+
+
+def _unit_pattern(words: tuple[str, ...]) -> str:
+    return "|".join(_spelled(w) for w in sorted(words, key=len, reverse=True))
+
+
+_UNITS = [(unit, _unit_pattern(words)) for unit, words in UNITS.items()]
 _VALUE = r"[+-]?\d+(?:,\d{3})*(?:\.\d+)?(?:\s+\d+/\d+|/\d+)?"
-QUANTITY = rf"(?i)(?<![\w.])({_VALUE})\s*-?\s*({'|'.join(p for _, p in _UNITS)})(?![a-z0-9])"
+# The longest spelling goes first, so "ft3/min" is not read as "ft".
+QUANTITY = rf"(?i)(?<![\w.])({_VALUE})\s*(?:-\s*)?({'|'.join(_spelled(w) for w in sorted((w for words in UNITS.values() for w in words), key=len, reverse=True))})"
 
 
 def quoted(quotes: DataFrame, sources: DataFrame, quote_id: str, source_id: str, least: int = 12) -> DataFrame:
     """(quote_id, source_id) where a source contains a quote of at least `least` characters.
 
-    Substring search has no key of its own, so pairs meet on the quote's second and third words: a source that contains
-    the quote has them whole and side by side. Only then is the whole quote compared. Quotes of fewer than four words
-    have no such pair; they are a stated set that is compared with every source.
+    Substring search has no key of its own. But a source that contains a quote has the quote's inner words whole and
+    side by side, so pairs meet on the one of the quote's inner word pairs that the fewest sources have, and only then is
+    the whole quote compared. A quote with a single inner word meets on that word. Shorter quotes meet on their first
+    `least` characters, looked for at every place of the sources that hold one of them.
     """
-    head = F.split("quote", " ")
-    long = quotes.where(F.length("quote") >= least)
-    keyed = long.withColumn("__key", F.when(F.size(head) >= 4, F.concat_ws(" ", F.get(head, F.lit(1)), F.get(head, F.lit(2)))))
-    pairs = ngrams(F.split("source", " "), 2)
-    keys = keyed.where("__key is not null").select("__key").distinct()
-    spread = sources.select(source_id, F.explode(F.array_distinct(pairs)).alias("__key")).join(keys, "__key", "left_semi")
-    pairs_met = keyed.join(spread, "__key").join(sources, source_id).where(F.contains("source", "quote")).select(quote_id, source_id)
-    short = long.where(F.size(head) < 4).join(sources, F.contains("source", "quote")).select(quote_id, source_id)
-    return pairs_met.unionByName(short)
+    words, long = F.split("quote", " "), quotes.where(F.length("quote") >= least)
+    inner = long.withColumn("__in", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    many = inner.where("size(__in) >= 2").select(quote_id, "quote", F.explode(F.array_distinct(ngrams(F.col("__in"), 2))).alias("__key"))
+    one = inner.where("size(__in) = 1").select(quote_id, "quote", F.get("__in", F.lit(0)).alias("__key"))
+    asked = many.unionByName(one)
+    source_words = F.split("source", " ")
+    keys = asked.select("__key").distinct()
+    spread = sources.select(source_id, F.explode(F.array_distinct(F.concat(ngrams(source_words, 2), source_words))).alias("__key")).join(keys, "__key", "left_semi")
+    spread = written(spread, "quoted")
+    uses = spread.groupBy("__key").agg(F.count(F.lit(1)).alias("__uses"))
+    # A key that no source has settles it: min_by leaves nulls out, so they count as 0 uses.
+    rarest = asked.join(uses, "__key", "left").groupBy(quote_id).agg(F.min_by(F.struct("__key", "quote"), F.struct(F.coalesce("__uses", F.lit(0).cast("long")), "__key")).alias("__x")).select(quote_id, "__x.*")
+    met = written(rarest.join(spread, "__key").select(quote_id, "quote", source_id), "met")
+    found = met.join(sources, source_id).where(F.contains("source", "quote")).select(quote_id, source_id)
+    short = inner.where("size(__in) = 0").select(quote_id, "quote", F.left("quote", F.lit(least)).alias("__key"))
+    if short.isEmpty():
+        return found
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.length("source") - (least - 1), F.lit(1))), lambda i: F.substr("source", i, F.lit(least)))
+    near = sources.select(source_id, "source", F.explode(F.array_distinct(places)).alias("__key")).join(short, "__key").where(F.contains("source", "quote"))
+    return found.unionByName(near.select(quote_id, source_id).distinct())
 
 
 def citations(answers: DataFrame) -> DataFrame:
@@ -60,7 +103,7 @@ def quantities(texts: DataFrame) -> DataFrame:
     """id, n, num, den, unit: values bound to units, as reduced fractions; units are named, never converted."""
     value = F.regexp_replace(F.regexp_extract("m", QUANTITY, 1), ",", "")
     unit = F.lower(F.regexp_extract("m", QUANTITY, 2))
-    name = F.coalesce(*[F.when(unit.rlike(f"^(?:{p})$"), F.lit(n)) for n, p in _UNITS])
+    name = F.coalesce(*[F.when(unit.rlike(f"(?i)^(?:{p})$"), F.lit(n)) for n, p in _UNITS])
     found = texts.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(QUANTITY), 0)).alias("n", "m")).select("id", "n", value.alias("v"), name.alias("unit"))
     sign = F.when(F.col("v").startswith("-"), -1).otherwise(1)
     bare = F.regexp_replace("v", "^[+-]", "")

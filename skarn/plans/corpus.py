@@ -31,20 +31,11 @@ def exception_blocks(spark, d):
     return found.select("doc_id", "first_line", "last_line", "text", F.array_join(F.transform("items", lambda i: F.concat_ws("=", i["number"], i["text"])), ";").alias("items"))
 
 
-@query("""WITH RECURSIVE b AS (SELECT c_nationkey AS doc_id, c_custkey AS node, CASE WHEN c_custkey > 40 THEN c_custkey - 25 * (1 + c_custkey % 2) END AS parent, c_custkey % 7 AS ord FROM customer WHERE c_custkey <= 150),
-n AS (SELECT doc_id, node, parent, ord FROM b),
-t AS (SELECT doc_id, node, [ord] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.doc_id, n.node, list_append(t.path, n.ord) FROM t JOIN n ON n.doc_id = t.doc_id AND n.parent = t.node)
-SELECT doc_id, node, CAST(len(path) - 1 AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path, node) - 1 AS INTEGER) AS ordinal FROM t""")
-def block_tree(spark, d):
-    b = sql(spark, d, "SELECT c_nationkey AS doc_id, c_custkey AS node, CASE WHEN c_custkey > 40 THEN c_custkey - 25 * (1 + c_custkey % 2) END AS parent, c_custkey % 7 AS ord FROM {customer} WHERE c_custkey <= 150")
-    return structure.flattened(b)
-
-
 @query("""WITH RECURSIVE n AS (SELECT c_custkey // 50 AS doc_id, c_custkey AS node, CASE WHEN c_custkey % 50 > 0 THEN c_custkey - c_custkey % 50 + (c_custkey % 50 - 1) // 2 END AS parent, c_custkey % 7 AS ord FROM customer),
 t AS (SELECT doc_id, node, [ord] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.doc_id, n.node, list_append(t.path, n.ord) FROM t JOIN n ON n.doc_id = t.doc_id AND n.parent = t.node)
 SELECT doc_id, node, CAST(len(path) - 1 AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path, node) - 1 AS INTEGER) AS ordinal FROM t""")
-def block_tree_whole(spark, d):
-    """All customers, in trees of 50 blocks with two children each; of the ids beyond block_tree's 150 none would have a way to a root."""
+def block_tree(spark, d):
+    """All customers, in trees of 50 blocks with two children each."""
     b = sql(spark, d, "SELECT c_custkey div 50 AS doc_id, c_custkey AS node, CASE WHEN c_custkey % 50 > 0 THEN c_custkey - c_custkey % 50 + (c_custkey % 50 - 1) div 2 END AS parent, c_custkey % 7 AS ord FROM {customer}")
     return structure.flattened(b)
 
@@ -279,23 +270,16 @@ def page_range_lookup(spark, d):
     return joins.overlapping(ranges, lines, [], ("page", "last"), ("page_no", "page_end"), 4).groupBy("id", "page").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH b AS (SELECT o_orderkey AS id, o_custkey % 100 AS page, o_orderkey % 50 AS lo, o_orderkey % 50 + 5 AS hi, o_orderpriority AS t FROM orders)
-SELECT a.id, string_agg(b.t, ' ' ORDER BY b.lo, b.id) AS texts FROM b a JOIN b ON a.page = b.page AND a.lo <= b.hi AND b.lo <= a.hi WHERE a.id % 40 = 1 GROUP BY a.id""")
-def box_texts(spark, d):
-    return _texts_in_boxes(spark, d, "id % 40 = 1")
-
+_TEXT_BOXES = "SELECT o_orderkey AS id, o_custkey AS page, o_orderkey % 50 AS lo, o_orderkey % 50 + 15 AS hi, o_orderkey % 7 * 10 AS top, o_orderkey % 7 * 10 + 25 AS bottom, o_orderpriority AS t FROM {orders}"
 
-@query(ORACLE["box_texts"].replace(" WHERE a.id % 40 = 1", ""))
-def box_texts_whole(spark, d):
-    """All boxes; box_texts gives texts to one id in 40. A page's boxes grow with the table, as there are 100 pages."""
-    return _texts_in_boxes(spark, d, "true")
 
-
-def _texts_in_boxes(spark, d, asked):
-    b = sql(spark, d, "SELECT o_orderkey AS id, o_custkey % 100 AS page, o_orderkey % 50 AS lo, o_orderkey % 50 + 5 AS hi, o_orderpriority AS t FROM {orders}")
-    inner = b.select("page", F.col("id").alias("other"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"), "t")
-    met = joins.overlapping(b.where(asked).drop("t"), inner, ["page"], ("lo", "hi"), ("o_lo", "o_hi"), 10)
-    # One box's texts: as many as lie on its page.
+@query(f"""WITH b AS ({_TEXT_BOXES.format(orders='orders')})
+SELECT a.id, string_agg(b.t, ' ' ORDER BY b.lo, b.id) AS texts FROM b a JOIN b ON a.page = b.page AND a.lo <= b.hi AND b.lo <= a.hi AND a.top <= b.bottom AND b.top <= a.bottom GROUP BY a.id""")
+def box_texts(spark, d):
+    """The texts of all boxes that each box meets on its page; one box's texts are as many as lie on its page."""
+    b = sql(spark, d, _TEXT_BOXES)
+    inner = b.select("page", F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("lo", "top", "hi", "bottom")], "t")
+    met = joins.overlapping_boxes(b.drop("t"), inner, ["page"], ("lo", "top", "hi", "bottom"), ("o_lo", "o_top", "o_hi", "o_bottom"), 30, 30)
     return met.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_lo", "other", "t"))), lambda x: x["t"]), " ").alias("texts"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skarn.operators import extraction as E
-from skarn.operators import graph, retrieval
-from skarn.plans.queries import ORACLE, query
+from skarn.operators import graph, joins, retrieval
+from skarn.plans.queries import query
 from skarn.sources.tables import sql, table
 
 _TEXTS = """SELECT * FROM VALUES (1, '305 GENERAL\\nAll of it.\\n305.1 Supports. \\nHangers shall be kept.\\nMore.\\n12 no\\n305.1 Again\\nx'), (2, 'Gas furnaces shall not be installed in closets. Fans are permitted outdoors. A clearance of 3 feet from closets is kept by furnaces after the shaft.'), (3, NULL) AS t(doc_id, text)"""
@@ -43,23 +43,20 @@ def query_entities(spark, d):
     return E.query_entities("gas furnace clearance", spark.sql("SELECT * FROM VALUES ('gas furnace'), ('furnace'), ('fan') AS t(name)"))
 
 
-@query("""WITH b AS (SELECT p_partkey AS id, p_brand, p_size * 1.0 AS l, p_size * 1.0 + 10 AS r FROM part WHERE p_partkey < 400)
-SELECT a.id, b.id AS other, CAST(round(greatest(least(a.r, b.r) - greatest(a.l, b.l), 0) * 5 / 50, 6) AS DOUBLE) AS overlap, CAST(round(greatest(b.l - a.r, a.l - b.r, 0), 6) AS DOUBLE) AS gap FROM b a JOIN b ON a.p_brand = b.p_brand AND a.id < b.id""")
-def box_geometry(spark, d):
-    return _geometry(table(spark, d, "part").where("p_partkey < 400"))
-
+_PART_BOXES = "SELECT p_partkey AS id, p_brand, p_partkey * 3.0D AS l, p_size * 4.0D AS t, p_partkey * 3.0D + 60 AS r, p_size * 4.0D + 30 AS b FROM {part}"
 
-@query(ORACLE["box_geometry"].replace(" WHERE p_partkey < 400", ""))
-def box_geometry_whole(spark, d):
-    """All boxes; box_geometry has 400 ids. Its rows are the pairs of a brand, so they grow with the square of a brand's parts."""
-    return _geometry(table(spark, d, "part"))
 
-
-def _geometry(parts):
-    parts = parts.select(F.col("p_partkey").alias("id"), "p_brand", F.struct((F.col("p_size") * 1.0).alias("left"), F.lit(0.0).alias("top"), (F.col("p_size") + 10.0).alias("right"), F.lit(5.0).alias("bottom")).alias("box"))
-    other = parts.select(F.col("id").alias("other"), "p_brand", F.col("box").alias("b"))
-    both = parts.join(other, "p_brand").where("id < other")
-    return both.select("id", "other", F.round(E.box_overlap(F.col("box"), F.col("b")), 6).alias("overlap"), F.round(E.box_gap(F.col("box"), F.col("b")), 6).alias("gap"))
+@query(f"""WITH b AS ({_PART_BOXES.format(part='part').replace('0D', '0')})
+SELECT a.id, b.id AS other, CAST(round(greatest(least(a.r, b.r) - greatest(a.l, b.l), 0) * greatest(least(a.b, b.b) - greatest(a.t, b.t), 0) / 1800, 6) AS DOUBLE) AS overlap,
+CAST(round(sqrt(power(greatest(b.l - a.r, a.l - b.r, 0), 2) + power(greatest(b.t - a.b, a.t - b.b, 0), 2)), 6) AS DOUBLE) AS gap
+FROM b a JOIN b ON a.p_brand = b.p_brand AND a.id < b.id AND a.l - 5 <= b.r + 5 AND b.l - 5 <= a.r + 5 AND a.t - 5 <= b.b + 5 AND b.t - 5 <= a.b + 5""")
+def box_geometry(spark, d):
+    """Overlap and gap of all boxes of a brand that are near one another: pairs meet in cells, with five units added around."""
+    parts = sql(spark, d, _PART_BOXES)
+    around = parts.select("*", (F.col("l") - 5).alias("l5"), (F.col("t") - 5).alias("t5"), (F.col("r") + 5).alias("r5"), (F.col("b") + 5).alias("b5"))
+    both = joins.overlapping_boxes(around, around.select("p_brand", *[F.col(c).alias(f"o_{c}") for c in around.columns if c != "p_brand"]), ["p_brand"], ("l5", "t5", "r5", "b5"), ("o_l5", "o_t5", "o_r5", "o_b5"), 200, 120).where("id < o_id")
+    box = lambda p: F.struct(F.col(f"{p}l").alias("left"), F.col(f"{p}t").alias("top"), F.col(f"{p}r").alias("right"), F.col(f"{p}b").alias("bottom"))
+    return both.select("id", F.col("o_id").alias("other"), F.round(E.box_overlap(box(""), box("o_")), 6).alias("overlap"), F.round(E.box_gap(box(""), box("o_")), 6).alias("gap"))
 
 
 @query("SELECT * FROM (VALUES (1, 'q=axv'), (2, 'x=1')) AS t(id, k)")

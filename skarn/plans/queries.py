@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,12 +75,19 @@ def json_project(spark, d):
     return table(spark, d, "events").select("event_id", parsed["k"].alias("k"), F.coalesce(parsed["missing"], F.lit("none")).alias("missing"))
 
 
-_ASKED = "VALUES (1, 'What is the minimum clearance?'), (2, 'ok'), (3, NULL), (4, 'x <b>bold</b>   aaaaaaaaaa'), (5, '<script>alert(1)</script>'), (6, '#$%^&*#$%^&*#$%^&*#$%^&*')"
+_ASKED = """SELECT doc_id AS id, CASE doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'ok' WHEN 3 THEN concat('What is <b>item', doc_id, '</b>   now ??????') WHEN 4 THEN concat('please Drop ', source) WHEN 5 THEN concat('{{{{{{{{{{{}}}}}}}}}}}[', doc_id, ']') WHEN 6 THEN repeat(concat('word', doc_id, ' '), 300) WHEN 7 THEN concat('see JAVASCRIPT:', lang) ELSE concat('Is ', source, ' in ', lang, ' allowed!!! or (not)') END AS q FROM """
 
 
-@query("""SELECT * FROM (VALUES (1, NULL, 'What is the minimum clearance?'), (2, 'too short', 'ok'), (3, 'too short', NULL), (4, NULL, 'x bold aaaaa'), (5, 'not allowed', 'alert(1)'), (6, 'too many special characters', '#$%^&*#$%^&*#$%^&*#$%^&*')) AS t(id, problem, cleaned)""")
+@query(f"""SELECT id, CASE WHEN q IS NULL OR trim(q) = '' THEN 'empty' WHEN length(q) > 2000 THEN 'too long' WHEN length(q) < 3 THEN 'too short' WHEN regexp_matches(q, '(?i)\\b(drop|delete|create|merge)\\b|<script>|javascript:') THEN 'not allowed'
+  WHEN length(regexp_replace(q, '[^{{}}()\\[\\]<>]', '', 'g')) > 20 THEN 'too many special characters' END AS problem,
+trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(q, '\\s+', ' ', 'g')), '<[^>]+>', '', 'g'), '\\?{{3,}}', '??', 'g'), '!{{3,}}', '!!', 'g'), '\\{{{{3,}}', '{{{{', 'g'), '\\}}{{3,}}', '}}}}', 'g')) AS cleaned FROM ({_ASKED} documents)""")
 def query_validation(spark, d):
-    return spark.sql(f"SELECT * FROM {_ASKED} AS t(id, q)").select("id", X.query_problem(F.col("q")).alias("problem"), X.clean_query(F.col("q")).alias("cleaned"))
+    return _asked(table(spark, d, "documents"))
+
+
+def _asked(documents: DataFrame) -> DataFrame:
+    expr = _ASKED[len("SELECT doc_id AS id, ") : -len(" AS q FROM ")]
+    return documents.select(F.col("doc_id").alias("id"), F.expr(expr).alias("q")).select("id", X.query_problem(F.col("q")).alias("problem"), X.clean_query(F.col("q")).alias("cleaned"))
 
 
 # --- hierarchy ------------------------------------------------------------------------------------------------------
@@ -111,9 +116,12 @@ def ancestors_of_hits(spark, d):
     return graph.ancestors(sql(spark, d, _EDGES), hits)
 
 
-@query("SELECT * FROM (VALUES ('a'), ('b'), ('c'), ('f')) AS t(node)")
+_RING = "SELECT s_suppkey AS parent, (s_suppkey * 7 + 3) % 97 AS child FROM {supplier} UNION ALL SELECT s_suppkey + 1000000, s_suppkey FROM {supplier} UNION ALL SELECT s_suppkey, s_suppkey FROM {supplier} WHERE s_suppkey % 50 = 13"
+
+
+@query(f"""WITH RECURSIVE e AS ({_RING.replace('{', '').replace('}', '')}), r AS (SELECT parent AS a, child AS b FROM e UNION SELECT r.a, e.child FROM r JOIN e ON e.parent = r.b) SELECT a AS node FROM r WHERE a = b""")
 def cycle_check(spark, d):
-    return graph.cyclic(spark.sql("SELECT * FROM VALUES ('a', 'b'), ('b', 'c'), ('c', 'a'), ('c', 'd'), ('d', 'e'), ('f', 'f') AS t(parent, child)"))
+    return graph.cyclic(sql(spark, d, _RING))
 
 
 @query("""WITH o AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation WHERE n_nationkey % 4 <> 1 UNION ALL SELECT 'unassigned', 'n' || n_nationkey FROM nation WHERE n_nationkey % 4 = 1),
@@ -167,29 +175,29 @@ def default_bucket(spark, d):
 @query("""WITH a AS (SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_size < 25), b AS (SELECT p_partkey AS o_key, p_brand, p_size AS o_size, p_retailprice AS o_price FROM part WHERE p_size >= 25)
 SELECT p_partkey, o_key FROM (SELECT p_partkey, o_key, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(p_retailprice - o_price) + abs(p_size - o_size), o_key) AS rn FROM a JOIN b USING (p_brand)) WHERE rn = 1""")
 def best_match_scored(spark, d):
+    """By as-of joins for each size, so parts of a brand are not paired."""
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    other = part.where("p_size >= 25").select(F.col("p_partkey").alias("o_key"), "p_brand", F.col("p_size").alias("o_size"), F.col("p_retailprice").alias("o_price"))
-    scored = part.where("p_size < 25").join(other, "p_brand").withColumn("cost", F.abs(F.col("p_retailprice") - F.col("o_price")) + F.abs(F.col("p_size") - F.col("o_size")))
-    return joins.best(scored, ["p_partkey"], [F.col("cost"), F.col("o_key")]).select("p_partkey", "o_key")
+    found = joins.nearest_sum(part.where("p_size < 25"), part.where("p_size >= 25"), ["p_brand"], "p_retailprice", "p_size", "p_partkey", "o_key")
+    return found.select("p_partkey", "o_key")
 
 
-_BOXES = "SELECT o_orderkey % 500 AS page, o_orderkey AS id, CAST(floor(o_totalprice / 100) AS BIGINT) AS lo, CAST(floor(o_totalprice / 100) + o_orderkey % 97 AS BIGINT) AS hi FROM {orders} WHERE o_orderkey % 2 = "
+_BOXES = "SELECT o_custkey AS page, o_orderkey AS id, CAST(floor(o_totalprice / 100) AS BIGINT) AS lo, CAST(floor(o_totalprice / 100) + o_orderkey % 97 * 20 AS BIGINT) AS hi, o_orderkey % 40 AS top, o_orderkey % 40 + 10 AS bottom FROM {orders} WHERE o_orderkey % 2 = "
 
 
-@query(f"""WITH a AS ({_BOXES.format(orders='orders')}0), b AS (SELECT page + 1 AS page, id AS other, lo AS o_lo, hi AS o_hi FROM ({_BOXES.format(orders='orders')}1))
-SELECT a.page, id, other FROM a JOIN b ON a.page % 500 = b.page % 500 AND lo <= o_hi AND o_lo <= hi""")
+@query(f"""WITH a AS ({_BOXES.format(orders='orders')}0), b AS ({_BOXES.format(orders='orders')}1)
+SELECT a.page, a.id, b.id AS other FROM a JOIN b ON a.page = b.page AND a.lo <= b.hi AND b.lo <= a.hi AND a.top <= b.bottom AND b.top <= a.bottom""")
 def spatial_interval_join(spark, d):
-    a = sql(spark, d, _BOXES + "0").withColumn("k", F.col("page") % 500)
-    b = sql(spark, d, _BOXES + "1").select(((F.col("page") + 1) % 500).alias("k"), F.col("id").alias("other"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
-    return joins.overlapping(a, b, ["k"], ("lo", "hi"), ("o_lo", "o_hi"), 100).select("page", "id", "other")
+    """Boxes of one page that meet, in both directions."""
+    b = sql(spark, d, _BOXES + "1").select("page", F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("lo", "top", "hi", "bottom")])
+    return joins.overlapping_boxes(sql(spark, d, _BOXES + "0"), b, ["page"], ("lo", "top", "hi", "bottom"), ("o_lo", "o_top", "o_hi", "o_bottom"), 500, 20).select("page", "id", "other")
 
 
-@query(f"""WITH a AS ({_BOXES.format(orders='orders')}0), b AS (SELECT (page + 1) % 500 AS k, id AS other, lo AS o_lo FROM ({_BOXES.format(orders='orders')}1))
-SELECT id, other FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY abs(lo - o_lo), other) AS rn FROM a JOIN b ON a.page % 500 = k AND abs(lo - o_lo) <= 45) WHERE rn = 1""")
+@query(f"""WITH a AS ({_BOXES.format(orders='orders')}0), b AS ({_BOXES.format(orders='orders')}1)
+SELECT id, other FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.lo - b.lo), b.id) AS rn FROM a JOIN b ON a.page = b.page AND abs(a.lo - b.lo) <= 450) WHERE rn = 1""")
 def spatial_nearest(spark, d):
-    a = sql(spark, d, _BOXES + "0").select((F.col("page") % 500).alias("k"), "id", "lo", (F.col("lo") - 45).alias("a"), (F.col("lo") + 45).alias("b"))
-    b = sql(spark, d, _BOXES + "1").select(((F.col("page") + 1) % 500).alias("k"), F.col("id").alias("other"), F.col("lo").alias("o_lo"), F.col("lo").alias("o_hi"))
-    near = joins.overlapping(a, b, ["k"], ("a", "b"), ("o_lo", "o_hi"), 90)
+    a = sql(spark, d, _BOXES + "0").select("page", "id", "lo", (F.col("lo") - 450).alias("a"), (F.col("lo") + 450).alias("b"))
+    b = sql(spark, d, _BOXES + "1").select("page", F.col("id").alias("other"), F.col("lo").alias("o_lo"), F.col("lo").alias("o_hi"))
+    near = joins.overlapping(a, b, ["page"], ("a", "b"), ("o_lo", "o_hi"), 900)
     return joins.best(near, ["id"], [F.abs(F.col("lo") - F.col("o_lo")), F.col("other")]).select("id", "other")
 
 
@@ -231,21 +239,32 @@ def role_islands(spark, d):
     return windows.islands(turns, ["conv_id"], ["turn"], F.col("new"), "run").select("conv_id", "turn", "run")
 
 
-@query("""WITH s AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age, 2000 - coalesce(sum(least(length(text), 700)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM conversations WHERE role IN ('user', 'assistant') AND length(trim(text)) > 0)
+@query("""WITH s AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age, 2000 - coalesce(sum(least(length(text), 700)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM (SELECT conv_id, turn, role, trim(text) AS text FROM conversations) WHERE role IN ('user', 'assistant') AND length(trim(text)) > 0)
 SELECT conv_id, turn, role, substr(text, 1, CAST(least(700, room) AS INTEGER)) AS content, CAST(age AS INTEGER) AS age FROM s WHERE age <= 6 AND room > 0""")
 def bounded_history(spark, d):
     return windows.bounded_history(table(spark, d, "conversations"), "conv_id", "turn", most_turns=6, most_each=700, most_all=2000)
 
 
-@query("SELECT conv_id, max(turn) FILTER (role = 'user') AS last_user, arg_max(substr(text, 1, 20), turn) FILTER (role = 'user') AS said FROM conversations GROUP BY conv_id")
+_RETRIED = "SELECT conv_id, turn, role, CASE WHEN turn % 4 = 2 THEN 'Please try again!' WHEN turn % 7 = 4 THEN 'retry that please' ELSE text END AS text FROM {conversations}"
+
+
+@query(f"""WITH c AS ({_RETRIED.replace('{', '').replace('}', '')})
+SELECT conv_id, max(turn) AS "at", arg_max(text, turn) AS said FROM c WHERE role = 'user' AND text IS NOT NULL AND NOT regexp_matches(lower(trim(text)), '^(please )?(try again|retry|retry that|try that again|try it again|answer again|answer that again|can you try again|could you try again|give it another try)( please)?[.!?]*$') GROUP BY conv_id""")
 def last_user_message(spark, d):
-    user = F.col("role") == "user"
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.max(F.when(user, F.col("turn"))).alias("last_user"), F.max_by(F.when(user, F.substring("text", 1, 20)), F.when(user, F.col("turn"))).alias("said"))
+    """Retries are passed over, to the question that they repeat."""
+    return windows.last_asked(sql(spark, d, _RETRIED), "conv_id", "turn")
 
 
-@query("""WITH s AS (SELECT user_id, event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM events) SELECT user_id, event_id, spent, spent <= 100000 AS within FROM s""")
+_BUDGET = """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, CASE WHEN c <= 20000 THEN c ELSE 0 END AS spent, c <= 20000 AS fits FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, r.spent + CASE WHEN r.spent + c <= 20000 THEN c ELSE 0 END, r.spent + c <= 20000 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, CAST(spent AS BIGINT) AS spent, fits AS """
+
+
+@query(_BUDGET + "within FROM r")
 def running_budget_cap(spark, d):
-    return windows.running_budget(table(spark, d, "events"), "user_id", "event_id", F.round(F.col("value") * 100).cast("long"), 100000).select("user_id", "event_id", "spent", "within")
+    """What does not fit under the cap is refused and not charged."""
+    return windows.reserved(table(spark, d, "events"), "user_id", "event_id", F.round(F.col("value") * 100), 20000).select("user_id", "event_id", "spent", "within")
 
 
 @query("""SELECT user_id, event_type, 'E' || row_number() OVER (PARTITION BY user_id ORDER BY f, event_type) AS evidence_id FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY user_id, event_type)""")
@@ -270,6 +289,14 @@ def quota_selection(spark, d):
     return dev.select("doc_id", F.lit("dev").alias("split")).unionByName(heldout.select("doc_id", F.lit("heldout").alias("split")))
 
 
+@query("""SELECT doc_id, CAST(row_number() OVER (ORDER BY q ASC NULLS LAST, doc_id) AS BIGINT) AS place FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""")
+def null_last_order(spark, d):
+    """Places in a total order with nulls last, counted over ranges: no task has all rows."""
+    both = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    keyed = both.select("doc_id", F.col("quality").isNull().alias("last"), F.coalesce("quality", F.lit(0)).alias("q"))
+    return windows.running(keyed, [], ["last", "q", "doc_id"], F.lit(1), "place").select("doc_id", F.col("place").cast("long").alias("place"))
+
+
 # --- aggregates -----------------------------------------------------------------------------------------------------
 
 _TYPES = ["signup", "error", "click", "view", "purchase"]
@@ -283,38 +310,18 @@ def pivot_category_by_page(spark, d):
     return days.join(seen, "day", "left").na.fill(0, _TYPES)
 
 
-@query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS bs FROM benchmark)
-SELECT item_id, doc_id, CAST(len(list_intersect(bs, ws)) AS INTEGER) AS covered, round(len(list_intersect(bs, ws)) / len(bs), 6) AS share FROM b JOIN t ON t.doc_id % 40 = item_id WHERE len(bs) > 0""")
-def set_token_coverage(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.array_distinct(X.tokens(F.col("text"))).alias("bs"))
-    t = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("item_id"), "doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("ws"))
-    n = F.size(F.array_intersect("bs", "ws"))
-    return b.join(t, "item_id").where("size(bs) > 0").select("item_id", "doc_id", n.alias("covered"), F.round(n / F.size("bs"), 6).alias("share"))
-
-
-@query("""WITH b AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) GROUP BY 1, 2), t AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY 1, 2),
-s AS (SELECT item_id, sum(n) AS total FROM b GROUP BY 1)
-SELECT b.item_id, t.doc_id, CAST(sum(least(b.n, t.n)) AS BIGINT) AS matched, round(sum(least(b.n, t.n)) / any_value(total), 6) AS coverage FROM b JOIN t ON b.w = t.w AND t.doc_id % 40 = b.item_id JOIN s ON s.item_id = b.item_id GROUP BY 1, 2""")
-def multiset_token_coverage(spark, d):
-    count = lambda df, key: df.select(key, F.explode(X.tokens(F.col("text"))).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
-    b, t = count(table(spark, d, "benchmark"), "item_id"), count(table(spark, d, "documents"), "doc_id").withColumn("item_id", F.col("doc_id") % 40).withColumnRenamed("n", "m")
-    total = b.groupBy("item_id").agg(F.sum("n").alias("total"))
-    matched = b.join(t, ["item_id", "w"]).groupBy("item_id", "doc_id").agg(F.sum(F.least("n", "m")).alias("matched"))
-    return matched.join(total, "item_id").select("item_id", "doc_id", "matched", F.round(F.col("matched") / F.col("total"), 6).alias("coverage"))
-
-
 @query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS bs FROM benchmark)
 SELECT item_id, doc_id, CAST(len(list_intersect(bs, ws)) AS BIGINT) AS covered, round(len(list_intersect(bs, ws)) / len(bs), 6) AS share FROM b CROSS JOIN t WHERE len(bs) > 0 AND len(list_intersect(bs, ws)) / len(bs) >= 0.6""")
-def set_token_coverage_whole(spark, d):
-    """Every document against every item; set_token_coverage has one item a document."""
+def set_token_coverage(spark, d):
+    """Every document against every item, from a coverage of 0.6 on."""
     return _covered(spark, d, True).select("item_id", "doc_id", "covered", F.round("share", 6).alias("share"))
 
 
 @query("""WITH b AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) GROUP BY 1, 2), t AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY 1, 2),
 s AS (SELECT item_id, sum(n) AS total FROM b GROUP BY 1)
 SELECT b.item_id, t.doc_id, CAST(sum(least(b.n, t.n)) AS BIGINT) AS matched, round(sum(least(b.n, t.n)) / any_value(total), 6) AS coverage FROM b JOIN t ON b.w = t.w JOIN s ON s.item_id = b.item_id GROUP BY 1, 2 HAVING sum(least(b.n, t.n)) / any_value(total) >= 0.6""")
-def multiset_token_coverage_whole(spark, d):
-    """Every document against every item; multiset_token_coverage has one item a document."""
+def multiset_token_coverage(spark, d):
+    """Every document against every item, from a coverage of 0.6 on."""
     return _covered(spark, d, False).select("item_id", "doc_id", F.col("covered").alias("matched"), F.round("share", 6).alias("coverage"))
 
 
@@ -335,32 +342,21 @@ def bbox_union(spark, d):
 
 @query("""WITH x AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events GROUP BY event_type) SELECT event_type, n, round(quantile_cont(value, 0.5), 6) AS p50, any_value(p95) AS p95 FROM events JOIN (SELECT event_type, n, v[least(CAST(floor(0.95 * n) AS BIGINT), n - 1) + 1] AS p95 FROM x) USING (event_type) GROUP BY event_type, n""")
 def latency_percentiles(spark, d):
-    # The 95th is a value of the data, at index int(0.95 n); found by rank, so no list of a whole group is built.
-    ranked = table(spark, d, "events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("event_type").orderBy("value")
-    placed = ranked.select("event_type", "value", F.sum("c").over(w).alias("upto"), F.sum("c").over(Window.partitionBy("event_type")).alias("n"))
-    p95 = placed.where(F.col("upto") > F.least(F.floor(0.95 * F.col("n")), F.col("n") - 1)).groupBy("event_type", "n").agg(F.min("value").alias("p95"))
-    p50 = table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"))
-    return p95.join(p50, "event_type").select("event_type", "n", "p50", "p95")
+    """Median and the 95th by rank. Ranks are running counts over ranges, so no type is one task and no list of it is built."""
+    ranked = windows.running(table(spark, d, "events").select("event_type", "value", "event_id"), ["event_type"], ["value", "event_id"], F.lit(1), "rank")
+    sizes = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("value")))
+    n = F.col("n")
+    found = ranked.join(sizes, "event_type").groupBy("event_type", "n").agg(at(F.floor((n + 1) / 2)).alias("low"), at(F.floor(n / 2) + 1).alias("high"), at(F.least(F.floor(0.95 * n), n - 1) + 1).alias("p95"))
+    return found.select("event_type", "n", F.round((F.col("low") + F.col("high")) / 2, 6).alias("p50"), "p95")
 
 
-@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id < 8),
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
 s AS (SELECT q.vec_id AS q, q.label AS ql, v.vec_id, v.label, round(list_cosine_similarity(q.e, v.e), 6) AS c FROM q JOIN v ON v.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, vec_id) AS rn FROM s), n AS (SELECT label, count(*) - 1 AS total FROM embeddings GROUP BY label)
 SELECT q, CAST(sum(CASE WHEN r.label = ql THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(sum(CASE WHEN r.label = ql THEN 1 ELSE 0 END) / any_value(least(total, 5)), 6) AS recall5 FROM r JOIN n ON n.label = ql WHERE rn <= 5 GROUP BY q""")
 def recall_at_k(spark, d):
-    v = table(spark, d, "embeddings")
-    q = v.where("vec_id < 8").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))  # eight stated queries against all rows
-    scored = v.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", "ql", "vec_id", "label", F.round(retrieval.cosine_of(F.col("embedding"), F.col("qe")), 6).alias("c"))
-    top = joins.best(scored, ["q", "vec_id"], [F.desc("c")]).withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("c"), "vec_id"))).where("rn <= 5")
-    total = v.groupBy(F.col("label").alias("ql")).agg((F.count(F.lit(1)) - 1).alias("total"))
-    hits = top.groupBy("q", "ql").agg(F.count_if(F.col("label") == F.col("ql")).alias("hits"))
-    return hits.join(total, "ql").select("q", "hits", F.round(F.col("hits") / F.least("total", F.lit(5)), 6).alias("recall5"))
-
-
-@query(ORACLE["recall_at_k"].replace("vec_id < 8", "vec_id % 100 = 0"))
-def recall_at_k_whole(spark, d):
-    """Every vector whose id 100 divides, against all rows; recall_at_k has eight ids."""
+    """Every vector whose id 100 divides, against all rows, in blocks."""
     v = table(spark, d, "embeddings")
     hits = retrieval.nearest(v, v.where("vec_id % 100 = 0"), 5).groupBy("q", "ql").agg(F.count_if(F.col("label") == F.col("ql")).alias("hits"))
     total = v.groupBy(F.col("label").alias("ql")).agg((F.count(F.lit(1)) - 1).alias("total"))
@@ -453,7 +449,7 @@ _SOURCE = "SELECT doc_id AS evidence_id, trim(regexp_replace(text, '[\\s\\x0B\\x
 
 @query("""WITH b AS (SELECT item_id, trim(regexp_replace(text, '[\\s\\x0B\\x{00A0}]+', ' ', 'g')) AS quote FROM benchmark),
 d AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x0B\\x{00A0}]+', ' ', 'g')) AS source FROM documents)
-SELECT item_id, doc_id FROM b JOIN d ON contains(source, substr(quote, 1, 60)) WHERE length(quote) >= 12""")
+SELECT item_id, doc_id FROM b JOIN d ON contains(source, quote) WHERE length(quote) >= 12""")
 def quote_containment(spark, d):
     return validation.quoted(table(spark, d, "benchmark").select("item_id", X.collapse(F.col("text")).alias("quote")), table(spark, d, "documents").select("doc_id", X.collapse(F.col("text")).alias("source")), "item_id", "doc_id")
 
@@ -558,12 +554,19 @@ def event_windows_session(spark, d):
 
 @query(ORACLE["event_windows_tumbling"])
 def stream_tumbling(spark, d):
-    return stream.drain(stream.tumbling(stream.read(spark, d), late="1 day"), f"tumbling_{uuid.uuid4().hex}")
+    return stream.drain(stream.tumbling(stream.read(spark, d), late="1 day"), "tumbling")
 
 
 @query("SELECT user_id, CASE least(count(*), 4) WHEN 1 THEN 'response_received' WHEN 2 THEN 'ready_for_next_request' WHEN 3 THEN 'answer_ready' ELSE 'answer_validated' END AS phase FROM events GROUP BY user_id")
 def stream_session_phases(spark, d):
-    return stream.drain(stream.session_phases(stream.read(spark, d)), f"phases_{uuid.uuid4().hex}", "update")
+    return stream.drain(stream.session_phases(stream.read(spark, d)), "phases", "update", ["user_id"])
+
+
+@query(_BUDGET + "taken FROM r")
+def stream_budget(spark, d):
+    """The same reservations as a stream, with the amount spent as state of its user."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return stream.drain(stream.budgets(stream.read(spark, d), 20000), "budget", "append")
 
 
 _SYNONYMS = "SELECT * FROM VALUES ('exhaust fan', 'fan', 1), ('ventilator', 'fan', 2), ('outdoor', 'outside', 3), ('outdoor', 'exterior', 4), ('gas furnace', 'furnace', 5) AS t(synonym, canonical, place)"
@@ -620,17 +623,10 @@ def noise_detector(spark, d):
     return table(spark, d, "documents").select("doc_id", audit.unparseable(F.col("text")).alias("noise"))
 
 
-@query("""WITH l AS (SELECT doc_id, i, trim(regexp_replace(ls[i], '[\\s\\x0B\\x{00A0}]+', ' ', 'g')) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE doc_id < 200)),
+@query("""WITH l AS (SELECT doc_id, i, trim(regexp_replace(ls[i], '[\\s\\x0B\\x{00A0}]+', ' ', 'g')) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
 g AS (SELECT doc_id, i, t, sum(CASE WHEN t = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM l)
 SELECT doc_id AS table_id, CAST(i - 1 AS INTEGER) AS line_index, CAST(g AS BIGINT) AS "group", CAST(row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS INTEGER) AS row FROM g WHERE t <> ''""")
 def table_row_groups(spark, d):
-    lines = table(spark, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("table_id"), F.posexplode(F.split("text", "\n")).alias("line_index", "text"))
-    return audit.table_rows(lines).select("table_id", "line_index", "group", "row")
-
-
-@query(ORACLE["table_row_groups"].replace(" WHERE doc_id < 200", ""))
-def table_row_groups_whole(spark, d):
-    """Every document; table_row_groups has 200 ids."""
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("table_id"), F.posexplode(F.split("text", "\n")).alias("line_index", "text"))
     return audit.table_rows(lines).select("table_id", "line_index", "group", "row")
 
@@ -642,67 +638,37 @@ def table_stitching(spark, d):
     return audit.stitched(fragments).select("number", "row_index", F.array_join("cells", " | ").alias("cells"))
 
 
-_SPAN = """WITH l AS (SELECT o.doc_id AS line_id, o.doc_id % 40 AS section, o.doc_id % 7 AS page, substr(b.text, 1, 80) || ' extra' AS text FROM documents o JOIN benchmark b ON b.item_id = o.doc_id % 37 WHERE o.doc_id < 400),
-t AS (SELECT item_id AS target_id, item_id AS ord, item_id % 37 AS section, item_id % 7 AS t_page, text AS target FROM benchmark),
-x AS (SELECT line_id, target_id, ord, page, t_page, text, target, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(target), '[a-z0-9]+')) AS b FROM l JOIN t USING (section)),
-s AS (SELECT *, len(list_intersect(a, b)) / len(a) AS c FROM x WHERE len(a) >= 3),
-r AS (SELECT line_id, target_id, ord, c, round(0.56 * c + 0.18 * CASE WHEN contains(lower(trim(regexp_replace(target, '[\\s\\x0B]+', ' ', 'g'))), lower(trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g')))) THEN 1.0 ELSE 0.0 END + 0.10 * CASE abs(page - t_page) WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.25 ELSE 0.0 END + 0.18, 6) AS score FROM s WHERE c >= 0.6)
-SELECT line_id, target_id, round(c, 6) AS coverage, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, ord, target_id) AS rn FROM r) WHERE rn = 1"""
-
-
-def _span_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lines = sql(spark, d, "SELECT o.doc_id AS line_id, o.doc_id % 40 AS section, o.doc_id % 7 AS page, concat(substr(b.text, 1, 80), ' extra') AS text FROM {documents} o JOIN {benchmark} b ON b.item_id = o.doc_id % 37 WHERE o.doc_id < 400")
-    return lines, sql(spark, d, "SELECT item_id AS target_id, item_id AS ord, item_id % 37 AS section, item_id % 7 AS t_page, text AS target FROM {benchmark}")
-
-
-@query(_SPAN)
-def span_match_scored(spark, d):
-    return audit.span_matches(*_span_inputs(spark, d))
-
-
-@query(f"WITH m AS ({_SPAN}) SELECT CASE WHEN o.doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, count(*) AS n, count(m.line_id) AS matched, round(100.0 * count(m.line_id) / count(*), 6) AS percent FROM documents o JOIN benchmark b ON b.item_id = o.doc_id % 37 LEFT JOIN m ON m.line_id = o.doc_id WHERE o.doc_id < 400 GROUP BY 1")
-def reconciliation_report(spark, d):
-    lines, targets = _span_inputs(spark, d)
-    return audit.report(lines.withColumn("category", F.when(F.col("line_id") % 2 == 0, "even").otherwise("odd")), audit.span_matches(lines, targets))
-
-
-_SPAN_WHOLE = """WITH l AS (SELECT doc_id || ':' || (i - 1) AS line_id, ls[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+_SPAN = """WITH l AS (SELECT doc_id || ':' || (i - 1) AS line_id, ls[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
 a AS (SELECT line_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a FROM l), t AS (SELECT item_id AS target_id, text AS target, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS b FROM benchmark),
 s AS (SELECT *, len(list_intersect(a, b)) / len(a) AS c FROM a JOIN t ON len(a) >= 3 AND len(list_intersect(a, b)) / len(a) >= 0.6),
 r AS (SELECT line_id, target_id, c, round(0.56 * c + 0.18 * CASE WHEN contains(lower(trim(regexp_replace(target, '[\\s\\x0B\\x{00A0}]+', ' ', 'g'))), lower(trim(regexp_replace(text, '[\\s\\x0B\\x{00A0}]+', ' ', 'g')))) THEN 1.0 ELSE 0.0 END, 6) AS score FROM s)
 SELECT line_id, target_id, round(c, 6) AS coverage, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, target_id) AS rn FROM r) WHERE rn = 1"""
 
 
-def _span_inputs_whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _span_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select(F.concat_ws(":", "doc_id", "i").alias("line_id"), F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("category"), "text")
     return lines, table(spark, d, "benchmark").select(F.col("item_id").alias("target_id"), F.col("item_id").alias("ord"), F.col("text").alias("target"))
 
 
-@query(_SPAN_WHOLE)
-def span_match_scored_whole(spark, d):
-    """Every line of every document against every passage; span_match_scored has made-up lines of 400 ids."""
-    lines, targets = _span_inputs_whole(spark, d)
+@query(_SPAN)
+def span_match_scored(spark, d):
+    """Every line of every document against every passage."""
+    lines, targets = _span_inputs(spark, d)
     return audit.span_matches_anywhere(lines.select("line_id", "text"), targets)
 
 
-@query(f"WITH m AS ({_SPAN_WHOLE}), n AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, doc_id || ':' || (unnest(range(1, len(string_split(text, chr(10))) + 1)) - 1) AS line_id FROM documents) SELECT category, count(*) AS n, count(m.line_id) AS matched, round(100.0 * count(m.line_id) / count(*), 6) AS percent FROM n LEFT JOIN m USING (line_id) GROUP BY 1")
-def reconciliation_report_whole(spark, d):
-    lines, targets = _span_inputs_whole(spark, d)
+@query(f"WITH m AS ({_SPAN}), n AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, doc_id || ':' || (unnest(range(1, len(string_split(text, chr(10))) + 1)) - 1) AS line_id FROM documents) SELECT category, count(*) AS n, count(m.line_id) AS matched, round(100.0 * count(m.line_id) / count(*), 6) AS percent FROM n LEFT JOIN m USING (line_id) GROUP BY 1")
+def reconciliation_report(spark, d):
+    lines, targets = _span_inputs(spark, d)
     return audit.report(lines, audit.span_matches_anywhere(lines.select("line_id", "text"), targets))
 
 
-@query("""WITH l AS (SELECT o_orderkey AS line_id, o_custkey % 50 AS page, o_orderkey % 700 AS top FROM orders WHERE o_orderkey < 500), t AS (SELECT p_partkey AS table_id, p_partkey % 50 AS page, p_size * 13 AS bottom FROM part WHERE p_partkey < 300)
+@query("""WITH l AS (SELECT o_orderkey AS line_id, o_custkey AS page, o_orderkey % 700 AS top FROM orders), t AS (SELECT p_partkey AS table_id, p_partkey // 3 AS page, p_size * 13 AS bottom FROM part)
 SELECT line_id, table_id FROM (SELECT line_id, table_id, row_number() OVER (PARTITION BY line_id ORDER BY CASE WHEN top - bottom < 0 THEN 1000 - (top - bottom) ELSE top - bottom END, table_id) AS rn FROM l JOIN t USING (page)) WHERE rn = 1""")
 def footnote_owner(spark, d):
-    lines = sql(spark, d, "SELECT o_orderkey AS line_id, o_custkey % 50 AS page, o_orderkey % 700 AS top FROM {orders} WHERE o_orderkey < 500")
-    return audit.footnote_owner(lines, sql(spark, d, "SELECT p_partkey AS table_id, p_partkey % 50 AS page, p_size * 13 AS bottom FROM {part} WHERE p_partkey < 300"))
-
-
-@query(ORACLE["footnote_owner"].replace(" WHERE o_orderkey < 500", "").replace(" WHERE p_partkey < 300", ""))
-def footnote_owner_whole(spark, d):
-    """All lines and tables; footnote_owner has 500 and 300 ids."""
-    lines = sql(spark, d, "SELECT o_orderkey AS line_id, o_custkey % 50 AS page, o_orderkey % 700 AS top FROM {orders}")
-    return audit.footnote_owner(lines, sql(spark, d, "SELECT p_partkey AS table_id, p_partkey % 50 AS page, p_size * 13 AS bottom FROM {part}"))
+    """All lines and tables; pages grow in number with the tables."""
+    lines = sql(spark, d, "SELECT o_orderkey AS line_id, o_custkey AS page, o_orderkey % 700 AS top FROM {orders}")
+    return audit.footnote_owner(lines, sql(spark, d, "SELECT p_partkey AS table_id, p_partkey DIV 3 AS page, p_size * 13 AS bottom FROM {part}"))
 
 
 @query("""SELECT doc_id, sha256('Section ' || doc_id || ': ' || source || chr(10) || coalesce(text, '')) AS retrieval_sha256, CAST(greatest(1, floor((length('Section ' || doc_id || ': ' || source || chr(10) || coalesce(text, '')) + 3) / 4)) AS INTEGER) AS n_tokens FROM documents""")

@@ -32,7 +32,7 @@ JOIN {customer} c ON c.c_custkey = o.o_custkey WHERE l.l_linenumber = 7"""
 SHARED["two_hop_pattern"] = """
 SELECT DISTINCT a.l_suppkey FROM {lineitem} a JOIN {lineitem} b ON a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey
 WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'A' AND a.l_quantity > 40"""
-SHARED["keyword_theta"] = "SELECT p_partkey, p_name FROM {part} WHERE lower(p_name) LIKE '%ring%' AND p_size > 30"
+SHARED["keyword_theta"] = "SELECT s_suppkey, n_nationkey FROM {supplier} JOIN {nation} ON s_name LIKE concat('%', n_nationkey, '%')"
 SHARED["title_keyword_or"] = "SELECT p_partkey, p_name FROM {part} WHERE lower(p_name) LIKE '%ring%' OR lower(p_name) LIKE '%red%'"
 SHARED["search_needle"] = "SELECT s_suppkey, s_name FROM {supplier} WHERE lower(concat(CAST(s_suppkey AS STRING), ' ', s_name)) LIKE '%7%'"
 SHARED["multiway_optional"] = """
@@ -69,9 +69,9 @@ SHARED["relational_division"] = """
 SELECT l.l_suppkey FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey GROUP BY l.l_suppkey
 HAVING count(DISTINCT p.p_type) = (SELECT count(DISTINCT p_type) FROM {part})"""
 SHARED["share_at_least_half"] = """
-WITH t AS (SELECT count(*) AS total FROM {supplier}),
-p AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM {lineitem} GROUP BY l_partkey)
-SELECT l_partkey, n, round(CAST(100 AS DOUBLE) * n / total, 4) AS percent FROM p CROSS JOIN t WHERE n * 4 >= total"""
+WITH t AS (SELECT count(DISTINCT p_brand) AS total FROM {part}),
+p AS (SELECT p_type, count(DISTINCT p_brand) AS n FROM {part} GROUP BY p_type)
+SELECT p_type, n, round(CAST(100 AS DOUBLE) * n / total, 4) AS percent FROM p CROSS JOIN t WHERE n * 2 >= total"""
 SHARED["avg_distinct_round"] = """
 SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 2) AS avg_quantity, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT l_suppkey) AS n_suppliers
 FROM {lineitem} GROUP BY l_returnflag, l_linestatus"""
@@ -101,6 +101,8 @@ h AS (SELECT q, max(CASE WHEN rn = 1 AND l_returnflag = 'R' THEN 1 ELSE 0 END) A
 SELECT count(*) AS questions, CAST(sum(hit1) AS BIGINT) AS hits1, CAST(sum(hit5) AS BIGINT) AS hits5, round(avg(hit1), 6) AS rate1, round(avg(hit5), 6) AS rate5 FROM h"""
 SHARED["topk_per_group"] = """
 SELECT o_custkey, o_orderkey, CAST(rn AS BIGINT) AS rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}) x WHERE rn <= 3"""
+SHARED["topk_then_cap"] = """
+SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}) x WHERE rn <= 3 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50"""
 SHARED["ranking_functions"] = """
 SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS dr,
 CAST(ntile(4) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS BIGINT) AS quartile, round(percent_rank() OVER (PARTITION BY p_brand ORDER BY p_size), 6) AS pr FROM {part}"""
@@ -123,7 +125,7 @@ SHARED["mode_first_seen"] = """
 SELECT user_id, event_type, n FROM (SELECT user_id, event_type, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first_id) AS rn FROM (
   SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM {events} GROUP BY user_id, event_type) g) x WHERE rn = 1"""
 SHARED["dedupe_min_id"] = """
-SELECT min(doc_id) AS doc_id, count(*) AS copies, count(DISTINCT lang) AS n_langs FROM {documents} GROUP BY text HAVING count(*) > 1"""
+SELECT min(doc_id) AS doc_id, count(*) AS copies, count(DISTINCT lang) AS n_langs, count(DISTINCT lang) > 1 AS conflict FROM {documents} GROUP BY text HAVING count(*) > 1"""
 SHARED["requirement_top_n_per_key"] = """
 SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM {lineitem} WHERE l_orderkey IN (1, 2, 3, 5, 8, 13, 21)) x WHERE rn <= 2"""
 SHARED["tpch_pricing_summary"] = """
@@ -143,7 +145,11 @@ SHARED["keyed_upsert"] = """
 WITH old AS (SELECT s_suppkey AS k, s_name AS v FROM {supplier} WHERE s_suppkey % 3 <> 0), new AS (SELECT s_suppkey AS k, concat(s_name, '!') AS v FROM {supplier} WHERE s_suppkey % 2 = 0)
 SELECT k, v FROM new UNION ALL SELECT k, v FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.k = old.k)"""
 SHARED["edge_upsert"] = """
-SELECT DISTINCT s.s_suppkey AS src, p.p_partkey AS dst, 'SUPPLIES' AS type FROM {lineitem} l JOIN {supplier} s ON s.s_suppkey = l.l_suppkey JOIN {part} p ON p.p_partkey = l.l_partkey WHERE l.l_linenumber = 1"""
+WITH old AS (SELECT l_suppkey AS src, l_partkey AS dst, max(l_quantity) AS qty FROM {lineitem} WHERE l_linenumber < 4 GROUP BY l_suppkey, l_partkey),
+asked AS (SELECT l_suppkey AS src, l_partkey AS dst, CASE WHEN max(l_linenumber) = 5 THEN NULL ELSE max(l_quantity) + 100 END AS qty FROM {lineitem} WHERE l_linenumber > 2 GROUP BY l_suppkey, l_partkey),
+new AS (SELECT a.src, a.dst, a.qty FROM asked a JOIN {supplier} s ON s.s_suppkey = a.src JOIN {part} p ON p.p_partkey = a.dst)
+SELECT coalesce(n.src, o.src) AS src, coalesce(n.dst, o.dst) AS dst, coalesce(n.qty, o.qty) AS qty, CASE WHEN o.src IS NULL THEN 'created' WHEN n.src IS NULL THEN 'kept' ELSE 'merged' END AS change
+FROM new n FULL OUTER JOIN old o ON n.src = o.src AND n.dst = o.dst"""
 SHARED["range_frames"] = """
 SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 200 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent, CAST(count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS around FROM {events}"""
 SHARED["path_prefix"] = "SELECT o_orderkey, concat('/', o_custkey, '/', o_orderkey) AS path FROM {orders} WHERE concat('/', o_custkey, '/', o_orderkey) LIKE '/1/%' OR concat('/', o_custkey, '/', o_orderkey) LIKE '/7/%'"
@@ -167,8 +173,6 @@ SHARED["graph_snapshot"] = """
 SELECT kind, name, n FROM (SELECT 'node' AS kind, 'Supplier' AS name, count(*) AS n FROM {supplier} UNION ALL SELECT 'node', 'Part', count(*) FROM {part} UNION ALL
 SELECT 'edge', 'SUPPLIES', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem}) a UNION ALL SELECT 'edge', 'CONTAINS', count(*) FROM {orders} UNION ALL
 SELECT 'unique', 'Supplier', count(DISTINCT s_suppkey) FROM {supplier}) x"""
-SHARED["null_last_order"] = """
-SELECT doc_id, CAST(row_number() OVER (ORDER BY q ASC NULLS LAST, doc_id) AS BIGINT) AS place FROM (SELECT d.doc_id, l.quality AS q FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id WHERE d.lang = 'fr') x"""
 SHARED["conversation_disagreement"] = """
 SELECT conv_id, count(*) AS n_turns, count(DISTINCT role) AS n_roles, CAST(max(length(text)) AS BIGINT) AS longest FROM {conversations} GROUP BY conv_id HAVING count(*) > 1"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -30,10 +32,35 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def replace(df: DataFrame, path: str) -> None:
+    """Write df beside path and put it in its place once it is whole; what was there stays until then."""
+    spark = df.sparkSession
+    aside, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), at(old)):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(at(aside), at(path)):
+        if had:
+            fs.rename(at(old), at(path))
+        raise OSError(f"cannot put a table at {path}")
+    if had:
+        fs.delete(at(old), True)
+
+
 def write_entities(entities: dict[str, DataFrame], root: str) -> None:
     """A Parquet table for each entity; each replaces what was there once it is whole."""
     for name, df in entities.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        replace(df, f"{root}/{name}")
+
+
+def load_or_create(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table at path; where there is none, make() is written there first."""
+    if not exists(spark, path):
+        replace(make(), path)
+    return spark.read.parquet(path)
 
 
 def conform(df: DataFrame, contract: StructType) -> DataFrame:

@@ -5,6 +5,7 @@ Every builder takes a DataFrame that may be streaming or not, so a query is test
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from skarn.sources.files import exists
+from skarn.sources.shared import shared_root
 from skarn.sources.shipping import ship
 
 
@@ -50,11 +53,24 @@ def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return stamped(events, late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def drain(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there, and return its table."""
-    running = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drain(df: DataFrame, name: str, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there, and return its table, from the shared folder.
+
+    Each batch is written as Parquet under its number, so a repeated batch replaces itself. In complete mode the last
+    batch is the result, in append mode all are, in update mode the last row of each key.
+    """
+    spark = df.sparkSession
+    root = f"{shared_root(spark)}/skarn/stream-{name}-{uuid.uuid4().hex[:12]}"
+    running = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{root}/rows/batch={i}")).start()
     running.awaitTermination()
-    return df.sparkSession.table(name)
+    if not exists(spark, f"{root}/rows"):
+        return spark.createDataFrame([], df.schema)
+    every = spark.read.schema(StructType([*df.schema, StructField("batch", LongType())])).parquet(f"{root}/rows")
+    if mode == "append":
+        return every.drop("batch")
+    if mode == "complete":
+        return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
+    return every.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "batch").alias("x")).select(*keys, "x.*")
 
 
 class Budget(StatefulProcessor):

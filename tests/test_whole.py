@@ -44,7 +44,7 @@ def test_coverage_finds_what_brute_force_finds(spark, once, least):
     assert rows(joins.token_coverage(*frames, ["i"], ["j"], least, once), "i", "j") == want
 
 
-@pytest.mark.parametrize("name", ["set_token_coverage_whole", "multiset_token_coverage_whole"])
+@pytest.mark.parametrize("name", ["set_token_coverage", "multiset_token_coverage"])
 def test_a_passage_is_found_whatever_the_ids(spark, tmp_path, name):
     items = spark.createDataFrame([(77, "ducts of gypsum board"), (3, "other words")], "item_id long, text string")
     docs = spark.createDataFrame([(4, "the ducts of gypsum board are dry"), (5, "nothing")], "doc_id long, text string")
@@ -55,13 +55,13 @@ def test_lines_of_all_documents_meet_all_passages(spark, tmp_path):
     items = spark.createDataFrame([(1, "other words"), (150, "Ducts of gypsum  board are dry")], "item_id long, text string")
     docs = spark.createDataFrame([(9000, "x\nof gypsum board\nducts of wet gypsum board\nno match in here")], "doc_id long, text string")
     d = folder(tmp_path, benchmark=items, documents=docs)
-    assert [r[:2] for r in rows(catalog.QUERIES["span_match_scored_whole"](spark, d), "line_id")] == [("9000:1", 150), ("9000:2", 150)]
-    assert rows(catalog.QUERIES["reconciliation_report_whole"](spark, d)) == [("even", 4, 2, 50.0)]
+    assert [r[:2] for r in rows(catalog.QUERIES["span_match_scored"](spark, d), "line_id")] == [("9000:1", 150), ("9000:2", 150)]
+    assert rows(catalog.QUERIES["reconciliation_report"](spark, d)) == [("even", 4, 2, 50.0)]
 
 
 def test_rows_of_all_documents_are_grouped(spark, tmp_path):
     docs = spark.createDataFrame([(i, "a\n\nb") for i in (199, 200, 70000)], "doc_id long, text string")
-    assert rows(catalog.QUERIES["table_row_groups_whole"](spark, folder(tmp_path, documents=docs)), "table_id", "row", "group") == [(i, at, g, 1) for i in (199, 200, 70000) for at, g in ((0, 0), (2, 1))]
+    assert rows(catalog.QUERIES["table_row_groups"](spark, folder(tmp_path, documents=docs)), "table_id", "row", "group") == [(i, at, g, 1) for i in (199, 200, 70000) for at, g in ((0, 0), (2, 1))]
 
 
 def test_footnotes_find_the_table_that_pairs_would_find(spark):
@@ -75,11 +75,13 @@ def test_footnotes_find_the_table_that_pairs_would_find(spark):
 
 def test_no_id_is_left_out(spark, tmp_path):
     ids = spark.range(0, 1000, 7)
-    orders = ids.selectExpr("id + 600 AS o_orderkey", "7 AS o_custkey", "'x' AS o_orderpriority")
-    part = ids.selectExpr("id * 50 + 307 AS p_partkey", "'b' AS p_brand", "CAST(id % 20 AS INT) AS p_size")
+    orders = ids.selectExpr("id + 600 AS o_orderkey", "CAST(7 AS LONG) AS o_custkey", "'x' AS o_orderpriority")
+    part = ids.selectExpr("id AS p_partkey", "'b' AS p_brand", "CAST(id % 20 AS INT) AS p_size")
     d = folder(tmp_path, orders=orders, part=part, customer=spark.range(1000).selectExpr("id AS c_custkey", "id % 25 AS c_nationkey"))
-    counts = {n: catalog.QUERIES[f"{n}_whole"](spark, d).count() for n in ("footnote_owner", "box_geometry", "block_tree", "box_texts")}
-    assert counts == {"footnote_owner": 143, "box_geometry": 143 * 142 // 2, "block_tree": 1000, "box_texts": 143}
+    at = [(3 * i, 4 * (i % 20)) for i in range(0, 1000, 7)]
+    near = sum(abs(x - u) <= 70 and abs(y - v) <= 40 for k, (x, y) in enumerate(at) for u, v in at[k + 1 :])
+    counts = {n: catalog.QUERIES[f"{n}"](spark, d).count() for n in ("footnote_owner", "box_geometry", "block_tree", "box_texts")}
+    assert counts == {"footnote_owner": 143, "box_geometry": near, "block_tree": 1000, "box_texts": 143}
 
 
 @pytest.mark.parametrize("block", [3, 1000])
@@ -93,4 +95,4 @@ def test_nearest_in_blocks_is_the_nearest_of_all(spark, block):
 
 
 def test_recall_has_every_hundredth_vector(spark, small):
-    assert sorted(r[0] for r in rows(catalog.QUERIES["recall_at_k_whole"](spark, small).select("q"))) == [0, 100, 200, 300, 400]
+    assert sorted(r[0] for r in rows(catalog.QUERIES["recall_at_k"](spark, small).select("q"))) == [0, 100, 200, 300, 400]
