@@ -25,12 +25,6 @@ _LINES = """SELECT * FROM VALUES (1, 0, '305.1 Supports'), (1, 1, '[M] Exception
 (2, 0, 'Exception: none'), (2, 1, 'Exception: again'), (2, 2, 'more'), (2, 3, 'INSIGHTS (2)'), (2, 4, 'x') AS t(doc_id, line_index, text)"""
 
 
-@query("""SELECT * FROM (VALUES (1, 1, 6, '[M] Exceptions: 1. Ducts under 10 feet. 2 Listed units.', '1=Ducts under 10 feet.;2=Listed units.'), (2, 0, 0, 'Exception: none', ''), (2, 1, 2, 'Exception: again more', '')) AS t(doc_id, first_line, last_line, text, items)""")
-def exception_blocks(spark, d):
-    found = structure.exception_blocks(spark.sql(_LINES))
-    return found.select("doc_id", "first_line", "last_line", "text", F.array_join(F.transform("items", lambda i: F.concat_ws("=", i["number"], i["text"])), ";").alias("items"))
-
-
 @query("""WITH RECURSIVE n AS (SELECT c_custkey // 50 AS doc_id, c_custkey AS node, CASE WHEN c_custkey % 50 > 0 THEN c_custkey - c_custkey % 50 + (c_custkey % 50 - 1) // 2 END AS parent, c_custkey % 7 AS ord FROM customer),
 t AS (SELECT doc_id, node, [ord] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.doc_id, n.node, list_append(t.path, n.ord) FROM t JOIN n ON n.doc_id = t.doc_id AND n.parent = t.node)
 SELECT doc_id, node, CAST(len(path) - 1 AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path, node) - 1 AS INTEGER) AS ordinal FROM t""")
@@ -40,26 +34,9 @@ def block_tree(spark, d):
     return structure.flattened(b)
 
 
-@query("SELECT * FROM (VALUES (1, 't1', '305.4(1)', '305.4.1'), (1, 't2', '999', '306'), (1, 't3', '888', '305.4.1'), (2, 't4', '1', NULL)) AS t(doc_id, table_id, number, section)")
-def table_sections(spark, d):
-    tables = spark.sql("SELECT * FROM VALUES (1, 't1', '305.4(1)', 50), (1, 't2', '999', 45), (1, 't3', '888', 5), (2, 't4', '1', 1) AS t(doc_id, table_id, number, at)")
-    sections = spark.sql("SELECT * FROM VALUES (1, '305.4.1', 10), (1, '306', 40), (1, '307', 60) AS t(doc_id, number, at)")
-    return structure.table_sections(tables, sections)
-
-
 _BLOCKS = "SELECT * FROM VALUES ('b1', 'Lead. 305.1 Supports hold. 305.2 Spacing is wide.', array('305.2 Spacing', '305.1 Supports', '305.1')), ('b2', 'No heading', array('9')), ('b3', '305.1 Supports', array('305.1 Supports')) AS t(block_id, text, headings)"
 
 
-@query("""SELECT * FROM (VALUES ('b1', 0, NULL, 'Lead.'), ('b1', 1, '305.1 Supports', '305.1 Supports hold.'), ('b1', 2, '305.2 Spacing', '305.2 Spacing is wide.'), ('b2', 0, NULL, 'No heading'), ('b3', 0, '305.1 Supports', '305.1 Supports')) AS t(block_id, part, heading, text)""")
-def split_at_headings(spark, d):
-    return structure.split_at_headings(spark.sql(_BLOCKS))
-
-
-@query("SELECT * FROM (VALUES ('b1', '305.1 Supports hold.'), ('b2', 'No heading'), ('b3', '305.1 Supports')) AS t(block_id, text)")
-def owned_span(spark, d):
-    return spark.sql(_BLOCKS).select("block_id", structure.owned_text(F.col("text"), F.lit("305.1 Supports"), F.array(F.lit("305.2 Spacing"))).alias("text"))
-
-
 @query("""WITH s AS (SELECT l_orderkey AS block, l_partkey % 3 AS span, min(l_suppkey) AS lo, max(l_suppkey) AS hi FROM lineitem WHERE l_linenumber > 3 GROUP BY ALL)
 SELECT o_orderkey AS req, o_custkey AS section, CASE WHEN s.lo IS NULL THEN coalesce(CAST(w.owner AS VARCHAR), 'section:unassigned') WHEN s.lo = s.hi THEN CAST(s.lo AS VARCHAR) ELSE 'section:unassigned' END AS new_section
 FROM orders LEFT JOIN s ON s.block = o_orderkey AND s.span = o_orderkey % 3 LEFT JOIN (SELECT o_orderkey AS block, o_custkey AS owner FROM orders WHERE o_orderkey % 5 <> 0) w ON w.block = o_orderkey""")
@@ -76,12 +53,6 @@ def dead_letters(spark, d):
     return bad.select("doc_id", "reason")
 
 
-@query("SELECT * FROM (VALUES ('a', 'paragraph', NULL), ('b', 'unparsed', 'mixed structural content'), ('c', 'paragraph', NULL), ('d', 'unparsed', 'mixed structural content'), ('e', 'paragraph', NULL)) AS t(block_id, block_type, failure)")
-def mixed_blocks(spark, d):
-    blocks = spark.sql("SELECT * FROM VALUES ('a', 'paragraph', '305.1 Supports hold'), ('b', 'paragraph', 'See above. [M] 305.1 Supports hold'), ('c', 'paragraph', 'As in Section 305.1 Supports hold'), ('d', 'paragraph', 'text INSIGHTS (3)'), ('e', 'paragraph', 'INSIGHTS (3)') AS t(block_id, block_type, text)")
-    return structure.reclassified(blocks)
-
-
 @query("""WITH own AS (SELECT s_nationkey AS chapter, s_suppkey AS number FROM supplier WHERE s_suppkey % 4 <> 0), u AS (SELECT *, 'own' AS source FROM own UNION ALL SELECT s_nationkey, s_suppkey, 'inventory' FROM supplier WHERE s_suppkey NOT IN (SELECT number FROM own))
 SELECT chapter, number, source, CAST(row_number() OVER (PARTITION BY chapter ORDER BY number) - 1 AS INTEGER) AS ordinal FROM u""")
 def heading_supplement(spark, d):
@@ -100,12 +71,6 @@ def change_log(spark, d):
 # --- rules ----------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT * FROM (VALUES (1, '305.1 General', 'section', '305.1'), (2, 'CHAPTER 3 REGULATIONS', 'chapter', '3'), (3, 'plain text', NULL, NULL), (4, '12 no', NULL, NULL)) AS t(id, plain, kind, identifier)""")
-def heading_identifiers(spark, d):
-    lines = spark.sql("SELECT * FROM VALUES (1, ' [M] ➡ 305.1  General'), (2, 'CHAPTER 3 REGULATIONS'), (3, 'plain  text'), (4, '12 no') AS t(id, text)")
-    return lines.select("id", rules.without_prefix(F.col("text")).alias("plain"), rules.heading_of(F.col("text")).alias("h")).select("id", "plain", "h.kind", "h.identifier")
-
-
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), 'Page \\d+', '', 'g'), '[\\t\\v\\f\\r ]*\\n[\\t\\v\\f\\r ]*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS cleaned FROM documents""")
 def cleaned_text(spark, d):
     return table(spark, d, "documents").select("doc_id", rules.cleaned(F.col("text")).alias("cleaned"))
@@ -115,28 +80,6 @@ _UNMATCHED = """SELECT * FROM VALUES (1, 'Page 7', true, false, false, 1), (2, '
 (6, 'Said twice here', false, false, false, 2), (7, '#### **** ----', false, false, false, 1), (8, 'Ducts shall be kept', false, false, false, 1) AS t(id, text, nav, head, tab, same)"""
 
 
-@query("""SELECT * FROM (VALUES (1, 'header/footer/navigation', false, false), (2, 'non-normative source artifact', false, false), (3, 'commentary/user note', false, false), (4, 'unresolved provenance', false, true), (5, 'malformed table residue', false, true),
-(6, 'duplicated text', false, true), (7, 'genuinely unparseable content', false, true), (8, 'normative code text', true, true)) AS t(id, category, blocker, review)""")
-def unmatched_kinds(spark, d):
-    x = rules.unmatched_kind(F.col("text"), F.col("nav"), F.col("head"), F.col("tab"), F.col("same"), audit.unparseable(F.col("text")))
-    return spark.sql(_UNMATCHED).select("id", x.alias("x")).select("id", "x.*")
-
-
-@query("""SELECT * FROM (VALUES (1, true, 'retrieve', NULL, NULL, 'other'), (2, false, 'answer', 'duct', NULL, 'other'), (3, false, 'out_of_scope', NULL, NULL, 'other'), (4, false, 'out_of_scope', NULL, 'invalid characters', 'no source'), (5, false, 'out_of_scope', NULL, 'empty', 'other'))
-AS t(id, regulatory, action, topic, name_problem, failure)""")
-def question_rules(spark, d):
-    asked = spark.sql("SELECT * FROM VALUES (1, 'Is a furnace allowed in Section 303'), (2, 'what are ducts'), (3, 'Who won the match'), (4, 'Which sections have no evidence? '), (5, CAST(NULL AS STRING)) AS t(id, q)")
-    route = rules.topic_route(F.col("q"))
-    return asked.select("id", rules.regulatory(F.col("q")).alias("regulatory"), route["action"].alias("action"), route["topic"].alias("topic"), rules.name_problem(F.col("q")).alias("name_problem"), rules.failure_kind(F.col("q")).alias("failure"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'of frost', 'pipes are buried', 'NormativeSectionContent', 'canonical'), (2, '', 'it is kept dry', 'UserNote', 'reconciled'), (3, '', '', 'Commentary', 'quarantine')) AS t(id, reason, condition, class, provenance)""")
-def sentence_rules(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'Not permitted because of frost. Where pipes are buried, see below', 'text', 3, CAST(NULL AS INT)), (2, 'User note: allowed provided that it is kept dry.', 'text', NULL, 4), (3, 'plain', 'Footnote', NULL, NULL) AS t(id, s, label, page, repaired)")
-    first = rows.withColumn("c", F.when(F.col("id") == 1, "Where pipes are buried").otherwise(F.col("s")))
-    return first.select("id", rules.reason(F.col("s")).alias("reason"), rules.condition(F.col("c")).alias("condition"), rules.content_class(F.col("s"), F.col("label")).alias("class"), rules.provenance(F.col("page"), F.col("s"), F.col("repaired")).alias("provenance"))
-
-
 @query("""SELECT event_id, TRY_CAST(CASE WHEN event_id % 4 = 0 THEN 'x' || user_id ELSE CAST(user_id AS VARCHAR) END AS INTEGER) AS page, CASE WHEN event_id % 7 = 0 THEN 'a' WHEN event_id % 7 = 1 THEN 'unparsed' ELSE 'p' || event_id END AS block FROM events""")
 def coerced_keys(spark, d):
     e = table(spark, d, "events")
@@ -145,29 +88,12 @@ def coerced_keys(spark, d):
     return e.select("event_id", rules.page_of(page).alias("page"), rules.block_of(block).alias("block"))
 
 
-@query("SELECT id, CAST(likeness AS DOUBLE) AS likeness FROM (VALUES (1, 1.0), (2, 0.666667), (3, 0.0), (4, 0.0)) AS t(id, likeness)")
-def sequence_likeness(spark, d):
-    pairs = spark.sql("SELECT * FROM VALUES (1, 'shall be kept', 'ducts shall be kept dry'), (2, 'a b c', 'a x c'), (3, '', 'a'), (4, 'a', 'b') AS t(id, a, b)")
-    return pairs.select("id", F.round(similarity.sequence_likeness(tokens(F.col("a")), tokens(F.col("b"))), 6).alias("likeness"))
-
-
-@query("SELECT * FROM (VALUES (1, 'ffice x', '0,0,0,1,2,3,4'), (2, 'a b', '1,2,4'), (3, '', '')) AS t(id, text, places)")
-def folded_offsets(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'ﬃce X'), (2, ' A  B '), (3, NULL) AS t(id, s)").withColumn("x", similarity.folded("s"))
-    return rows.select("id", F.col("x.text").alias("text"), F.array_join(F.transform("x.places", lambda p: p.cast("string")), ",").alias("places"))
-
-
 # --- answers and evaluation -----------------------------------------------------------------------------------------
 
 _ANSWERS = """SELECT * FROM VALUES (1, '{"answer_type": "grounded", "claims": [{"text": "a", "evidence_ids": ["E1"], "quotes": [{"evidence_id": "E1", "quote": "q"}]}]}'), (2, '{"answer_type": "grounded", "claims": []}'), (3, 'nonsense'),
 (4, '{"answer_type": "other"}'), (5, '{"answer_type": "abstain"}'), (6, '{"answer_type": "grounded", "claims": [{"text": "a", "evidence_ids": []}]}') AS t(id, answer)"""
 
 
-@query("SELECT * FROM (VALUES (1, NULL), (2, 'number of claims'), (3, 'not an answer'), (4, 'unknown type'), (5, NULL), (6, 'incomplete claim')) AS t(id, problem)")
-def claim_schema(spark, d):
-    return spark.sql(_ANSWERS).select("id", answers.schema_problem(F.col("answer")).alias("problem"))
-
-
 @query("""WITH c AS (SELECT l_orderkey AS answer, l_linenumber AS i FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey AS answer, l_linenumber AS i, count(*) AS n, bool_and(l_quantity > 2) AS ok FROM lineitem WHERE l_linenumber < 6 GROUP BY ALL)
 SELECT answer, bool_and(c.i IS NOT NULL AND coalesce(n = 1 AND ok, false)) AS supported FROM c FULL JOIN g USING (answer, i) GROUP BY answer""")
 def verdict_completeness(spark, d):
@@ -176,13 +102,6 @@ def verdict_completeness(spark, d):
     return answers.verdicts(claims, given)
 
 
-@query("SELECT * FROM (VALUES (1, 2, 0, 0, true), (2, 1, 1, 0, false), (3, 1, 0, 1, false), (4, 0, 0, 0, false), (5, 1, 0, 0, false)) AS t(\"case\", n_cited, n_unknown, n_malformed, valid)")
-def answer_checks(spark, d):
-    given = spark.sql("SELECT * FROM VALUES (1, 'So [E1][E2] and [E1].', 's1'), (2, 'So [E9].', 's1'), (3, 'So [E1] [Section 3].', 's1'), (4, 'Nothing.', 's1'), (5, 'So [E2].', 's1') AS t(case, text, expected)")
-    evidence = spark.sql("SELECT c AS case, e AS evidence_id, s AS section FROM VALUES (1, 'E1', 's1'), (1, 'E2', 's2'), (2, 'E1', 's1'), (3, 'E1', 's1'), (5, 'E1', 's1'), (5, 'E2', 's2') AS t(c, e, s)")
-    return answers.checked(given, evidence)
-
-
 @query("""SELECT user_id AS question, turn, event_id AS ord, CASE WHEN turn = min(turn) OVER (PARTITION BY user_id, event_type, page) THEN 'new' ELSE 'existing' END AS state FROM (
   SELECT user_id, event_id // 300 AS turn, event_id, event_type, event_id % 3 AS page, row_number() OVER (PARTITION BY user_id, event_id // 300, event_type, event_id % 3 ORDER BY event_id) AS n FROM events) WHERE n = 1""")
 def observation_compaction(spark, d):
@@ -300,42 +219,12 @@ def any_cell(spark, d):
     return table(spark, d, "part").where(F.exists(F.split("p_name", " "), lambda w: F.contains(F.lower(w), F.lit("r")))).select("p_partkey", "p_name")
 
 
-@query("SELECT line_id, target_id, CAST(score AS DOUBLE) AS score FROM (VALUES (1, 't1', 1.24), (2, 't2', 1.03), (3, 't3', 1.1)) AS t(line_id, target_id, score)")
-def span_match_full(spark, d):
-    lines = spark.sql("SELECT * FROM VALUES (1, 's', 4, 'shall be kept dry', named_struct('left', 0D, 'top', 0D, 'right', 10D, 'bottom', 10D)), (2, 's', 9, 'alpha beta gamma', NULL), (3, 'q', 7, 'one two three four', named_struct('left', 0D, 'top', 0D, 'right', 10D, 'bottom', 10D)) AS t(line_id, section, page, text, box)")
-    targets = spark.sql("""SELECT * FROM VALUES ('t1', 's', 0, 4, 'Ducts shall be kept dry.', named_struct('left', 0D, 'top', 0D, 'right', 10D, 'bottom', 20D), true), ('t2', 's', 1, 10, 'x alpha gamma beta y', NULL, true),
-      ('t3', 'q', 0, 7, 'one two x three four', named_struct('left', 0D, 'top', 110D, 'right', 10D, 'bottom', 120D), false) AS t(target_id, section, ord, t_page, target, t_box, body)""")
-    return audit.placed_matches(lines, targets).select("line_id", "target_id", F.round("score", 3).alias("score"))
-
-
 # --- inventory ------------------------------------------------------------------------------------------------------
 
 _SOURCE = """SELECT * FROM VALUES (1, 0, 1, 'SECTION 305 PIPING.', 18D, array(4)), (1, 1, 1, '[M] 305.10 Last', 14D, array(20)), (1, 2, 1, '305.2 Hangers', 14D, array(4)), (1, 3, 2, '305.2  Hangers.', 16D, array(4)), (1, 4, 2, '305.10 Last', 16D, array(20)),
 (1, 5, 2, 'TABLE 305.4(1) SPACING', 12D, array(4)), (1, 6, 2, 'see TABLE 9', 12D, array(4)), (1, 7, 3, 'TABLE 305.4(2)', 13D, array(4)), (1, 8, 3, 'Use Equation 4 - 1 here', 10D, array(4)), (1, 9, 4, 'Eq. 4-1 again, Eq. 4-2', 10D, array(4)) AS t(doc_id, line_index, page, text, max_font_size, flags)"""
 
 
-@query("""SELECT * FROM (VALUES ('305', 'PIPING', 'top_level_section', 1, 1), ('305.2', 'Hangers', 'numbered_section', 2, 2), ('305.10', 'Last', 'numbered_section', 1, 3)) AS t(number, title, kind, page, place)""")
-def source_inventory(spark, d):
-    found = inventory.headings(spark.sql(_SOURCE))
-    return found.join(inventory.numbers(found), ["doc_id", "number"]).select("number", "title", "kind", "page", "place")
-
-
-@query("SELECT * FROM (VALUES ('305.4(1)', 'SPACING', 5, 7), ('305.4(2)', '', 7, NULL)) AS t(number, title, line_index, next_line)")
-def table_captions(spark, d):
-    return inventory.captions(spark.sql(_SOURCE)).select("number", "title", "line_index", "next_line")
-
-
-@query("SELECT * FROM (VALUES ('4-1', 3, 'Use Equation 4 - 1 here')) AS t(number, page, context)")
-def equation_inventory(spark, d):
-    return inventory.equations(spark.sql(_SOURCE)).select("number", "page", "context")
-
-
-@query("SELECT * FROM (VALUES ('t', 1, 'Table 1'), ('t', 2, 'a | '), ('t', 3, 'b | c'), ('t', 4, 'Footnote: n')) AS t(table_id, ordinal, text)")
-def table_records(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('t', 2, array('b', 'c')), ('t', 0, array(' a', NULL)), ('t', 1, array('', ' ')) AS t(table_id, row_index, cells)")
-    return inventory.table_records(spark.sql("SELECT 't' AS table_id, 'Table 1' AS title"), rows, spark.sql("SELECT 't' AS table_id, 0 AS n, 'n' AS note"))
-
-
 @query()
 def sketch_estimates(spark, d):
     """Sketches merge across tasks, so distinct counts and quantiles need no shuffle of values."""

@@ -12,37 +12,12 @@ from skarn.sources.tables import sql, table
 _TEXTS = """SELECT * FROM VALUES (1, '305 GENERAL\\nAll of it.\\n305.1 Supports. \\nHangers shall be kept.\\nMore.\\n12 no\\n305.1 Again\\nx'), (2, 'Gas furnaces shall not be installed in closets. Fans are permitted outdoors. A clearance of 3 feet from closets is kept by furnaces after the shaft.'), (3, NULL) AS t(doc_id, text)"""
 
 
-@query("SELECT * FROM (VALUES (1, 1, '305', 'GENERAL', 1), (1, 2, '305.1', 'Supports.', 2)) AS t(doc_id, ordinal, number, title, level)")
-def heading_scan(spark, d):
-    return E.headings(spark.sql(_TEXTS))
-
-
-@query("SELECT * FROM (VALUES (1, '305', 'All of it.'), (1, '305.1', 'Hangers shall be kept.' || chr(10) || 'More.' || chr(10) || '12 no' || chr(10) || 'x')) AS t(doc_id, number, content)")
-def section_contents(spark, d):
-    return E.section_contents(spark.sql(_TEXTS))
-
-
-@query("SELECT * FROM (VALUES (2, 'furnaces', 'PROHIBITED_IN', 'closets', NULL), (2, 'fans', 'PERMITTED_IN', 'outdoors', NULL), (2, 'furnaces', 'REQUIRES_CLEARANCE', 'closets', 36)) AS t(doc_id, source, type, target, inches)")
-def relation_extraction(spark, d):
-    return E.relations(spark.sql(_TEXTS), ["furnaces", "fans"], ["closets", "outdoors"])
-
-
 @query("SELECT CAST(l_suppkey AS BIGINT) AS source, l_returnflag AS type, l_linenumber AS target, min(l_orderkey) AS code_ref FROM lineitem GROUP BY 1, 2, 3")
 def edge_dedupe_first_wins(spark, d):
     edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_returnflag").alias("type"), F.col("l_linenumber").alias("target"), F.col("l_orderkey").alias("code_ref"))
     return E.deduplicated_edges(edges, "code_ref")
 
 
-@query("SELECT CAST(doc_id AS BIGINT) AS doc_id, kind, value, start, \"end\" FROM (VALUES (1, 'section', 'Section 305.1', 4, 17), (1, 'value', '18 inches', 27, 36), (1, 'standard', 'NFPA 13', 40, 47)) AS t(doc_id, kind, value, start, \"end\")")
-def span_annotations(spark, d):
-    return E.annotations(spark.sql("SELECT CAST(1 AS BIGINT) AS doc_id, 'See Section 305.1 and keep 18 inches by NFPA 13' AS text"))
-
-
-@query("SELECT * FROM (VALUES ('gas furnace', 2), ('furnace', 5)) AS t(name, place)")
-def query_entities(spark, d):
-    return E.query_entities("gas furnace clearance", spark.sql("SELECT * FROM VALUES ('gas furnace'), ('furnace'), ('fan') AS t(name)"))
-
-
 _PART_BOXES = "SELECT p_partkey AS id, p_brand, p_partkey * 3.0D AS l, p_size * 4.0D AS t, p_partkey * 3.0D + 60 AS r, p_size * 4.0D + 30 AS b FROM {part}"
 
 
@@ -59,20 +34,9 @@ def box_geometry(spark, d):
     return both.select("id", F.col("o_id").alias("other"), F.round(E.box_overlap(box(""), box("o_")), 6).alias("overlap"), F.round(E.box_gap(box(""), box("o_")), 6).alias("gap"))
 
 
-@query("SELECT * FROM (VALUES (1, 'q=axv'), (2, 'x=1')) AS t(id, k)")
-def formula_keys(spark, d):
-    return spark.sql("SELECT * FROM VALUES (1, 'Equation 4-3: Q = A x V'), (2, ' X = 1 ') AS t(id, f)").select("id", E.formula_key(F.col("f")).alias("k"))
-
-
 _ITEMS = "SELECT * FROM VALUES ('#/a', 'text', 'Before', NULL, NULL), ('#/b', 'section_header', '305 General', NULL, NULL), ('#/c', 'text', '', 'Exception: none', NULL), ('#/d', 'list_item', NULL, NULL, '1. first'), ('#/e', 'page_header', 'Page 3', NULL, NULL) AS t(self_ref, label, text, orig, content)"
 
 
-@query("SELECT * FROM (VALUES (0, 'paragraph', 'section:unassigned', 'Before'), (1, 'heading', 'section:305', '305 General'), (2, 'list', 'section:305', '1. first'), (3, 'exception', 'section:305', 'Exception: none')) AS t(ord, block_type, section, text)")
-def export_items_routed(spark, d):
-    body = spark.sql("SELECT * FROM VALUES (0, '#/a'), (1, '#/b'), (2, '#/d'), (3, '#/c'), (4, '#/none') AS t(ord, ref)")
-    return E.routed(E.resolved(spark.sql(_ITEMS), body).withColumn("doc_id", F.lit(1))).select("ord", "block_type", "section", "text")
-
-
 @query("""WITH q AS (SELECT c_custkey AS id, c_nationkey % 7 AS k FROM customer), h AS (SELECT id, k, 'r' || (k % 5) AS root FROM q)
 SELECT id, CASE WHEN k = 0 THEN 'exact' ELSE 'vector' END AS route, CASE WHEN k = 0 THEN 'n0' ELSE 'n' || k || ',r' || (SELECT n_regionkey FROM nation WHERE n_nationkey = k) END AS sections FROM h""")
 def retrieval_router(spark, d):

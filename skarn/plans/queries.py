@@ -428,22 +428,6 @@ _CLAUSES = """SELECT * FROM VALUES (1, 'Exhaust ducts shall not be installed in
 (4, 'The minimum airflow is 50 cfm'), (5, 'Pressure must not exceed the maximum of 2 psi'), (6, 'Flexible ducts are permitted'), (7, 'Smoke detectors shall be listed'), (8, 'Access must be provided'), (9, 'General notes'), (10, 'At most 3 vents per Table 403.3'), (11, 'Openings may be located outdoors') AS t(id, clause)"""
 
 
-@query("""SELECT * FROM (VALUES (1, 'PROHIBITED_IN'), (2, 'REQUIRES_CLEARANCE'), (3, 'MUST_COMPLY_WITH'), (4, 'MINIMUM'), (5, 'PROHIBITED_IN'), (6, 'PERMITTED_IN'), (7, 'REQUIRES_DEVICE'), (8, 'REQUIRES'), (9, NULL), (10, 'MAXIMUM'), (11, 'PERMITTED_IN')) AS t(id, predicate)""")
-def predicate_classifier(spark, d):
-    return spark.sql(_CLAUSES).select("id", R.predicate(F.col("clause")).alias("predicate"))
-
-
-@query("""SELECT * FROM (VALUES (3, 'section', '305.4'), (3, 'standard', 'NFPA 13'), (10, 'table', '403.3')) AS t(id, kind, value)""")
-def references_extract(spark, d):
-    return spark.sql(_CLAUSES).select("id", F.explode(R.references(F.col("clause"))).alias("r")).select("id", "r.kind", "r.value")
-
-
-@query()
-def clause_requirements(spark, d):
-    spans = spark.sql(_CLAUSES).select(F.lit("document:1").alias("document_id"), F.col("id").cast("string").alias("span_id"), F.lit("section_text").alias("source_type"), F.concat("clause", F.lit("; and must be tested where exposed.")).alias("text"))
-    return R.requirements(spans)
-
-
 _SOURCE = "SELECT doc_id AS evidence_id, trim(regexp_replace(text, '[\\s\\x0B\\x{00A0}]+', ' ', 'g')) AS source FROM documents"
 
 
@@ -457,42 +441,6 @@ def quote_containment(spark, d):
 _ANSWERS = "SELECT * FROM VALUES (1, 'Vents end outdoors [E1]. Ducts are sealed [E2][E3].', array('E1', 'E2')), (2, 'No citation here.', array('E1')), (3, 'See [E9] and [Section 4].', array('E1')), (4, 'Twice [E1][E1].', array('E1')) AS t(id, answer, allowed)"
 
 
-@query("""SELECT * FROM (VALUES (1, 'E1,E2,E3', 'E3', false, true), (2, '', '', false, false), (3, 'E9', 'E9', true, true), (4, 'E1', '', false, true)) AS t(id, cited, unknown, forbidden, has_citation)""")
-def citation_binding(spark, d):
-    return validation.citations(spark.sql(_ANSWERS))
-
-
-@query("""SELECT * FROM (VALUES (1, 'partial'), (2, 'unchanged'), (3, 'uncovered')) AS t(id, impact)""")
-def citation_impact(spark, d):
-    return validation.impact(spark.sql("SELECT * FROM VALUES (1, array('E1', 'E2')), (2, array('E4')), (3, array('E2')) AS t(id, cited)"), ["E2", "E3"])
-
-
-@query("""SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false)) AS t(id, valid)""")
-def claims_valid(spark, d):
-    claims = spark.sql("""SELECT * FROM VALUES (1, 'A clearance of 18 inches applies', array('E1'), 'clearance of 18 inches'), (2, 'A clearance of 20 inches applies', array('E1'), 'clearance of 18 inches'),
-      (3, 'Too short', array('E1'), '18'), (4, 'Not quoted from it', array('E2'), 'clearance of 18 inches') AS t(id, claim, cited, quote)""")
-    evidence = spark.sql("SELECT * FROM VALUES ('E1', 'A  clearance of 18 inches shall be kept'), ('E2', 'Ducts are sealed') AS t(evidence_id, source)")
-    return validation.claims(claims, evidence)
-
-
-@query("""SELECT * FROM (VALUES (1, 0, 18, 1, 'inch'), (1, 1, 9, 2, 'foot'), (2, 0, 1250, 1, 'cfm'), (3, 0, -1, 4, 'psi')) AS t(id, n, num, den, unit)""")
-def quantity_bindings(spark, d):
-    return validation.quantities(spark.sql("SELECT * FROM VALUES (1, '18-inch clear, 4 1/2 feet high'), (2, 'at 1,250 cfm'), (3, 'below -1/4 psi'), (4, 'none in x3 here') AS t(id, text)"))
-
-
-@query("""SELECT * FROM (VALUES (1, true), (2, false)) AS t(id, covered)""")
-def anchor_coverage(spark, d):
-    return spark.sql("SELECT * FROM VALUES (1, 'Keep 18 Inches from walls', array('18 inches', 'walls')), (2, 'Keep away', array('walls')) AS t(id, text, anchors)").select("id", F.forall("anchors", lambda a: F.contains(F.lower("text"), F.lower(a))).alias("covered"))
-
-
-@query("""SELECT * FROM (VALUES (1, NULL), (2, 'not a query'), (3, 'more than one statement'), (4, 'writes'), (5, 'no limit at its end'), (6, 'limit above 100'), (7, NULL), (8, 'comment'), (9, NULL)) AS t(id, problem)""")
-def sql_guard(spark, d):
-    asked = ["SELECT a FROM t LIMIT 5", "DROP TABLE t", "SELECT 1 LIMIT 1; SELECT 2 LIMIT 1", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x LIMIT 1", "SELECT a FROM t", "SELECT a FROM t LIMIT 500", "SELECT 'set; drop' AS a FROM t LIMIT 100", "SELECT a -- x\nFROM t LIMIT 5", "WITH x AS (SELECT 1 AS a) SELECT a FROM x LIMIT 10"]
-    from skarn.sources.guard import problem
-
-    return spark.createDataFrame([(i + 1, problem(q)) for i, q in enumerate(asked)], "id int, problem string")
-
-
 # --- pages ----------------------------------------------------------------------------------------------------------
 
 
@@ -572,16 +520,6 @@ def stream_budget(spark, d):
 _SYNONYMS = "SELECT * FROM VALUES ('exhaust fan', 'fan', 1), ('ventilator', 'fan', 2), ('outdoor', 'outside', 3), ('outdoor', 'exterior', 4), ('gas furnace', 'furnace', 5) AS t(synonym, canonical, place)"
 
 
-@query("SELECT * FROM (VALUES ('Outdoor', 'exterior'), ('ventilator', 'fan'), ('chimney', NULL)) AS t(term, canonical)")
-def synonym_exact(spark, d):
-    return vocabulary.exact(spark.sql("SELECT * FROM VALUES ('Outdoor'), ('ventilator'), ('chimney') AS t(term)"), spark.sql(_SYNONYMS))
-
-
-@query("SELECT term, canonical, CAST(score AS DOUBLE) AS score FROM (VALUES ('exhaust fans', 'fan', 0.956522), ('gas furnaces', 'furnace', 0.956522)) AS t(term, canonical, score)")
-def synonym_fuzzy(spark, d):
-    return vocabulary.fuzzy(spark.sql("SELECT * FROM VALUES ('exhaust fans'), ('gas furnaces'), ('xyzzy') AS t(term)"), spark.sql(_SYNONYMS))
-
-
 @query("""SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN n_chars >= 100 THEN NULL ELSE 'long_enough' END, CASE WHEN lang IN ('en', 'fr') THEN NULL ELSE 'known_language' END], lambda x: x IS NOT NULL)), ',') AS broken FROM documents WHERE n_chars < 100 OR lang NOT IN ('en', 'fr')""")
 def contract_violations(spark, d):
     bad = files.violations(table(spark, d, "documents"), {"long_enough": "n_chars >= 100", "known_language": "lang in ('en', 'fr')"})
@@ -613,11 +551,6 @@ def phrase_lookup(spark, d):
 _LINES = """SELECT * FROM VALUES (1, '305.4 Supports'), (2, 'Table 403.3 Rates'), (3, 'Q = A x V'), (4, 'Exception: none'), (5, 'a. footnote'), (6, 'See Section 305'), (7, '***'), (8, 'Ducts shall be sealed'), (9, 'User Note: x') AS t(id, text)"""
 
 
-@query("""SELECT * FROM (VALUES (1, 'section_heading'), (2, 'table_caption'), (3, 'equation'), (4, 'exception'), (5, 'table_footnote_candidate'), (6, 'cross_reference'), (7, 'source_artifact'), (8, 'normative_or_commentary_text'), (9, 'user_note')) AS t(id, category)""")
-def source_line_category(spark, d):
-    return spark.sql(_LINES).select("id", audit.line_category(F.col("text")).alias("category"))
-
-
 @query("""SELECT doc_id, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < 0.12 * length(text) AND length(text) >= 10 OR regexp_matches(text, '[\\x00-\\x08\\x0E-\\x1F\\x{FFFD}]') AS noise FROM documents""")
 def noise_detector(spark, d):
     return table(spark, d, "documents").select("doc_id", audit.unparseable(F.col("text")).alias("noise"))

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from skarn.sources.shipping import ship
+
 MOST_CHARS, MOST_ROWS, MOST_BYTES = 8000, 100, 160_000
 _WRITES = r"\b(insert|update|delete|merge|create|drop|alter|truncate|replace|load|set|reset|cache|refresh|call|grant|revoke|use|add|copy)\b"
 
@@ -30,6 +35,17 @@ def problem(text: str, most_rows: int = MOST_ROWS) -> str | None:
     return None
 
 
+def problems(queries, key: str, column: str):
+    """key, problem of a table of queries; the check runs in Arrow batches."""
+    ship(queries.sparkSession)
+
+    def check(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([problem(q or "") for q in b.column(1).to_pylist()], pa.string())], names=[key, "problem"])
+
+    return queries.select(F.col(key).cast("long").alias(key), F.col(column).cast("string").alias("q")).mapInArrow(check, f"{key} long, problem string")
+
+
 def run(spark, text: str, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, **frames):
     """Rows of a guarded query as dicts. Too many rows or bytes are an error, not a cut."""
     if why := problem(text, most_rows):
