@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions.text import collapse, stable_id
 
+# Cues, conditions, bodies of standards, references and values that requirements are read by.
 CUE = r"(?i)\b(shall not|must not|may not|shall|must|may|is required to|are required to|prohibited|permitted)\b"
 CONDITION = r"(?i)\b((?:where|when|if|unless|provided that|except when)\b.*)$"
 _BODIES = "ASHRAE|NFPA|ANSI|ASTM|UL|NSF|IMC|IECC|ICC|CSA|ARI|AHRI|AGA|ISO|SMACNA|OSHA|ACGIH"

@@ -169,15 +169,6 @@ def batch_requirements(spark, d):
     return refresh.first_per_key(table(spark, d, "orders"), keys, "o_custkey", ["o_orderkey"], 2).select("o_custkey", "o_orderkey")
 
 
-@query()
-def hybrid_search(spark, d):
-    docs = table(spark, d, "documents")
-    shown = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    embed = refresh.hashed_embedder(64)
-    vectors = shown.select(F.col("doc_id").alias("vec_id"), "sha").join(refresh.embedded(shown, spark.createDataFrame([], "sha string, embedding array<float>"), embed), "sha")
-    return Tools(spark, docs, vectors, embed).execute("hybrid_search", {"query": "the and attion to thanedble", "top_k": 10})
-
-
 # --- boxes and pages ------------------------------------------------------------------------------------------------
 
 
@@ -225,7 +216,19 @@ _SOURCE = """SELECT * FROM VALUES (1, 0, 1, 'SECTION 305 PIPING.', 18D, array(4)
 (1, 5, 2, 'TABLE 305.4(1) SPACING', 12D, array(4)), (1, 6, 2, 'see TABLE 9', 12D, array(4)), (1, 7, 3, 'TABLE 305.4(2)', 13D, array(4)), (1, 8, 3, 'Use Equation 4 - 1 here', 10D, array(4)), (1, 9, 4, 'Eq. 4-1 again, Eq. 4-2', 10D, array(4)) AS t(doc_id, line_index, page, text, max_font_size, flags)"""
 
 
-@query()
+@query(ORACLE["rrf_fused_topk"])
+def hybrid_search(spark, d):
+    """The named operation, with an embedder that knows one vector: it answers as the fused rankings do."""
+    vectors = table(spark, d, "embeddings")
+    known = [float(x) for x in vectors.where("vec_id = 0").select("embedding").first()[0]]
+    return Tools(spark, table(spark, d, "documents"), vectors, lambda texts: [known for _ in texts]).execute("hybrid_search", {"query": "the and attion to thanedble", "top_k": 10})
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT l_suppkey) AS n_suppliers, true AS parts_near, true AS suppliers_near, true AS median_near FROM lineitem GROUP BY l_returnflag")
 def sketch_estimates(spark, d):
-    """Sketches merge across tasks, so distinct counts and quantiles need no shuffle of values."""
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("n_parts"), F.approx_count_distinct("l_suppkey").alias("n_suppliers"), F.percentile_approx("l_quantity", 0.5, 1000).alias("median_quantity"))
+    """Sketches merge across tasks, so counts and quantiles need no shuffle of values. Beside exact counts: whether each lies within a tenth."""
+    lines = table(spark, d, "lineitem")
+    near = lambda a, b: F.abs(a - b) <= 0.1 * b
+    told = lines.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("hll"), F.approx_count_distinct("l_suppkey", 0.02).alias("approx"), F.percentile_approx("l_quantity", 0.5, 1000).alias("median"), F.avg("l_quantity").alias("mean"))
+    exact = lines.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("n_parts"), F.count_distinct("l_suppkey").alias("n_suppliers"))
+    return told.join(exact, "l_returnflag").select("l_returnflag", "n_parts", "n_suppliers", near(F.col("hll"), F.col("n_parts")).alias("parts_near"), near(F.col("approx"), F.col("n_suppliers")).alias("suppliers_near"), near(F.col("median"), F.col("mean")).alias("median_near"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from skarn.operators import audit, records
+from skarn.functions import rules
+from skarn.functions.text import unicode_tokens
+from skarn.functions.vocabulary import nfkc
+from skarn.operators import audit, evidence, records, refresh, retrieval
 from skarn.plans.queries import query
-from skarn.sources import pages
+from skarn.sources import files, guard, pages
+from skarn.sources.shared import shared_root
 from skarn.sources.tables import sql, table
+from skarn.streaming import events as stream
 
 
 def choose(key: str, options: list[str]) -> str:
@@ -315,7 +322,7 @@ def grounded_responses(spark, d):
 _FENCED = "SELECT c_custkey AS id, " + choose("c_custkey", ["concat('```sql\n', 'SELECT ', c_custkey, ' AS a LIMIT 1;\n```')", "concat('  SELECT ', c_custkey, ' AS a LIMIT 1 ; ')", "concat('```SELECT ', c_custkey, ' AS a LIMIT 1```')"]) + " AS q FROM {customer}"
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 2 THEN ' ' || c_custkey || ' AS a LIMIT 1' ELSE 'SELECT ' || c_custkey || ' AS a LIMIT 1' END AS query FROM customer".replace("' ' || c_custkey || ' AS a LIMIT 1'", "c_custkey || ' AS a LIMIT 1'"))
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 2 THEN '' ELSE 'SELECT ' END || c_custkey || ' AS a LIMIT 1' AS query FROM customer")
 def unfenced_queries(spark, d):
     return sql(spark, d, _FENCED).select("id", records.unfenced(F.col("q")).alias("query"))
 
@@ -373,3 +380,108 @@ def clearance_from_material(spark, d):
     """The hundred largest: a report."""
     edges = sql(spark, d, "SELECT DISTINCT l_suppkey AS source, l_partkey AS target, CAST(l_quantity AS INT) AS inches FROM {lineitem} WHERE l_returnflag = 'R'")
     return edges.orderBy(F.desc("inches"), "source", "target").limit(100)
+
+
+# --- files and small rules ------------------------------------------------------------------------------------------
+
+
+def _path(spark, name: str) -> str:
+    return f"{shared_root(spark)}/skarn/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("""SELECT o_orderkey AS k, '["' || o_orderstatus || '","x"]' AS tags, 'say "' || o_orderpriority || '",' || chr(10) || 'and more' AS t FROM orders""")
+def csv_round_trip(spark, d):
+    """Written with lists as JSON, other columns left out, and read back with its schema; a file that is not there adds nothing."""
+    rows = sql(spark, d, "SELECT o_orderkey AS k, array(o_orderstatus, 'x') AS tags, concat('say \"', o_orderpriority, '\",\n', 'and more') AS t, 1 AS dropped FROM {orders}")
+    path = _path(spark, "csv")
+    files.write_csv(rows, path, ["k", "tags", "t"])
+    return files.read_csv(spark, path, "k long, tags string, t string").unionByName(files.read_csv(spark, path + "-none", "k long, tags string, t string"))
+
+
+@query("SELECT s_suppkey, s_name || '!' AS s_name FROM supplier")
+def replaced_table(spark, d):
+    """A table that is replaced while the old one is its own input; the second version is what is read."""
+    path = _path(spark, "replaced")
+    files.replace(table(spark, d, "supplier").select("s_suppkey", "s_name"), path)
+    files.replace(spark.read.parquet(path).withColumn("s_name", F.concat("s_name", F.lit("!"))), path)
+    return files.load_or_create(spark, path, lambda: table(spark, d, "nation"))
+
+
+@query("""SELECT c_custkey AS doc, c_name AS title, CAST(o_orderkey AS BIGINT) AS child FROM customer JOIN orders ON o_custkey = c_custkey""")
+def json_documents(spark, d):
+    """Documents with nested children, written as JSON and read with a fixed schema; children are then rows."""
+    path = _path(spark, "json")
+    docs = sql(spark, d, "SELECT c.c_custkey AS doc, c.c_name AS title, collect_list(named_struct('id', o.o_orderkey)) AS children FROM {customer} c JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY ALL")
+    docs.write.json(path)
+    back = spark.read.schema("doc long, title string, children array<struct<id:long>>").option("mode", "FAILFAST").json(path)
+    return back.select("doc", "title", F.explode("children").alias("x")).select("doc", "title", F.col("x.id").alias("child"))
+
+
+@query("""SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY""")
+def expired_files(spark, d):
+    listed = table(spark, d, "events").select(F.col("event_id").alias("path"), F.col("ts").cast("timestamp").alias("modificationTime"))
+    return stream.expired(listed, 7, "2024-01-20 00:00:00").select(F.col("path").alias("event_id"))
+
+
+@query("""SELECT 'few' AS name, CASE WHEN count(*) > 100 THEN 'too many rows' WHEN coalesce(sum(strlen(n_name) + 2), 0) > 1000 THEN 'too many bytes' ELSE 'ok' END AS status FROM nation UNION ALL SELECT 'many', CASE WHEN count(*) > 100 THEN 'too many rows' ELSE 'ok' END FROM lineitem
+UNION ALL SELECT 'long', CASE WHEN count(*) > 100 THEN 'too many rows' WHEN sum(strlen(s_name) + 2) > 1000 THEN 'too many bytes' ELSE 'ok' END FROM supplier""")
+def bounded_results(spark, d):
+    """A result beyond its bounds is an error and not cut; counting stops one row behind the bound."""
+    asked = {"few": table(spark, d, "nation").select("n_name"), "many": table(spark, d, "lineitem").select("l_orderkey"), "long": table(spark, d, "supplier").select("s_name")}
+    out = None
+    for name, df in asked.items():
+        one = guard.bounds(df, 100, 1000).select(F.lit(name).alias("name"), "status")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT p_partkey AS id, p_size % 3 = 0 OR p_partkey % 4 = 0 OR p_size % 7 = 0 AS residue, CAST(CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_size END AS INTEGER) AS parsed, CAST(800 - least(p_size, 7) - abs(p_size - 7) AS DOUBLE) AS top, 'Q' || p_size || ',X' AS names, lower(replace(p_name, '-', ' ')) || ' ' || p_size AS signature, lower(p_name) AS folded FROM part""")
+def small_rules(spark, d):
+    rows = sql(spark, d, """SELECT p_partkey AS id, p_name, p_size, CASE WHEN p_size % 3 = 0 THEN 't1' END AS table_id, CASE WHEN p_partkey % 4 = 0 THEN 'table:9' ELSE 'section:9' END AS parent, CASE WHEN p_size % 7 = 0 THEN 'a Table Source line' END AS why,
+      concat('Q', p_size, ' = X; X = 1') AS formula FROM {part}""")
+    box = rules.box(F.struct(F.lit(0.0).alias("l"), F.col("p_size").cast("double").alias("t"), F.lit(1.0).alias("r"), F.lit(7.0).alias("b")), 800.0)
+    json = F.when(F.col("id") % 5 == 0, "NaN").otherwise(F.concat(F.lit('{"n": '), "p_size", F.lit("}")))
+    parsed = rules.json_or(json, "n int", F.struct(F.lit(-1).alias("n")))["n"]
+    return rows.select("id", rules.table_residue(F.col("table_id"), F.col("parent"), F.col("why")).alias("residue"), parsed.alias("parsed"), box["top"].alias("top"), F.array_join(rules.formula_names(F.col("formula")), ",").alias("names"), rules.signature(F.concat_ws(" ", "p_name", "p_size")).alias("signature"), nfkc(F.upper("p_name")).alias("folded"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+')) AS INTEGER) AS n, coalesce(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+')[1], '') AS first FROM documents WHERE text IS NOT NULL")
+def unicode_words(spark, d):
+    ws = unicode_tokens(F.col("text"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", ws.alias("ws")).select("doc_id", F.size("ws").alias("n"), F.coalesce(F.get("ws", F.lit(0)), F.lit("")).alias("first"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_full_match(CAST(300 + p_size AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN '.' || p_partkey ELSE '' END, '\\d{3,4}(\\.\\d+)+') AND p_size = 7")
+def exact_sections(spark, d):
+    """Sections asked for by their number: it must have a dot, a bare chapter number is no section."""
+    named = sql(spark, d, "SELECT p_partkey, p_name, p_size, concat(300 + p_size, CASE WHEN p_partkey % 2 = 0 THEN concat('.', p_partkey) ELSE '' END) AS number FROM {part}")
+    return named.where(F.col("number").rlike(r"^\d{3,4}(\.\d+)+$") & F.startswith("number", F.lit("307"))).select("p_partkey", "p_name")
+
+
+@query("""WITH r AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY embedding ORDER BY vec_id) AS n FROM embeddings), q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 6) AS score FROM r, q WHERE n = 1 AND label <> 3 ORDER BY score DESC, vec_id LIMIT 10""")
+def representative_topk(spark, d):
+    """The nearest of one vector a digest, without those of the unassigned label."""
+    v = table(spark, d, "embeddings").withColumn("sha", F.sha2(F.to_json("embedding"), 256))
+    one = refresh.representatives(v, "vec_id", "sha").where("is_representative").select("vec_id").join(v, "vec_id").where("label <> 3")
+    return retrieval.cosine(one, v.where("vec_id = 0").select(F.col("embedding").alias("q")))
+
+
+@query("SELECT doc_id, lang, CAST(n_chars AS INTEGER) AS n_chars, CAST(NULL AS VARCHAR) AS note FROM documents WHERE lang IN ('en', 'fr')")
+def allow_list_export(spark, d):
+    contract = spark.createDataFrame([], "doc_id long, lang string, n_chars int, note string").schema
+    return files.conform(table(spark, d, "documents").where("lang IN ('en', 'fr')"), contract)
+
+
+@query("""WITH c AS (SELECT 'c' || c_custkey AS candidate, 'n' || c_nationkey AS p FROM customer), a AS (SELECT candidate, candidate AS node FROM c UNION ALL SELECT candidate, p FROM c UNION ALL SELECT candidate, 'r' || n_regionkey FROM c JOIN nation ON p = 'n' || n_nationkey)
+SELECT candidate, 'E' || node AS evidence_id FROM a WHERE node LIKE 'n%' OR node IN ('r1', 'r3')""")
+def evidence_attribution(spark, d):
+    edges = sql(spark, d, "SELECT concat('r', n_regionkey) AS parent, concat('n', n_nationkey) AS child FROM {nation} UNION ALL SELECT concat('n', c_nationkey), concat('c', c_custkey) FROM {customer}")
+    known = sql(spark, d, "SELECT concat('n', n_nationkey) AS node FROM {nation} UNION ALL SELECT 'r1' UNION ALL SELECT 'r3'").select("node", F.concat(F.lit("E"), "node").alias("evidence_id"))
+    return evidence.attributed(sql(spark, d, "SELECT concat('c', c_custkey) AS candidate FROM {customer}"), known, edges)
+
+
+@query("SELECT source, lang, arg_min(doc_id, doc_id) AS doc_id FROM documents GROUP BY source, lang, lower(trim(regexp_replace(coalesce(text, ''), '[\\s\\x0B\\x{00A0}]+', ' ', 'g')))")
+def distinct_passages(spark, d):
+    p = table(spark, d, "documents").select(F.col("source").alias("section"), F.col("lang").alias("page"), F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
+    return evidence.distinct_passages(p).select(F.col("section").alias("source"), F.col("page").alias("lang"), F.col("ord").alias("doc_id"))

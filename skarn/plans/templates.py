@@ -127,7 +127,7 @@ SELECT user_id, event_type, n FROM (SELECT user_id, event_type, n, row_number()
 SHARED["dedupe_min_id"] = """
 SELECT min(doc_id) AS doc_id, count(*) AS copies, count(DISTINCT lang) AS n_langs, count(DISTINCT lang) > 1 AS conflict FROM {documents} GROUP BY text HAVING count(*) > 1"""
 SHARED["requirement_top_n_per_key"] = """
-SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM {lineitem} WHERE l_orderkey IN (1, 2, 3, 5, 8, 13, 21)) x WHERE rn <= 2"""
+SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM {lineitem}) x WHERE rn <= 2"""
 SHARED["tpch_pricing_summary"] = """
 SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS sum_base_price, count(*) AS count_order
 FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus"""

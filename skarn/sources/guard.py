@@ -46,6 +46,13 @@ def problems(queries, key: str, column: str):
     return queries.select(F.col(key).cast("long").alias(key), F.col(column).cast("string").alias("q")).mapInArrow(check, f"{key} long, problem string")
 
 
+def bounds(df, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES):
+    """One row: whether a result keeps within its bounds. Rows beyond the bound are not read."""
+    size = F.octet_length(F.concat_ws(",", *[F.col(c).cast("string") for c in df.columns])) + 2
+    counted = df.limit(most_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+    return counted.select(F.when(F.col("n") > most_rows, "too many rows").when(F.col("bytes") > most_bytes, "too many bytes").otherwise("ok").alias("status"))
+
+
 def run(spark, text: str, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, **frames):
     """Rows of a guarded query as dicts. Too many rows or bytes are an error, not a cut."""
     if why := problem(text, most_rows):
