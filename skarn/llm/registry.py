@@ -19,6 +19,7 @@ QUERIES = {
 ORACLE = {
     "op1_exact_dedup": exact.OP1_SQL,
     "op2_chat_formatting": chat.OP2_SQL,
+    "op3_minhash_near_dedup": neardup.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
     "op8_substring_dedup": substring.OP8_SQL,

@@ -8,30 +8,19 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skarn.sources.shared import shared_root
 from skarn.sources.shipping import ship
 
 _BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
+ROW_GROUP = 16 << 20  # a writer holds one of these a task
 _open: list[list[Scratch]] = []
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset and Spark is local."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="skarn-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -95,7 +84,7 @@ class Scratch:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write df now and return what was written."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
