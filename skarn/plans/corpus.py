@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skarn.functions import rules, similarity
-from skarn.functions.text import tokens
-from skarn.operators import answers, audit, inventory, joins, refresh, structure
+from skarn.functions import rules
+from skarn.operators import answers, joins, refresh, structure
 from skarn.plans.queries import ORACLE, query
 from skarn.plans.tools import Tools
 from skarn.sources.tables import sql, table
@@ -21,10 +20,6 @@ def stack_parents(spark, d):
     return structure.stack_parents(h, "grp", "ord").select("grp", "ord", "level", "parent")
 
 
-_LINES = """SELECT * FROM VALUES (1, 0, '305.1 Supports'), (1, 1, '[M] Exceptions:'), (1, 2, '1.'), (1, 3, 'Ducts under'), (1, 4, '10 feet.'), (1, 5, '2'), (1, 6, 'Listed units.'), (1, 7, '305.2 Spacing'), (1, 8, 'text'),
-(2, 0, 'Exception: none'), (2, 1, 'Exception: again'), (2, 2, 'more'), (2, 3, 'INSIGHTS (2)'), (2, 4, 'x') AS t(doc_id, line_index, text)"""
-
-
 @query("""WITH RECURSIVE n AS (SELECT c_custkey // 50 AS doc_id, c_custkey AS node, CASE WHEN c_custkey % 50 > 0 THEN c_custkey - c_custkey % 50 + (c_custkey % 50 - 1) // 2 END AS parent, c_custkey % 7 AS ord FROM customer),
 t AS (SELECT doc_id, node, [ord] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.doc_id, n.node, list_append(t.path, n.ord) FROM t JOIN n ON n.doc_id = t.doc_id AND n.parent = t.node)
 SELECT doc_id, node, CAST(len(path) - 1 AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path, node) - 1 AS INTEGER) AS ordinal FROM t""")
@@ -34,9 +29,6 @@ def block_tree(spark, d):
     return structure.flattened(b)
 
 
-_BLOCKS = "SELECT * FROM VALUES ('b1', 'Lead. 305.1 Supports hold. 305.2 Spacing is wide.', array('305.2 Spacing', '305.1 Supports', '305.1')), ('b2', 'No heading', array('9')), ('b3', '305.1 Supports', array('305.1 Supports')) AS t(block_id, text, headings)"
-
-
 @query("""WITH s AS (SELECT l_orderkey AS block, l_partkey % 3 AS span, min(l_suppkey) AS lo, max(l_suppkey) AS hi FROM lineitem WHERE l_linenumber > 3 GROUP BY ALL)
 SELECT o_orderkey AS req, o_custkey AS section, CASE WHEN s.lo IS NULL THEN coalesce(CAST(w.owner AS VARCHAR), 'section:unassigned') WHEN s.lo = s.hi THEN CAST(s.lo AS VARCHAR) ELSE 'section:unassigned' END AS new_section
 FROM orders LEFT JOIN s ON s.block = o_orderkey AND s.span = o_orderkey % 3 LEFT JOIN (SELECT o_orderkey AS block, o_custkey AS owner FROM orders WHERE o_orderkey % 5 <> 0) w ON w.block = o_orderkey""")
@@ -76,10 +68,6 @@ def cleaned_text(spark, d):
     return table(spark, d, "documents").select("doc_id", rules.cleaned(F.col("text")).alias("cleaned"))
 
 
-_UNMATCHED = """SELECT * FROM VALUES (1, 'Page 7', true, false, false, 1), (2, 'https://codes.example.org', false, false, false, 1), (3, 'User note: see', false, false, false, 1), (4, '305.1 General', false, true, false, 1), (5, 'a. cell', false, false, true, 1),
-(6, 'Said twice here', false, false, false, 2), (7, '#### **** ----', false, false, false, 1), (8, 'Ducts shall be kept', false, false, false, 1) AS t(id, text, nav, head, tab, same)"""
-
-
 @query("""SELECT event_id, TRY_CAST(CASE WHEN event_id % 4 = 0 THEN 'x' || user_id ELSE CAST(user_id AS VARCHAR) END AS INTEGER) AS page, CASE WHEN event_id % 7 = 0 THEN 'a' WHEN event_id % 7 = 1 THEN 'unparsed' ELSE 'p' || event_id END AS block FROM events""")
 def coerced_keys(spark, d):
     e = table(spark, d, "events")
@@ -90,9 +78,6 @@ def coerced_keys(spark, d):
 
 # --- answers and evaluation -----------------------------------------------------------------------------------------
 
-_ANSWERS = """SELECT * FROM VALUES (1, '{"answer_type": "grounded", "claims": [{"text": "a", "evidence_ids": ["E1"], "quotes": [{"evidence_id": "E1", "quote": "q"}]}]}'), (2, '{"answer_type": "grounded", "claims": []}'), (3, 'nonsense'),
-(4, '{"answer_type": "other"}'), (5, '{"answer_type": "abstain"}'), (6, '{"answer_type": "grounded", "claims": [{"text": "a", "evidence_ids": []}]}') AS t(id, answer)"""
-
 
 @query("""WITH c AS (SELECT l_orderkey AS answer, l_linenumber AS i FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey AS answer, l_linenumber AS i, count(*) AS n, bool_and(l_quantity > 2) AS ok FROM lineitem WHERE l_linenumber < 6 GROUP BY ALL)
 SELECT answer, bool_and(c.i IS NOT NULL AND coalesce(n = 1 AND ok, false)) AS supported FROM c FULL JOIN g USING (answer, i) GROUP BY answer""")
@@ -210,10 +195,7 @@ def any_cell(spark, d):
     return table(spark, d, "part").where(F.exists(F.split("p_name", " "), lambda w: F.contains(F.lower(w), F.lit("r")))).select("p_partkey", "p_name")
 
 
-# --- inventory ------------------------------------------------------------------------------------------------------
-
-_SOURCE = """SELECT * FROM VALUES (1, 0, 1, 'SECTION 305 PIPING.', 18D, array(4)), (1, 1, 1, '[M] 305.10 Last', 14D, array(20)), (1, 2, 1, '305.2 Hangers', 14D, array(4)), (1, 3, 2, '305.2  Hangers.', 16D, array(4)), (1, 4, 2, '305.10 Last', 16D, array(20)),
-(1, 5, 2, 'TABLE 305.4(1) SPACING', 12D, array(4)), (1, 6, 2, 'see TABLE 9', 12D, array(4)), (1, 7, 3, 'TABLE 305.4(2)', 13D, array(4)), (1, 8, 3, 'Use Equation 4 - 1 here', 10D, array(4)), (1, 9, 4, 'Eq. 4-1 again, Eq. 4-2', 10D, array(4)) AS t(doc_id, line_index, page, text, max_font_size, flags)"""
+# --- search and sketches ------------------------------------------------------------------------------------------------------
 
 
 @query(ORACLE["rrf_fused_topk"])

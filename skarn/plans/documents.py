@@ -9,8 +9,6 @@ from skarn.operators import graph, joins, retrieval
 from skarn.plans.queries import query
 from skarn.sources.tables import sql, table
 
-_TEXTS = """SELECT * FROM VALUES (1, '305 GENERAL\\nAll of it.\\n305.1 Supports. \\nHangers shall be kept.\\nMore.\\n12 no\\n305.1 Again\\nx'), (2, 'Gas furnaces shall not be installed in closets. Fans are permitted outdoors. A clearance of 3 feet from closets is kept by furnaces after the shaft.'), (3, NULL) AS t(doc_id, text)"""
-
 
 @query("SELECT CAST(l_suppkey AS BIGINT) AS source, l_returnflag AS type, l_linenumber AS target, min(l_orderkey) AS code_ref FROM lineitem GROUP BY 1, 2, 3")
 def edge_dedupe_first_wins(spark, d):
@@ -34,9 +32,6 @@ def box_geometry(spark, d):
     return both.select("id", F.col("o_id").alias("other"), F.round(E.box_overlap(box(""), box("o_")), 6).alias("overlap"), F.round(E.box_gap(box(""), box("o_")), 6).alias("gap"))
 
 
-_ITEMS = "SELECT * FROM VALUES ('#/a', 'text', 'Before', NULL, NULL), ('#/b', 'section_header', '305 General', NULL, NULL), ('#/c', 'text', '', 'Exception: none', NULL), ('#/d', 'list_item', NULL, NULL, '1. first'), ('#/e', 'page_header', 'Page 3', NULL, NULL) AS t(self_ref, label, text, orig, content)"
-
-
 @query("""WITH q AS (SELECT c_custkey AS id, c_nationkey % 7 AS k FROM customer), h AS (SELECT id, k, 'r' || (k % 5) AS root FROM q)
 SELECT id, CASE WHEN k = 0 THEN 'exact' ELSE 'vector' END AS route, CASE WHEN k = 0 THEN 'n0' ELSE 'n' || k || ',r' || (SELECT n_regionkey FROM nation WHERE n_nationkey = k) END AS sections FROM h""")
 def retrieval_router(spark, d):

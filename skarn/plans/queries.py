@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skarn.functions import requirements as R
 from skarn.functions import text as X
-from skarn.functions import vocabulary
 from skarn.operators import audit, evidence, graph, joins, retrieval, validation, windows
 from skarn.sources import files, html
 from skarn.sources.tables import sql, table
@@ -424,12 +422,6 @@ def embedding_contract(spark, d):
 
 # --- clauses and validation -----------------------------------------------------------------------------------------
 
-_CLAUSES = """SELECT * FROM VALUES (1, 'Exhaust ducts shall not be installed in plenums'), (2, 'A clearance of 18 inches shall be maintained'), (3, 'Systems shall be installed in accordance with NFPA 13 and Section 305.4'),
-(4, 'The minimum airflow is 50 cfm'), (5, 'Pressure must not exceed the maximum of 2 psi'), (6, 'Flexible ducts are permitted'), (7, 'Smoke detectors shall be listed'), (8, 'Access must be provided'), (9, 'General notes'), (10, 'At most 3 vents per Table 403.3'), (11, 'Openings may be located outdoors') AS t(id, clause)"""
-
-
-_SOURCE = "SELECT doc_id AS evidence_id, trim(regexp_replace(text, '[\\s\\x0B\\x{00A0}]+', ' ', 'g')) AS source FROM documents"
-
 
 @query("""WITH b AS (SELECT item_id, trim(regexp_replace(text, '[\\s\\x0B\\x{00A0}]+', ' ', 'g')) AS quote FROM benchmark),
 d AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x0B\\x{00A0}]+', ' ', 'g')) AS source FROM documents)
@@ -438,9 +430,6 @@ def quote_containment(spark, d):
     return validation.quoted(table(spark, d, "benchmark").select("item_id", X.collapse(F.col("text")).alias("quote")), table(spark, d, "documents").select("doc_id", X.collapse(F.col("text")).alias("source")), "item_id", "doc_id")
 
 
-_ANSWERS = "SELECT * FROM VALUES (1, 'Vents end outdoors [E1]. Ducts are sealed [E2][E3].', array('E1', 'E2')), (2, 'No citation here.', array('E1')), (3, 'See [E9] and [Section 4].', array('E1')), (4, 'Twice [E1][E1].', array('E1')) AS t(id, answer, allowed)"
-
-
 # --- pages ----------------------------------------------------------------------------------------------------------
 
 
@@ -517,9 +506,6 @@ def stream_budget(spark, d):
     return stream.drain(stream.budgets(stream.read(spark, d), 20000), "budget", "append")
 
 
-_SYNONYMS = "SELECT * FROM VALUES ('exhaust fan', 'fan', 1), ('ventilator', 'fan', 2), ('outdoor', 'outside', 3), ('outdoor', 'exterior', 4), ('gas furnace', 'furnace', 5) AS t(synonym, canonical, place)"
-
-
 @query("""SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN n_chars >= 100 THEN NULL ELSE 'long_enough' END, CASE WHEN lang IN ('en', 'fr') THEN NULL ELSE 'known_language' END], lambda x: x IS NOT NULL)), ',') AS broken FROM documents WHERE n_chars < 100 OR lang NOT IN ('en', 'fr')""")
 def contract_violations(spark, d):
     bad = files.violations(table(spark, d, "documents"), {"long_enough": "n_chars >= 100", "known_language": "lang in ('en', 'fr')"})
@@ -548,8 +534,6 @@ def phrase_lookup(spark, d):
 
 # --- reconciliation and audit ---------------------------------------------------------------------------------------
 
-_LINES = """SELECT * FROM VALUES (1, '305.4 Supports'), (2, 'Table 403.3 Rates'), (3, 'Q = A x V'), (4, 'Exception: none'), (5, 'a. footnote'), (6, 'See Section 305'), (7, '***'), (8, 'Ducts shall be sealed'), (9, 'User Note: x') AS t(id, text)"""
-
 
 @query("""SELECT doc_id, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < 0.12 * length(text) AND length(text) >= 10 OR regexp_matches(text, '[\\x00-\\x08\\x0E-\\x1F\\x{FFFD}]') AS noise FROM documents""")
 def noise_detector(spark, d):
