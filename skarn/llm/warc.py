@@ -85,7 +85,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, ref
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """(WARC headers, HTTP headers, payload) of one record."""
+    """(WARC headers, HTTP headers, payload) of one record; a record of another kind has its block as payload."""
     lines = lambda x: {k: v.lstrip(" ") for k, v in (h.split(":", 1) for h in x.decode().split("\r\n")[1:])}
     head, _, rest = raw.partition(b"\r\n\r\n")
     if not head.startswith(b"WARC/1.1\r\n"):
@@ -94,6 +94,8 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     block = rest[: int(warc["Content-Length"])]
     if rest[len(block) :] != b"\r\n\r\n":
         raise ValueError("a WARC record has another length than its header says")
+    if not warc["Content-Type"].startswith("application/http"):
+        return warc, {}, block
     http, _, payload = block.partition(b"\r\n\r\n")
     return warc, lines(http), payload
 
