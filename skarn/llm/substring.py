@@ -2,7 +2,7 @@
 
 Of the k-mers of a 50-word window the one with the smallest hash is the window's anchor; equal windows have equal
 anchors at equal places. The graph holds these least k-mers and not all: consecutive windows with one anchor form an
-edge, kept as one row with its source coordinates (about eighteen windows a row). Edges that occur in several
+edge, kept as one row with its source coordinates (about thirteen windows a row on the check tables). Edges that occur in several
 documents are compacted through Spark joins: steps between neighbouring edges that never branch make paths, and
 each path becomes one span (`compacted`). Where an anchor has several edges, each of them once is left to be compared
 window by window.
