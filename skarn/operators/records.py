@@ -197,7 +197,6 @@ def walked(rows: DataFrame, key: str, json: str) -> DataFrame:
         boxes = level.where("inner")
         if boxes.isEmpty():
             return found.select(F.col("key").alias(key), "path", "name", "value")
-        boxes.createOrReplaceTempView("skarn_walk")
         spark = rows.sparkSession
         level = spark.sql("SELECT w.key, e.value AS v, concat(w.path, coalesce(concat('.', e.key), concat('[', e.pos, ']'))) AS path, coalesce(e.key, w.name) AS name FROM {boxes} w, LATERAL variant_explode(w.v) AS e", boxes=boxes)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from skarn.functions import rules
@@ -12,7 +10,7 @@ from skarn.functions.vocabulary import nfkc
 from skarn.operators import audit, evidence, records, refresh, retrieval
 from skarn.plans.queries import query
 from skarn.sources import files, guard, pages
-from skarn.sources.shared import shared_root
+from skarn.sources.shared import place
 from skarn.sources.tables import sql, table
 from skarn.streaming import events as stream
 
@@ -237,13 +235,12 @@ def json_sections(spark, d):
     return records.named_sections(json_walk(spark, d), "id")
 
 
-_PARAMETERS = "SELECT c_custkey AS id, " + choose("c_custkey", ["concat('{\"a\": ', c_nationkey, ', \"b\": [1, \"x\", null, {\"c\": true}]}')", "concat('[', c_nationkey, ']')", "concat('{\"a\": ', c_name)", "NULL", "'{}'", "concat('\"', c_name, '\"')"]) + " AS p FROM CUSTOMERS"
+_PARAMETERS = choose("c_custkey", ["concat('{\"a\": ', c_nationkey, ', \"b\": [1, \"x\", null, {\"c\": true}]}')", "concat('[', c_nationkey, ']')", "concat('{\"a\": ', c_name)", "NULL", "'{}'", "concat('\"', c_name, '\"')"])
 
 
-@query("SELECT id, CASE WHEN p IS NULL THEN 'missing' WHEN NOT json_valid(p) THEN 'not JSON' WHEN json_type(p) <> 'OBJECT' THEN 'not an object' END AS problem FROM (" + _PARAMETERS.replace("CUSTOMERS", "customer") + ")")
+@query(f"SELECT id, CASE WHEN p IS NULL THEN 'missing' WHEN NOT json_valid(p) THEN 'not JSON' WHEN json_type(p) <> 'OBJECT' THEN 'not an object' END AS problem FROM (SELECT c_custkey AS id, {_PARAMETERS} AS p FROM customer)")
 def parameter_types(spark, d):
-    table(spark, d, "customer").createOrReplaceTempView("skarn_customers")
-    return spark.sql(_PARAMETERS.replace("CUSTOMERS", "skarn_customers")).select("id", records.parameter_problem(F.col("p")).alias("problem"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), records.parameter_problem(F.expr(_PARAMETERS)).alias("problem"))
 
 
 _NULLED = """concat('{"a":', CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE CAST(c_nationkey AS STRING) END, ',"b":{"c":', CASE WHEN c_custkey % 2 = 0 THEN 'null' ELSE '"x"' END, ',"d":1},"l":[{"e":null,"f":', c_custkey, '}]}')"""
@@ -385,15 +382,11 @@ def clearance_from_material(spark, d):
 # --- files and small rules ------------------------------------------------------------------------------------------
 
 
-def _path(spark, name: str) -> str:
-    return f"{shared_root(spark)}/skarn/{name}-{uuid.uuid4().hex[:12]}"
-
-
 @query("""SELECT o_orderkey AS k, '["' || o_orderstatus || '","x"]' AS tags, 'say "' || o_orderpriority || '",' || chr(10) || 'and more' AS t FROM orders""")
 def csv_round_trip(spark, d):
     """Written with lists as JSON, other columns left out, and read back with its schema; a file that is not there adds nothing."""
     rows = sql(spark, d, "SELECT o_orderkey AS k, array(o_orderstatus, 'x') AS tags, concat('say \"', o_orderpriority, '\",\n', 'and more') AS t, 1 AS dropped FROM {orders}")
-    path = _path(spark, "csv")
+    path = place(spark, "csv")
     files.write_csv(rows, path, ["k", "tags", "t"])
     return files.read_csv(spark, path, "k long, tags string, t string").unionByName(files.read_csv(spark, path + "-none", "k long, tags string, t string"))
 
@@ -401,7 +394,7 @@ def csv_round_trip(spark, d):
 @query("SELECT s_suppkey, s_name || '!' AS s_name FROM supplier")
 def replaced_table(spark, d):
     """A table that is replaced while the old one is its own input; the second version is what is read."""
-    path = _path(spark, "replaced")
+    path = place(spark, "replaced")
     files.replace(table(spark, d, "supplier").select("s_suppkey", "s_name"), path)
     files.replace(spark.read.parquet(path).withColumn("s_name", F.concat("s_name", F.lit("!"))), path)
     return files.load_or_create(spark, path, lambda: table(spark, d, "nation"))
@@ -410,7 +403,7 @@ def replaced_table(spark, d):
 @query("""SELECT c_custkey AS doc, c_name AS title, CAST(o_orderkey AS BIGINT) AS child FROM customer JOIN orders ON o_custkey = c_custkey""")
 def json_documents(spark, d):
     """Documents with nested children, written as JSON and read with a fixed schema; children are then rows."""
-    path = _path(spark, "json")
+    path = place(spark, "json")
     docs = sql(spark, d, "SELECT c.c_custkey AS doc, c.c_name AS title, collect_list(named_struct('id', o.o_orderkey)) AS children FROM {customer} c JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY ALL")
     docs.write.json(path)
     back = spark.read.schema("doc long, title string, children array<struct<id:long>>").option("mode", "FAILFAST").json(path)

@@ -5,7 +5,6 @@ Every builder takes a DataFrame that may be streaming or not, so a query is test
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from skarn.sources.files import exists
-from skarn.sources.shared import shared_root
+from skarn.sources.shared import place
 from skarn.sources.shipping import ship
 
 
@@ -60,7 +59,7 @@ def drain(df: DataFrame, name: str, mode: str = "complete", keys: list[str] | No
     batch is the result, in append mode all are, in update mode the last row of each key.
     """
     spark = df.sparkSession
-    root = f"{shared_root(spark)}/skarn/stream-{name}-{uuid.uuid4().hex[:12]}"
+    root = place(spark, f"stream-{name}")
     running = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{root}/rows/batch={i}")).start()
     running.awaitTermination()
     if not exists(spark, f"{root}/rows"):
