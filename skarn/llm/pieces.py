@@ -350,13 +350,28 @@ class Codec:
 
 
 def _encoder(path: str):
+    """Texts are gathered to about CHUNK bytes, whatever the size of Arrow batches, so equal lengths have company."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
+        ids: list = []
+        texts: list[bytes] = []
+        size = 0
+
+        def encoded() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([i.tobytes() for i in own.encode(texts)], pa.binary())], names=["doc_id", "ids"])
+
         for batch in batches:
             data, bounds = wordhash.buffers(batch.column(1))
             for row, to in wordhash.chunks(bounds, CHUNK):
-                texts = [data[a:b].tobytes() for a, b in zip(bounds[row:to].tolist(), bounds[row + 1 : to + 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), pa.array([i.tobytes() for i in own.encode(texts)], pa.binary())], names=["doc_id", "ids"])
+                ids += batch.column(0).slice(row, to - row).to_pylist()
+                texts += [data[a:b].tobytes() for a, b in zip(bounds[row:to].tolist(), bounds[row + 1 : to + 1].tolist(), strict=True)]
+                size += int(bounds[to] - bounds[row])
+                if size >= CHUNK // 2:
+                    yield encoded()
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield encoded()
 
     return run
 
