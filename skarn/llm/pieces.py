@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.llm import wordhash
+from skarn.llm.scratch import small_batches
 from skarn.sources.shipping import ship
 
-MARK, LONGEST, MOST_WORDS, BATCH, CHUNK = "▁", 256, 500_000, 20_000, 8 << 20
+MARK, LONGEST, MOST_WORDS, CELLS, CHUNK = "▁", 256, 350_000, 1 << 17, 4 << 20
 _UNKNOWN = 1 << 21
 _SHIFT = 1 << 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -46,9 +47,11 @@ def _by_length(words: list[str]) -> Iterator[tuple[int, list[int]]]:
     lens = np.array([len(w) for w in words])
     order = np.argsort(lens, kind="stable")
     cuts = np.flatnonzero(np.diff(lens[order])) + 1
-    for group in np.split(order, cuts):
-        for i in range(0, len(group), BATCH):
-            yield int(lens[group[0]]), group[i : i + BATCH].tolist()
+    for group in np.split(order, cuts) if len(order) else ():
+        n = int(lens[group[0]])
+        most = max(CELLS // max(n, 1), 1)  # rows of a matrix, so that its size is bounded whatever the length
+        for i in range(0, len(group), most):
+            yield n, group[i : i + most].tolist()
 
 
 class Viterbi:
@@ -393,12 +396,14 @@ def _decoder(path: str):
 def encode(spark: SparkSession, docs: DataFrame, model: str) -> DataFrame:
     """doc_id and ids (32-bit little-endian) of every row. Every executor has the model at this path."""
     ship(spark)
+    small_batches(spark)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encoder(model), "doc_id long, ids binary")
 
 
 def decode(spark: SparkSession, encoded: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, decoded_sha256 and text of rows of ids."""
     ship(spark)
+    small_batches(spark)
     return encoded.select("doc_id", "ids").mapInArrow(_decoder(model), "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, text string")
 
 
