@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
+from skarn.functions import coverage as C
 from skarn.functions.text import tokens
+from skarn.sources.shipping import ship, small_batches
 
 MOST_Y = 1000
 
@@ -102,9 +105,52 @@ def token_counts(texts: DataFrame, keys: list[str], once: bool = True) -> DataFr
     return words.groupBy(*keys, "w").agg((F.lit(1).cast("long") if once else F.count(F.lit(1))).alias("n"))
 
 
-def token_coverage(wants: DataFrame, offers: DataFrame, want: list[str], offer: list[str], least: float, once: bool = True) -> DataFrame:
+def _few(texts: DataFrame, keys: list[str], once: bool, most: int) -> C.Index | None:
+    """An index of texts (keys, text), or nothing where they have no token or more than `most`."""
+    counts = token_counts(texts, keys, once).limit(most + 1).toArrow()
+    n = counts.column("n").to_numpy()
+    return C.Index(counts, keys) if 0 < len(n) <= most and n.sum() <= most else None
+
+
+def _met(many: DataFrame, index: C.Index, few: DataFrame, keys: list[str], keep: list[str], least: float, once: bool, of_few: bool, least_total: int = 1) -> DataFrame:
+    """keep, keys, covered, total of `many` against an index of `few`, in one pass over `many`; rows stand alone."""
+    ship(many.sparkSession)
+    small_batches(many.sparkSession)
+    schema = StructType([many.schema[c] for c in keep] + [few.schema[c] for c in keys]).add("covered", LongType()).add("total", LongType())
+    return many.select(*dict.fromkeys([*keep, "text"])).mapInArrow(C.covered(index, keep, schema.names, least, once, of_few, least_total), schema)
+
+
+def _bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def token_coverage(wants: DataFrame, offers: DataFrame, want: list[str], offer: list[str], least: float, once: bool = True, most: int = C.MOST_TOKENS) -> DataFrame:
     """want, offer, covered, share: all pairs of texts in which offer's tokens cover `least` or more of want's.
 
+    Where the smaller side has `most` tokens or fewer and the rows of the larger one have keys of their own, the smaller
+    goes to every task and each text of the larger is counted against it whole: only pairs of the result leave a task.
+    Else both meet on rare tokens, see `rare_coverage`.
+    """
+    of_few = _bytes(wants) <= _bytes(offers)
+    (few, few_keys), (many, many_keys) = ((wants, want), (offers, offer)) if of_few else ((offers, offer), (wants, want))
+    index = _few(few, few_keys, once, most)
+    if index is None or not many.groupBy(*many_keys).count().where("count > 1").isEmpty():
+        return rare_coverage(wants, offers, want, offer, least, once)
+    met = _met(many.dropna(subset=many_keys), index, few, few_keys, many_keys, least, once, of_few)
+    return met.select(*want, *offer, "covered", (F.col("covered") / F.col("total")).alias("share"))
+
+
+def line_coverage(lines: DataFrame, targets: DataFrame, keep: list[str], target: list[str], least: float, least_total: int, most: int = C.MOST_TOKENS) -> DataFrame | None:
+    """keep, target, covered, share for each row of lines (text) alone, from `least_total` distinct tokens on; None where the targets have more than `most` tokens."""
+    index = _few(targets, target, True, most)
+    if index is None:
+        return None
+    return _met(lines, index, targets, target, keep, least, True, False, least_total).select(*keep, *target, "covered", (F.col("covered") / F.col("total")).alias("share"))
+
+
+def rare_coverage(wants: DataFrame, offers: DataFrame, want: list[str], offer: list[str], least: float, once: bool = True) -> DataFrame:
+    """token_coverage for two large sides, by an inverted index.
+
     An offer that covers so much has one of the want's rarest tokens: of those that leave less than `least` behind
     them. Pairs meet on these only and are then counted on all tokens, so no pair at or above `least` is lost. Offers
     are counted once: all three uses of `postings` read the same columns, so Spark has one exchange for them.
