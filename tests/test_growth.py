@@ -72,5 +72,6 @@ def test_letters_that_become_ascii(spark):
     assert all(coverage._tokens(t.lower()) == want[i] for i, t in data)
 
 
-def test_documents_are_not_shuffled_by_token(spark, small):
-    assert "hashpartitioning" not in plan(catalog.QUERIES["multiset_token_coverage"](spark, small))
+@pytest.mark.parametrize("name", ["multiset_token_coverage", "set_token_coverage"])
+def test_documents_are_not_shuffled_by_token(spark, small, name):
+    assert "hashpartitioning" not in plan(catalog.QUERIES[name](spark, small))
