@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skarn.functions.similarity import sequence_likeness
 from skarn.functions.text import collapse, percentage, ratio, tokens
 from skarn.operators.extraction import box_gap, box_overlap
-from skarn.operators.joins import asof, best, token_coverage
+from skarn.operators.joins import asof, best, line_coverage, rare_coverage
 
 SECTION = r"^\d{3,4}(?:\.\d+)*\.?\s+\S"
 CATEGORIES = ("section_heading", "table_caption", "equation", "exception", "insights", "user_note", "table_footnote_candidate", "navigation_artifact", "cross_reference", "source_artifact", "normative_or_commentary_text")
@@ -94,11 +94,15 @@ def span_matches(lines: DataFrame, targets: DataFrame, least: float = 0.6, least
 def span_matches_anywhere(lines: DataFrame, targets: DataFrame, least: float = 0.6, least_tokens: int = 3) -> DataFrame:
     """Each line (line_id, text) without section and page with its best target (target_id, ord, target) of all.
 
-    The score is 0.56 coverage + 0.18 containment. Lines meet targets on rare tokens of theirs; see token_coverage.
+    The score is 0.56 coverage + 0.18 containment. Few targets go to every task, and only matched lines leave it; lines
+    and many targets meet on rare tokens of theirs. See token_coverage.
     """
-    long = lines.where(F.size(F.array_distinct(tokens(F.col("text")))) >= least_tokens)
-    met = token_coverage(long, targets.select("target_id", F.col("target").alias("text")), ["line_id"], ["target_id"], least)
-    both = met.withColumnRenamed("share", "coverage").join(long, "line_id").join(targets, "target_id")
+    texts = targets.select("target_id", F.col("target").alias("text"))
+    met = line_coverage(lines.dropna(subset=["line_id"]), texts, ["line_id", "text"], ["target_id"], least, least_tokens)
+    if met is None:
+        long = lines.where(F.size(F.array_distinct(tokens(F.col("text")))) >= least_tokens)
+        met = rare_coverage(long, texts, ["line_id"], ["target_id"], least).join(long, "line_id")
+    both = met.withColumnRenamed("share", "coverage").join(targets, "target_id")
     within = F.when(F.contains(F.lower(collapse(F.col("target"))), F.lower(collapse(F.col("text")))), 1.0).otherwise(0.0)
     scored = both.withColumn("score", F.round(0.56 * F.col("coverage") + 0.18 * within, 6))
     return best(scored, ["line_id"], [F.desc("score"), F.col("ord"), F.col("target_id")]).select("line_id", "target_id", F.round("coverage", 6).alias("coverage"), "score")

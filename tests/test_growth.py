@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from skarn.functions import coverage
-from skarn.operators import joins
+from skarn.operators import audit, joins
 from skarn.plans import catalog
 
 
@@ -75,3 +75,36 @@ def test_letters_that_become_ascii(spark):
 @pytest.mark.parametrize("name", ["multiset_token_coverage", "set_token_coverage"])
 def test_documents_are_not_shuffled_by_token(spark, small, name):
     assert "hashpartitioning" not in plan(catalog.QUERIES[name](spark, small))
+
+
+def lines_and_targets(spark, tmp_path):
+    rand = random.Random(17)
+    text = lambda n: " ".join(f"w{rand.randrange(25)}" for _ in range(n))
+    targets = [(i, i, text(10)) for i in range(20)]
+    lines = [(f"{i}:0", text(rand.randrange(8))) for i in range(300)] + [("300:0", targets[3][2].upper()), ("301:0", None), ("302:0", " ".join(targets[5][2].split()[:4]))]
+    d = folder(tmp_path, lines=spark.createDataFrame(lines, "line_id string, text string"), targets=spark.createDataFrame(targets, "target_id int, ord int, target string"))
+    return lines, targets, spark.read.parquet(f"{d}/lines.parquet"), spark.read.parquet(f"{d}/targets.parquet")
+
+
+def best_targets(lines, targets):
+    want = []
+    for i, t in lines:
+        own = set((t or "").lower().split())
+        met = [(-round(0.56 * c + 0.18 * (t.lower() in x), 6), o, k, c) for k, o, x in targets if len(own) >= 3 and (c := len(own & set(x.split())) / len(own)) >= 0.6]
+        want += [(i, min(met)[2], round(min(met)[3], 6), -min(met)[0])] if met else []
+    return sorted(want)
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_lines_find_the_target_that_brute_force_finds(spark, tmp_path, monkeypatch, most):
+    lines, targets, a, b = lines_and_targets(spark, tmp_path)
+    if most:  # many targets: lines and targets meet on rare tokens
+        monkeypatch.setattr(audit, "line_coverage", lambda *x: joins.line_coverage(*x, most=most))
+    got = audit.span_matches_anywhere(a, b)
+    assert most or plan(got).count("hashpartitioning") <= 2  # of matches, for their targets and for the best of a line
+    assert sorted(rows(got)) == best_targets(lines, targets)
+
+
+def test_a_report_shuffles_no_tokens(spark, small):
+    p = plan(catalog.QUERIES["reconciliation_report"](spark, small))
+    assert not any("w#" in x.split("]")[0] for x in p.split("hashpartitioning(")[1:]) and "regexp_extract_all" not in p
