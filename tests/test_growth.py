@@ -108,3 +108,8 @@ def test_lines_find_the_target_that_brute_force_finds(spark, tmp_path, monkeypat
 def test_a_report_shuffles_no_tokens(spark, small):
     p = plan(catalog.QUERIES["reconciliation_report"](spark, small))
     assert not any("w#" in x.split("]")[0] for x in p.split("hashpartitioning(")[1:]) and "regexp_extract_all" not in p
+
+
+def test_lines_are_not_shuffled_by_token(spark, small):
+    p = plan(catalog.QUERIES["span_match_scored"](spark, small))
+    assert "regexp_extract_all" not in p and p.count("hashpartitioning") <= 2
