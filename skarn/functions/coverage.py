@@ -1,16 +1,22 @@
-"""Shared tokens of a few texts and many, counted in Arrow batches of the many: no row of a token leaves its task."""
+"""Tokens counted in Arrow batches of texts: those that a few texts and many share, and those of all; no row of a token leaves its task."""
 
 from __future__ import annotations
 
-import re
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 
-# Most tokens of the few texts, which every task holds; and most cells, matches or tokens that a task counts at a time.
+# Most tokens of the few texts, which every task holds; and most cells, matches, tokens or terms that a task counts at a time.
 MOST_TOKENS, CELLS = 1 << 18, 1 << 20
-_tokens = re.compile("[a-z0-9]+").findall
+_KEPT = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
+def _tokens(text: str | None) -> list[str]:
+    """As functions.text.tokens."""
+    return (text or "").lower().encode().translate(_KEPT).decode("ascii").split()
 
 
 class Index:
@@ -85,7 +91,7 @@ def covered(index: Index, keep: list[str], names: list[str], least: float, once:
         for batch in batches:
             first, held, sizes, ids = 0, 0, [], []
             for text in batch.column(batch.schema.get_field_index("text")):
-                words = _tokens((text.as_py() or "").lower())
+                words = _tokens(text.as_py())
                 words = set(words) if once else words
                 sizes.append(len(words))
                 ids.append([x for x in map(number, words) if x is not None] if of_few or len(words) >= least_total else [])
@@ -101,3 +107,41 @@ def covered(index: Index, keep: list[str], names: list[str], least: float, once:
 
 def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def term_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (owned, text): term, df, cf, one row or a few for each term of a task; only owned rows count in df."""
+    number: defaultdict[str, int] = defaultdict(count().__next__)
+    seen, uses, unowned = [], [], []
+    df, cf = np.zeros(0, "int64"), np.zeros(0, "int64")
+
+    def fold() -> None:
+        nonlocal df, cf
+        size, at = len(number), np.array(seen, "int64")
+        df = np.pad(df, (0, size - len(df))) + np.bincount(at, minlength=size) - np.bincount(np.array(unowned, "int64"), minlength=size)
+        cf = np.pad(cf, (0, size - len(cf)))
+        np.add.at(cf, at, np.array(uses, "int64"))
+        for x in (seen, uses, unowned):
+            x.clear()
+
+    def totals() -> pa.RecordBatch:
+        nonlocal df, cf
+        fold()
+        out = pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(df), pa.array(cf)], names=["term", "df", "cf"])
+        number.clear()
+        number.default_factory, df, cf = count().__next__, df[:0], cf[:0]
+        return out
+
+    for batch in batches:
+        for owned, text in zip(batch.column(0), batch.column(1), strict=True):
+            words = Counter(_tokens(text.as_py()))
+            ids = list(map(number.__getitem__, words))
+            seen += ids
+            uses += words.values()
+            if not owned.as_py():
+                unowned += ids
+            if len(number) >= CELLS:
+                yield totals()
+            elif len(seen) >= CELLS:
+                fold()
+    yield totals()

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.functions import coverage as C
 from skarn.functions.text import collapse, let, ngrams, tokens
-from skarn.sources.shipping import ship
+from skarn.sources.shipping import ship, small_batches
 
 
 def lexical(passages: DataFrame, query: str, owner: str = "doc_id", text: str = "text", k: int = 10) -> DataFrame:
@@ -40,6 +41,25 @@ def inverted_index(passages: DataFrame, owner: str = "doc_id", text: str = "text
     return words.select(owner, F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("term", owner).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
+def term_totals(passages: DataFrame, owner: str = "doc_id", text: str = "text") -> DataFrame:
+    """term, df, cf: the owners that have a term, and its uses; passages without owner count in cf only.
+
+    A row whose owner has no other is counted within its task, so sums of terms are shuffled and not postings. Rows of
+    owners with several meet by term and owner.
+    """
+    ship(passages.sparkSession)
+    small_batches(passages.sparkSession)
+    alone = passages.select(owner, text)
+    repeated = alone.groupBy(owner).count().where(f"count > 1 and `{owner}` is not null").select(owner)
+    several = None
+    if not repeated.isEmpty():
+        several = inverted_index(alone.join(repeated, owner, "left_semi"), owner, text).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        alone = alone.join(repeated, owner, "left_anti")
+    totals = alone.select(F.col(owner).isNotNull().alias("owned"), F.col(text).alias("text")).mapInArrow(C.term_totals, "term string, df long, cf long")
+    totals = totals if several is None else totals.unionByName(several)
+    return totals.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def bm25(passages: DataFrame, query: str, owner: str = "doc_id", text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Owners by BM25. Counts are taken over all passages; only the query's terms leave the scan."""
     terms = sorted(set(_words(query)))

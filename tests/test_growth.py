@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from skarn.functions import coverage
-from skarn.operators import audit, joins
+from skarn.operators import audit, joins, retrieval
 from skarn.plans import catalog
 
 
@@ -69,7 +69,7 @@ def test_letters_that_become_ascii(spark):
     # A dotted I and the Kelvin sign are the letters beyond ASCII whose lower case has an ASCII letter.
     data = [(i, f"x{chr(i)}y") for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000]
     want = {r[0]: r[1] for r in texts(spark, "i", data).selectExpr("i", "regexp_extract_all(lower(text), '[a-z0-9]+', 0)").collect()}
-    assert all(coverage._tokens(t.lower()) == want[i] for i, t in data)
+    assert all(coverage._tokens(t) == want[i] for i, t in data)
 
 
 @pytest.mark.parametrize("name", ["multiset_token_coverage", "set_token_coverage"])
@@ -113,3 +113,21 @@ def test_a_report_shuffles_no_tokens(spark, small):
 def test_lines_are_not_shuffled_by_token(spark, small):
     p = plan(catalog.QUERIES["span_match_scored"](spark, small))
     assert "regexp_extract_all" not in p and p.count("hashpartitioning") <= 2
+
+
+def test_terms_are_counted_by_owner(spark, tmp_path):
+    docs = [(1, "a B a"), (2, "b, c"), (2, "B d"), (None, "a e"), (None, "a"), (3, None), (4, "")]
+    got = retrieval.term_totals(texts(spark, "doc_id", docs))
+    assert rows(got, "term") == [("a", 1, 4), ("b", 2, 3), ("c", 1, 1), ("d", 1, 1), ("e", 0, 1)]
+
+
+def test_postings_are_not_shuffled(spark, small):
+    p = plan(catalog.QUERIES["inverted_index_terms"](spark, small))
+    assert p.count("hashpartitioning(") == 1 and "hashpartitioning(term#" in p
+
+
+def test_full_counters_are_handed_on(monkeypatch):
+    monkeypatch.setattr(coverage, "CELLS", 2)
+    batch = pa.RecordBatch.from_pydict({"owned": [True] * 3, "text": ["a b", "b b", "c"]})
+    got = [tuple(r.values()) for b in coverage.term_totals(iter([batch])) for r in b.to_pylist()]
+    assert got == [("a", 1, 1), ("b", 1, 1), ("b", 1, 2), ("c", 1, 1)]
