@@ -38,11 +38,8 @@ def _spelled(word: str) -> str:
     return marks + (r"(?![A-Za-z0-9])" if word[-1].isalnum() else "")
 
 
-def _unit_pattern(words: tuple[str, ...]) -> str:
-    return "|".join(_spelled(w) for w in sorted(words, key=len, reverse=True))
-
-
-_UNITS = [(unit, _unit_pattern(words)) for unit, words in UNITS.items()]
+# Each spelling in lower case, without white space around "/"; the first unit of equals has it.
+_NAMES = {w.lower(): unit for unit, words in reversed(UNITS.items()) for w in words}
 _VALUE = r"[+-]?\d+(?:,\d{3})*(?:\.\d+)?(?:\s+\d+/\d+|/\d+)?"
 # The longest spelling goes first, so "ft3/min" is not read as "ft".
 QUANTITY = rf"(?i)(?<![\w.])({_VALUE})\s*(?:-\s*)?({'|'.join(_spelled(w) for w in sorted((w for words in UNITS.values() for w in words), key=len, reverse=True))})"
@@ -100,19 +97,28 @@ def claims(claims: DataFrame, evidence: DataFrame, least: int = 12) -> DataFrame
 
 
 def quantities(texts: DataFrame) -> DataFrame:
-    """id, n, num, den, unit: values bound to units, as reduced fractions; units are named, never converted."""
-    value = F.regexp_replace(F.regexp_extract("m", QUANTITY, 1), ",", "")
-    unit = F.lower(F.regexp_extract("m", QUANTITY, 2))
-    name = F.coalesce(*[F.when(unit.rlike(f"(?i)^(?:{p})$"), F.lit(n)) for n, p in _UNITS])
-    found = texts.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(QUANTITY), 0)).alias("n", "m")).select("id", "n", value.alias("v"), name.alias("unit"))
-    sign = F.when(F.col("v").startswith("-"), -1).otherwise(1)
-    bare = F.regexp_replace("v", "^[+-]", "")
-    whole = F.coalesce(F.regexp_extract(bare, r"^(\d+)(?:\.\d+)?(?:\s|$)", 1).try_cast("long"), F.lit(0))
-    top, under = F.regexp_extract(bare, r"(\d+)/\d+$", 1).try_cast("long"), F.regexp_extract(bare, r"/(\d+)$", 1).try_cast("long")
-    decimals = F.regexp_extract(bare, r"^\d+\.(\d+)", 1)
-    scale = F.pow(F.lit(10), F.length(decimals)).cast("long")
-    num = F.when(under.isNotNull(), whole * under + top).otherwise(whole * scale + F.coalesce(decimals.try_cast("long"), F.lit(0)))
-    raw = found.where(under.isNull() | (under != 0)).select("id", "n", "unit", (sign * num).alias("num"), F.coalesce(under, scale).alias("den"))
-    # The greatest common divisor by Euclid's steps; 90 suffice for 64-bit numbers.
-    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(90)), F.struct(F.abs("num").alias("a"), F.col("den").alias("b")), lambda s, i: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.nullif(s["b"], F.lit(0).cast("long"))).alias("b"))))["a"]
+    """id, n, num, den, unit: values bound to units, as reduced fractions; units are named, never converted.
+
+    Rows are dealt anew first: short rows make small files, and a task that read one would have them all.
+    """
+    found = texts.repartition("id").select("id", F.posexplode(F.regexp_extract_all("text", F.lit(QUANTITY), 0)).alias("n", "m"))
+    # No unit begins with what can be in a value, so the longest value at the match's start is the match's own.
+    cut = found.withColumn("v", F.regexp_extract("m", f"^(?:{_VALUE})", 0))
+    unit = F.regexp_replace(F.lower(F.substr("m", F.length("v") + 1)), r"^\s*(?:-\s*)?", "")
+    spelled = F.regexp_replace(F.regexp_replace(unit, r"\s*/\s*", "/"), r"\s+", " ")
+    names = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])
+    named = cut.select("id", "n", F.col("v").startswith("-").alias("minus"), F.regexp_replace("v", "[+,-]", "").alias("v"), F.element_at(names, spelled).alias("unit"))
+    # A cast that fails costs a Java exception, so what was not found is null before it is cast.
+    number = lambda c: F.nullif(c, F.lit("")).try_cast("long")
+    whole, decimals = F.regexp_extract("v", r"^(\d+)(?:\.\d+)?(?:\s|$)", 1), F.regexp_extract("v", r"^\d+\.(\d+)", 1)
+    top, under = F.regexp_extract("v", r"(\d+)/\d+$", 1), F.regexp_extract("v", r"/(\d+)$", 1)
+    # Columns of their own: an expression would be computed at each of its uses.
+    parts = named.select("id", "n", "unit", "minus", F.coalesce(number(whole), F.lit(0)).alias("whole"), decimals.alias("decimals"), number(top).alias("top"), number(under).alias("under"))
+    scale = F.pow(F.lit(10), F.length("decimals")).cast("long")
+    num = F.when(F.col("under").isNotNull(), F.col("whole") * F.col("under") + F.col("top")).otherwise(F.col("whole") * scale + F.coalesce(number(F.col("decimals")), F.lit(0)))
+    raw = parts.where("under is null or under != 0").select("id", "n", "unit", (F.when(F.col("minus"), -1).otherwise(1) * num).alias("num"), F.coalesce("under", scale).alias("den"))
+    # The greatest common divisor by Euclid's steps: five for each digit of the smaller number suffice (Lamé), and one to swap.
+    steps = F.sequence(F.lit(1), 5 * F.length(F.col("den").cast("string")) + 1)
+    euclid = F.aggregate(steps, F.struct(F.abs("num").alias("a"), F.col("den").alias("b")), lambda s, i: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.nullif(s["b"], F.lit(0).cast("long"))).alias("b"))))["a"]
+    gcd = F.when(F.col("den") == 1, F.lit(1).cast("long")).otherwise(euclid)
     return raw.withColumn("g", F.greatest(gcd, F.lit(1).cast("long"))).select(F.col("id").cast("int").alias("id"), "n", (F.col("num") / F.col("g")).cast("int").alias("num"), (F.col("den") / F.col("g")).cast("int").alias("den"), "unit")

@@ -1,5 +1,6 @@
 """Queries whose cost grew faster than their input: what they shuffle, how they are dealt, and that nothing is lost for it."""
 
+import math
 import random
 from collections import Counter
 
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from skarn.functions import coverage
-from skarn.operators import audit, joins, retrieval
+from skarn.operators import audit, joins, retrieval, validation
 from skarn.plans import catalog
 
 
@@ -131,3 +132,24 @@ def test_full_counters_are_handed_on(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"owned": [True] * 3, "text": ["a b", "b b", "c"]})
     got = [tuple(r.values()) for b in coverage.term_totals(iter([batch])) for r in b.to_pylist()]
     assert got == [("a", 1, 1), ("b", 1, 1), ("b", 1, 2), ("c", 1, 1)]
+
+
+def test_quantities_are_dealt_over_tasks(spark, small):
+    assert "hashpartitioning(id#" in plan(catalog.QUERIES["quantity_bindings"](spark, small))
+
+
+def test_every_spelling_of_a_unit_is_named(spark):
+    spread = lambda w: w.upper().replace(" ", " \t ").replace("/", " / ")
+    cases = [(unit, w, f) for unit, words in validation.UNITS.items() for w in words for f in (str, str.lower, spread)]
+    data = [(i, f"is 1,250.50{sep}{f(w)}; then") for i, (_, w, f) in enumerate(cases) for sep in (["", " ", " - "][i % 3],)]
+    assert rows(validation.quantities(texts(spark, "id", data)), "id") == [(i, 0, 2501, 2, unit) for i, (unit, _, _) in enumerate(cases)]
+
+
+def test_fractions_are_reduced_however_long_euclid_takes(spark):
+    a, b, pairs = 1, 1, []
+    while b < 2**31:
+        pairs, (a, b) = pairs + [(b, a), (a, b)], (b, a + b)
+    pairs += [(k * x, k * y) for x, y in pairs for k in (2, 6, 10) if k * max(x, y) < 2**62] + [(0, 7), (12, 1), (5, 5)]
+    data = [(i, f"-{x}/{y} psi") for i, (x, y) in enumerate(pairs)]
+    want = [(i, 0, -x // math.gcd(x, y), y // math.gcd(x, y), "psi") for i, (x, y) in enumerate(pairs)]
+    assert rows(validation.quantities(texts(spark, "id", data)), "id") == want
