@@ -24,7 +24,7 @@ class Index:
 
     def __init__(self, counts: pa.Table, keys: list[str]):
         rows = counts.select(keys).to_pandas()
-        item = rows.groupby(keys, sort=False).ngroup().to_numpy()
+        item = rows.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
         first = np.unique(item, return_index=True)[1]
         self.keys = counts.select(keys).take(pa.array(first)).combine_chunks()
         words = counts.column("w").combine_chunks().dictionary_encode()

@@ -8,6 +8,7 @@ from pyspark.sql.types import LongType, StructType
 
 from skarn.functions import coverage as C
 from skarn.functions.text import tokens
+from skarn.sources.shared import written
 from skarn.sources.shipping import ship, small_batches
 
 MOST_Y = 1000
@@ -101,15 +102,19 @@ def unique_match(wants: DataFrame, offers: DataFrame, keys: list[str], take: str
 
 def token_counts(texts: DataFrame, keys: list[str], once: bool = True) -> DataFrame:
     """keys, w, n: the tokens of texts (keys, text) with their counts, or each once."""
-    words = texts.dropna(subset=keys).select(*keys, F.explode(tokens(F.col("text"))).alias("w")).where("w is not null")
+    return _counts(texts.dropna(subset=keys), keys, once)
+
+
+def _counts(texts: DataFrame, keys: list[str], once: bool) -> DataFrame:
+    words = texts.select(*keys, F.explode(tokens(F.col("text"))).alias("w")).where("w is not null")
     return words.groupBy(*keys, "w").agg((F.lit(1).cast("long") if once else F.count(F.lit(1))).alias("n"))
 
 
-def _few(texts: DataFrame, keys: list[str], once: bool, most: int) -> C.Index | None:
-    """An index of texts (keys, text), or nothing where they have no token or more than `most`."""
-    counts = token_counts(texts, keys, once).limit(most + 1).toArrow()
-    n = counts.column("n").to_numpy()
-    return C.Index(counts, keys) if 0 < len(n) <= most and n.sum() <= most else None
+def _few(counts: DataFrame, keys: list[str], most: int) -> C.Index | None:
+    """An index of texts by their counts (keys, w, n), or nothing where they have no token or more than `most`."""
+    rows = counts.limit(most + 1).toArrow()
+    n = rows.column("n").to_numpy()
+    return C.Index(rows, keys) if 0 < len(n) <= most and n.sum() <= most else None
 
 
 def _met(many: DataFrame, index: C.Index, few: DataFrame, keys: list[str], keep: list[str], least: float, once: bool, of_few: bool, least_total: int = 1) -> DataFrame:
@@ -125,24 +130,45 @@ def _bytes(df: DataFrame) -> int:
 
 
 def token_coverage(wants: DataFrame, offers: DataFrame, want: list[str], offer: list[str], least: float, once: bool = True, most: int = C.MOST_TOKENS) -> DataFrame:
-    """want, offer, covered, share: all pairs of texts in which offer's tokens cover `least` or more of want's.
+    """want, offer, covered, share: all pairs of texts in which offer's tokens cover `least` or more of want's; rows of one key are one text.
 
-    Where the smaller side has `most` tokens or fewer and the rows of the larger one have keys of their own, the smaller
-    goes to every task and each text of the larger is counted against it whole: only pairs of the result leave a task.
-    Else both meet on rare tokens, see `rare_coverage`.
+    Where the smaller side has `most` tokens or fewer, it goes to every task and each text of the larger is counted against
+    it whole: only pairs of the result leave a task. Else both meet on rare tokens, see `rare_coverage`; so do those texts
+    of the larger side that lie in several rows.
     """
     of_few = _bytes(wants) <= _bytes(offers)
     (few, few_keys), (many, many_keys) = ((wants, want), (offers, offer)) if of_few else ((offers, offer), (wants, want))
-    index = _few(few, few_keys, once, most)
-    if index is None or not many.groupBy(*many_keys).count().where("count > 1").isEmpty():
+    index = _few(token_counts(few, few_keys, once), few_keys, most)
+    if index is None:
         return rare_coverage(wants, offers, want, offer, least, once)
-    met = _met(many.dropna(subset=many_keys), index, few, few_keys, many_keys, least, once, of_few)
+    many = many.dropna(subset=many_keys)
+    repeated = written(many.groupBy(*many_keys).count().where("count > 1").select(*many_keys), "repeated")
+    split = not repeated.isEmpty()
+    met = _met(many.join(repeated, many_keys, "left_anti") if split else many, index, few, few_keys, many_keys, least, once, of_few)
+    pairs = met.select(*want, *offer, "covered", (F.col("covered") / F.col("total")).alias("share"))
+    if not split:
+        return pairs
+    rest = many.join(repeated, many_keys, "left_semi")
+    return pairs.unionByName(rare_coverage(*((wants, rest) if of_few else (rest, offers)), want, offer, least, once))
+
+
+def row_coverage(wants: DataFrame, offers: DataFrame, want: list[str], offer: list[str], least: float, once: bool = True, most: int = C.MOST_TOKENS) -> DataFrame:
+    """As token_coverage, but each row is a text of its own, whatever its key: one that repeats or is null costs nothing more."""
+    of_few = _bytes(wants) <= _bytes(offers)
+    (few, few_keys), (many, many_keys) = ((wants, want), (offers, offer)) if of_few else ((offers, offer), (wants, want))
+    index = _few(_counts(few.withColumn("row", F.monotonically_increasing_id()), ["row", *few_keys], once), ["row", *few_keys], most)
+    if index is None:
+        a, b = (written(x.select(*k, "text").withColumn(row, F.monotonically_increasing_id()), row) for x, k, row in ((wants, want, "want_row"), (offers, offer, "offer_row")))
+        met = rare_coverage(a, b, ["want_row"], ["offer_row"], least, once)
+        return met.join(a.select("want_row", *want), "want_row").join(b.select("offer_row", *offer), "offer_row").select(*want, *offer, "covered", "share")
+    index.keys = index.keys.drop_columns("row")
+    met = _met(many, index, few, few_keys, many_keys, least, once, of_few)
     return met.select(*want, *offer, "covered", (F.col("covered") / F.col("total")).alias("share"))
 
 
 def line_coverage(lines: DataFrame, targets: DataFrame, keep: list[str], target: list[str], least: float, least_total: int, most: int = C.MOST_TOKENS) -> DataFrame | None:
     """keep, target, covered, share for each row of lines (text) alone, from `least_total` distinct tokens on; None where the targets have more than `most` tokens."""
-    index = _few(targets, target, True, most)
+    index = _few(token_counts(targets, target), target, most)
     if index is None:
         return None
     return _met(lines, index, targets, target, keep, least, True, False, least_total).select(*keep, *target, "covered", (F.col("covered") / F.col("total")).alias("share"))

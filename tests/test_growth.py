@@ -153,3 +153,44 @@ def test_fractions_are_reduced_however_long_euclid_takes(spark):
     data = [(i, f"-{x}/{y} psi") for i, (x, y) in enumerate(pairs)]
     want = [(i, 0, -x // math.gcd(x, y), y // math.gcd(x, y), "psi") for i, (x, y) in enumerate(pairs)]
     assert rows(validation.quantities(texts(spark, "id", data)), "id") == want
+
+
+def plain_pairs(same_key, small, large, once, least):
+    """(i, j, covered, share) by brute force; rows of one key are one text with `same_key`, null keys then count for nothing."""
+    if same_key:
+        small, large = ([(k, " ".join(t or "" for i, t in x if i == k)) for k in {i for i, _ in x} - {None}] for x in (small, large))
+    count = lambda t: Counter(set((t or "").split()) if once else (t or "").split())
+    want = [(i, j, n, n / x.total()) for i, s in small for j, t in large if (x := count(s)) and (n := (x & count(t)).total()) / x.total() >= least]
+    return sorted(want, key=str)
+
+
+def repeated_keys():
+    rand = random.Random(19)
+    text = lambda n: " ".join(f"w{int(rand.paretovariate(0.7)) % 40}" for _ in range(n))
+    small = [(i, text(rand.randint(0, 12))) for i in [*range(8), 3, 3, None]]
+    return small, [(j, text(rand.randint(0, 30))) for j in [*range(300), 7, 7, 7, 250, None, None]]
+
+
+@pytest.mark.parametrize("once", [True, False])
+@pytest.mark.parametrize("turned", [False, True])
+@pytest.mark.parametrize("by", ["token_coverage", "row_coverage"])
+def test_keys_that_repeat(spark, tmp_path, once, turned, by):
+    small, large = repeated_keys()
+    a, b = (large, small) if turned else (small, large)
+    d = folder(tmp_path, a=texts(spark, "i", a), b=texts(spark, "j", b))
+    frames = [spark.read.parquet(f"{d}/{n}.parquet") for n in "ab"]
+    want = plain_pairs(by == "token_coverage", a, b, once, 0.3)
+    for most in (1 << 18, 3):
+        assert sorted(rows(getattr(joins, by)(*frames, ["i"], ["j"], 0.3, once, most=most)), key=str) == want
+
+
+def test_a_repeated_id_moves_no_other_document(spark, tmp_path, same):
+    small, large = repeated_keys()
+    d = folder(tmp_path, benchmark=texts(spark, "item_id", small), documents=texts(spark, "doc_id", large))
+    got = catalog.QUERIES["set_token_coverage"](spark, d)
+    assert "hashpartitioning" not in plan(got)
+    same(got, catalog.ORACLE["set_token_coverage"], d)
+    d = folder(tmp_path / "keyed", benchmark=texts(spark, "item_id", small), documents=texts(spark, "doc_id", [x for x in large if x[0] is not None]))
+    got = catalog.QUERIES["multiset_token_coverage"](spark, d)
+    assert "MapInArrow" in plan(got)
+    same(got, catalog.ORACLE["multiset_token_coverage"], d)
