@@ -87,14 +87,22 @@ def covered(index: Index, keep: list[str], names: list[str], least: float, once:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n[good]), pa.array(total[good])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = index.number.get
+        number, known = index.number.get, set(index.number)
+
+        def own(words: list[str] | set[str]) -> list[int]:
+            """Known tokens of a row whose own tokens are the total; none where they are too few for any text of the index."""
+            if not words or len(words) < least_total:
+                return []
+            shared = words & known if once else [w for w in words if w in known]
+            return list(map(number, shared)) if len(shared) / len(words) >= least else []
+
         for batch in batches:
             first, held, sizes, ids = 0, 0, [], []
             for text in batch.column(batch.schema.get_field_index("text")):
                 words = _tokens(text.as_py())
                 words = set(words) if once else words
                 sizes.append(len(words))
-                ids.append([x for x in map(number, words) if x is not None] if of_few or len(words) >= least_total else [])
+                ids.append([x for x in map(number, words) if x is not None] if of_few else own(words))
                 held += len(ids[-1])
                 if held >= CELLS:
                     yield from pairs(batch, first, sizes, ids)

@@ -194,3 +194,15 @@ def test_a_repeated_id_moves_no_other_document(spark, tmp_path, same):
     got = catalog.QUERIES["multiset_token_coverage"](spark, d)
     assert "MapInArrow" in plan(got)
     same(got, catalog.ORACLE["multiset_token_coverage"], d)
+
+
+@pytest.mark.parametrize("once", [True, False])
+def test_only_lines_with_enough_known_tokens_are_counted(monkeypatch, once):
+    index = coverage.Index(pa.table({"i": [1, 1, 1, 2], "w": ["a", "b", "c", "d"], "n": [1, 1, 1, 1]}), ["i"])
+    met, shared = [], coverage._shared
+    monkeypatch.setattr(coverage, "_shared", lambda index, ids: met.extend(ids) or shared(index, ids))
+    lines = ["a b c", "a b x y z", "a b c x y", "a b", "a b d", "", None]
+    batch = pa.RecordBatch.from_pydict({"j": list(range(7)), "text": lines})
+    got = [tuple(r.values()) for b in coverage.covered(index, ["j"], ["j", "i", "n", "total"], 0.6, once, False, 3)(iter([batch])) for r in b.to_pylist()]
+    assert got == [(0, 1, 3, 3), (2, 1, 3, 5), (4, 1, 2, 3)]
+    assert [len(x) for x in met] == [3, 0, 3, 0, 3, 0, 0]  # two known tokens of five are too few
